@@ -242,10 +242,9 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Keep one document of each component: that with the smallest id (one row of it, if rows repeat).
 
-    Rows with a null id stay only where no row of their component has an id,
-    and then one for each distinct text.
+    Rows with a null id can't be named as copies; one stays for each distinct text.
     """
-    keep = near_components(docs, text_col, id_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+    keep = near_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
     tag = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     return kept.withColumn("_tag", tag).dropDuplicates(["_tag"]).drop("_tag")
