@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -236,3 +236,35 @@ def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
     sums = [F.sum(F.xxhash64("a", "b", F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))) for k in (1, 2)]
     row = kept.agg(F.count(F.lit(1)), *sums).first()
     return kept, tuple(row)
+
+
+# ------------------------------------------------------- groups in a stream
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first ``keys`` (numeric) columns, cut so that no group crosses a border."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if not len(held[0]):
+            continue
+        last = np.ones(len(held[0]), dtype=bool)
+        for c in held[:keys]:
+            last &= c == c[-1]
+        cut = int(np.argmax(last))
+        if cut:
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def group_bounds(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal rows."""
+    change = np.zeros(len(cols[0]), dtype=bool)
+    change[0] = True
+    for c in cols:
+        change[1:] |= c[1:] != c[:-1]
+    start = np.flatnonzero(change)
+    return start, np.append(start[1:], len(change))
