@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, multiset_fingerprint, page_diff, secret_ledger, substring_dedup
+from . import decontaminate, language_crf, mixing, multiset_fingerprint, page_diff, quality_qda, secret_ledger, substring_dedup, toxicity
 from .common import read_table
 from .simhash_dedup import near_components
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(read_table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -44,6 +52,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.predict_language(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.SecretLedger(spark).scan(read_table(spark, sf_dir, "documents"))
     counts = [F.size(secret_ledger.of_kinds(F.col("spans"), (kind,))).cast("long").alias(f"n_{kind}") for kind in secret_ledger.BASE]
@@ -58,11 +70,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
+        "op3_quality": op3_quality,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_html_extraction": op6_html_extraction,
         "op7_fingerprints": op7_fingerprints,
+        "op8_language_id": op8_language_id,
         "op9_secret_scan": op9_secret_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
