@@ -10,9 +10,12 @@ with the number of places that had them. A batch is counted, merge-joined with
 every run, and written as a new run; a fingerprint that a run or the batch has
 had before is marked as repeated. When runs pile up they are merged into one.
 
-What the index marks is only a candidate. Windows with a marked fingerprint are
-verified by two independent 64-bit hashes of all their words, counted over the
-whole corpus, before their words are removed.
+What the index marks is only a candidate, verified over the whole corpus by two
+independent 64-bit hashes of all words. First each place of a marked fingerprint
+stands for the stretch of all windows that it is the smallest gram of: where two
+stretches are equal, so are all their windows. Only the windows of stretches
+that stay alone, and those of one stretch of each equal set that could meet
+them, are then counted one by one.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,24 +81,52 @@ def fingerprints(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return keyed.select("k", "text").mapInArrow(_fingerprints(window, gram), "k long, h long")
 
 
-def _candidates(window: int, gram: int):
+def _hashes(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two independent hashes of the ``size`` words from each place."""
+    sums = [np.zeros(len(at), dtype=np.uint64) for _ in _WINDOW_CODES]
+    for j in range(int(size.max()) if len(size) else 0):
+        on = np.flatnonzero(size > j)
+        x = h[at[on] + j]
+        for s, code in zip(sums, _WINDOW_CODES, strict=True):
+            s[on] += x * code[j]
+    return [mix64(s) for s in sums]
+
+
+def _stretches(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each place of a marked fingerprint: its first window, how many windows, and hashes of the whole stretch."""
         for batch in batches:
             key = batch.column(1).to_numpy(zero_copy_only=False)
             marked = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             h, begin = batch_word_hashes(batch.column(2))
             starts, low, g = _windows(h, begin, window, gram)
-            place, back = np.unique(low, return_inverse=True)
-            at = starts[np.isin(g[place], marked)[back]] if len(starts) else starts
+            # Places never fall back from one window to the next, so equal ones stand together.
+            place, first, many = np.unique(low, return_index=True, return_counts=True)
+            on = np.isin(g[place], marked)
+            place, first, many = place[on], starts[first[on]], many[on]
+            owner = np.searchsorted(begin, place, side="right") - 1
+            lead = (place - first).astype(np.uint64) * np.uint64(131) + many.astype(np.uint64)
+            c1, c2 = (mix64(c + mix64(lead)) for c in _hashes(h, first, many + (window - 1)))
+            cols = [key[owner], g[place].view(np.int64), (place - begin[owner]).astype(np.int32), (first - begin[owner]).astype(np.int32), many.astype(np.int32), c1.view(np.int64), c2.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "h", "place", "start", "many", "c1", "c2"])
+
+    return run
+
+
+def _single_windows(window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows whose smallest gram is at a listed place, with their hashes."""
+        for batch in batches:
+            key = batch.column(1).to_numpy(zero_copy_only=False)
+            h, begin = batch_word_hashes(batch.column(2))
+            lists = batch.column(3)
+            listed = lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(begin[:-1], pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            starts, low, _ = _windows(h, begin, window, gram)
+            at = starts[np.isin(low, listed)] if len(starts) else starts
             owner = np.searchsorted(begin, at, side="right") - 1
-            sums = [np.zeros(len(at), dtype=np.uint64) for _ in _WINDOW_CODES]
-            for j in range(window):
-                x = h[at + j]
-                for s, code in zip(sums, _WINDOW_CODES, strict=True):
-                    s += x * code[j]
-            cols = [key[owner], (at - begin[owner]).astype(np.int32), *[mix64(s).view(np.int64) for s in sums]]
-            for i in range(0, max(len(at), 1), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["k", "start", "w1", "w2"])
+            w1, w2 = _hashes(h, at, np.full(len(at), window))
+            cols = [key[owner], (at - begin[owner]).astype(np.int32), w1.view(np.int64), w2.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "start", "w1", "w2"])
 
     return run
 
@@ -104,18 +136,17 @@ def _cut(window: int):
         for batch in batches:
             body, offset = text_buffers(batch.column(1))
             lists = batch.column(2)
-            spot = np.asarray(lists.offsets)
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            empty = np.asarray(lists.is_null())
+            spot, empty = np.asarray(lists.offsets), np.asarray(lists.is_null())
+            first, many = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "many"))
             n_words, n_removed, sha = [], [], []
             for i in range(batch.num_rows):
                 w = body[offset[i] : offset[i + 1]].tobytes().split()
                 removed = 0
                 if not empty[i] and spot[i + 1] > spot[i]:
-                    at = flat[spot[i] : spot[i + 1]]
+                    at, n = first[spot[i] : spot[i + 1]], many[spot[i] : spot[i + 1]]
                     edge = np.zeros(len(w) + 1, dtype=np.int64)
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    np.add.at(edge, at + n + (window - 1), -1)
                     kept = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                     removed = len(w) - len(kept)
                     body_out = b" ".join([w[j] for j in kept])
@@ -209,13 +240,23 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     marks = fingerprints(keyed, window, gram).join(index.repeated(), "h", "left_semi")
     marks = marks.groupBy("k").agg(F.collect_set("h").alias("marks"))
+    # All three joins of texts read one shuffle by k.
     rows = keyed.select("id", "k", "text")
-    # Both joins of texts read one shuffle by k.
     near = rows.join(marks.hint("shuffle_hash"), "k").select("id", "k", "text", "marks")
-    windows = near.mapInArrow(_candidates(window, gram), "k long, start int, w1 long, w2 long")
+    stretches = near.mapInArrow(_stretches(window, gram), "k long, h long, place int, start int, many int, c1 long, c2 long")
+    sets = stretches.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("one"))
+    alone, equal = sets.where("n = 1"), sets.where("n > 1")
+    whole = stretches.join(equal.select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("k", "start", "many")
+
+    singles = alone.unionByName(equal.join(alone.select("h").distinct(), "h", "left_semi").select(*alone.columns))
+    places = singles.groupBy(F.col("one.k").alias("k")).agg(F.collect_set("one.place").alias("places"))
+    open_ = rows.join(places.hint("shuffle_hash"), "k").select("id", "k", "text", "places")
+    windows = open_.mapInArrow(_single_windows(window, gram), "k long, start int, w1 long, w2 long")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    hits = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("k").agg(F.collect_set("start").alias("starts"))
-    marked = rows.join(hits.hint("shuffle_hash"), "k", "left").select("id", "text", "starts")
+    hits = windows.join(twice, ["w1", "w2"], "left_semi").select("k", "start", F.lit(1).alias("many"))
+
+    gone = whole.unionByName(hits).groupBy("k").agg(F.collect_set(F.struct("start", "many")).alias("gone"))
+    marked = rows.join(gone.hint("shuffle_hash"), "k", "left").select("id", "text", "gone")
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     out = marked.mapInArrow(_cut(window), f"id {id_type}, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
