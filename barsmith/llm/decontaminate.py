@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, group_bounds, mix64, whole_groups
+from .common import batch_word_hashes, fresh, group_bounds, mix64, whole_groups
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -160,5 +160,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = COVERAGE, **options) -> DataFrame:
     """The rows that are not contaminated, all columns. Only the keys of contaminated rows are joined."""
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text"))
-    gone = item_coverage(keyed, benchmark, **options).where(F.col("coverage") >= threshold).select(F.col("k").alias("_gone")).distinct()
-    return docs.withColumn("_k", F.xxhash64(id_col, text_col)).join(gone, F.col("_k") == F.col("_gone"), "left_anti").select(*docs.columns)
+    key, out = fresh(docs, "_key", "_gone")
+    gone = item_coverage(keyed, benchmark, **options).where(F.col("coverage") >= threshold).select(F.col("k").alias(out)).distinct()
+    return docs.withColumn(key, F.xxhash64(id_col, text_col)).join(gone, F.col(key) == F.col(out), "left_anti").select(*docs.columns)

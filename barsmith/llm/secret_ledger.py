@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import fresh, materialize, new_path
 
 #: Base kinds, in the order that breaks ties.
 BASE = ("assign", "access", "hex")
@@ -133,15 +133,14 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ledg
     """
     ledger = ledger or SecretLedger(docs.sparkSession)
     ledger.scan(docs, text_col, id_col)
+    key, blob, spans, new = fresh(docs, "_key", "_blob", "_spans", "_new")
     found = ledger.rows().where((F.col("rule_version") == rule_version()) & (F.size("spans") > 0))
-    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn("_key", blob).join(found, F.col("_key") == F.col("_blob"), "left")
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob])
+    joined = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).join(found, F.col(key) == F.col(blob), "left")
+    hit = F.col(spans).isNotNull()
     rewrite = F.pandas_udf(_redacted, "string")
-    hit = F.when(F.col("_spans").isNotNull(), F.col(text_col))
-    changed = F.when(F.col("_spans").isNotNull(), rewrite(hit, F.col("_spans"))).otherwise(F.col(text_col))
-    joined = joined.withColumn("_new", changed)
+    joined = joined.withColumn(new, F.when(hit, rewrite(F.when(hit, F.col(text_col)), F.col(spans))).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.char_length("_new").cast(kind)).otherwise(F.col("n_chars")))
-    return joined.withColumn(text_col, F.col("_new")).select(*docs.columns)
+        joined = joined.withColumn("n_chars", F.when(hit, F.char_length(new).cast(kind)).otherwise(F.col("n_chars")))
+    return joined.withColumn(text_col, F.col(new)).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, words
+from .common import connected_components, fresh, materialize, words
 
 #: Generator polynomial of the binary Golay code of length 23, and the segments (shift, bits).
 GOLAY = 0xAE3
@@ -244,7 +244,8 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
 
     Rows with a null id can't be named as copies; one stays for each distinct text.
     """
-    keep = near_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    tag = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return kept.withColumn("_tag", tag).dropDuplicates(["_tag"]).drop("_tag")
+    keep, tag = fresh(docs, "_keep", "_tag")
+    ids = near_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
+    kept = docs.join(ids, docs[id_col].eqNullSafe(F.col(keep)), "left_semi")
+    name = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return kept.withColumn(tag, name).dropDuplicates([tag]).drop(tag)
