@@ -36,6 +36,14 @@ _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x
 # ------------------------------------------------------------ features
 
 
+def split_words(text: str) -> list[str]:
+    """Words of a text in lower case; longer ones than LONGEST are cut into stretches that stand as words."""
+    words = text.lower().split()
+    if words and max(map(len, words)) > LONGEST:
+        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
+
+
 def bare(word: str) -> str:
     """Letters of a word with what stands between them; empty if there is none."""
     low, high = 0, len(word)
@@ -43,7 +51,7 @@ def bare(word: str) -> str:
         low += 1
     while high > low and not word[high - 1].isalpha():
         high -= 1
-    return word[low:high][:LONGEST] if high - low <= LONGEST else word[low : low + LONGEST // 2] + word[high - LONGEST // 2 : high]
+    return word[low:high]
 
 
 def feature_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -151,7 +159,7 @@ def fit(texts: list[str], languages: list[str], rounds: int = 20, rate: float =
     index: dict[str, int] = {}
     stretches = []
     for text, name in zip(texts, languages, strict=True):
-        ids = [index.setdefault(b, len(index)) for w in text.lower().split() if (b := bare(w))]
+        ids = [index.setdefault(b, len(index)) for w in split_words(text) if (b := bare(w))]
         at = 0
         while at < len(ids):
             n = int(rng.integers(3, 30))
@@ -263,7 +271,7 @@ class Labeller:
             owners.clear()
 
         for i, text in enumerate(texts):
-            own = text.lower().split()
+            own = split_words(text)
             for at in range(0, len(own), CHUNK):
                 part = own[at : at + CHUNK]
                 if words and len(words) + len(part) > CHUNK:
