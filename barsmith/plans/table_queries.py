@@ -168,7 +168,7 @@ def _built(b: DataFrame) -> DataFrame:
 simple("q6_builder", _built, ", x AS (SELECT *, high - low AS span, row_number() OVER (ORDER BY timestamp) AS rn FROM b WHERE symbol = 'view' AND timestamp BETWEEN '2024-01-03' AND '2024-01-20' AND volume > 20) SELECT {cols} FROM x WHERE rn <= 40", "span volume")
 
 
-def _get_kline(spark: SparkSession, sf: str) -> DataFrame:
+def _get_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of series that are held completely enough; others would be fetched."""
     b = hourly(spark, sf)
     ask = b.select(*SERIES).distinct().withColumns({"request_start": _ms("2024-01-02 00:00:00"), "request_end": _ms("2024-01-08 00:00:00")})
@@ -185,7 +185,7 @@ i AS (SELECT symbol, ms, sum(CASE WHEN last IS NULL OR ms - last > 3600000 THEN
 c AS (SELECT symbol, min(ms) AS start, max(ms) AS "end", count(*) AS rows FROM i GROUP BY symbol, island),
 full_ AS (SELECT symbol, min(start) AS s, max("end") AS e, least(1.0::DOUBLE, sum("end" - start + 3600000) / (max("end") - min(start) + 3600000)::DOUBLE) AS completeness FROM c GROUP BY symbol)"""
 A2, Z8 = 1704153600000, 1704672000000
-add("q7_get_kline", _get_kline, H + ISLANDS + f" SELECT {shown_sql(OHLCV)} FROM b WHERE timestamp BETWEEN '2024-01-02' AND '2024-01-08' AND symbol IN (SELECT symbol FROM full_ WHERE s <= {A2} AND e >= {Z8} AND completeness >= 0.5)")
+add("q7_get_bars", _get_bars, H + ISLANDS + f" SELECT {shown_sql(OHLCV)} FROM b WHERE timestamp BETWEEN '2024-01-02' AND '2024-01-08' AND symbol IN (SELECT symbol FROM full_ WHERE s <= {A2} AND e >= {Z8} AND completeness >= 0.5)")
 NEWEST = ", x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rn FROM b) SELECT {cols} FROM x WHERE rn <= "
 simple("q8_get_latest", lambda b: Q.newest(b, 30), NEWEST + "30", OHLCV)
 simple("q9_before", lambda b: Q.before(b, NOW, 20), f", x AS (SELECT symbol, epoch_ms(timestamp) AS timestamp, open, close, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rn FROM b WHERE timestamp + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}' AND timestamp >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS) SELECT {{cols}} FROM x WHERE rn <= 20".replace("{{", "{").replace("}}", "}"), "open close")

@@ -137,8 +137,9 @@ def delete_range(spark: SparkSession, root: str, start: str, end: str, scratch:
     without_range(bars.join(counts.select(*KEYS), KEYS, "left_semi"), start, end).write.mode("overwrite").parquet(f"{scratch}/rows")
     write_bars(spark.read.parquet(f"{scratch}/rows").drop("year", "month"), root)
     jvm = spark.sparkContext._jvm
-    for row in counts.where("remaining = 0").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path("/".join([root, *[f"{k}={row[k]}" for k in KEYS]]))
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in counts.where("remaining = 0").toLocalIterator():  # folders of months that are empty now
+        path = jvm.org.apache.hadoop.fs.Path("/".join([root, *[f"{k}={escaped(str(row[k]))}" for k in KEYS]]))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return counts
 

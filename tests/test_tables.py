@@ -67,8 +67,10 @@ def test_storage_round_trip_and_pruning(spark, tmp_path):
     counts = storage.delete_range(spark, root, "2024-04-01", "2024-04-30", str(tmp_path / "s2"), "symbol = 'A'")
     assert [(r.month, r.deleted, r.remaining) for r in counts.collect()] == [(4, 9, 0)]
     assert storage.read_bars(spark, root).where("symbol = 'A'").count() == 31
+    storage.delete_range(spark, root, "2024-04-01", "2024-04-30", str(tmp_path / "s5"), "symbol = 'B/C'")
+    assert storage.read_bars(spark, root).count() == 62
     storage.compact(spark, root, str(tmp_path / "s3"))
-    assert storage.read_bars(spark, root).count() == 71
+    assert storage.read_bars(spark, root).count() == 62
     fresh = storage.upsert(spark, str(tmp_path / "new"), month(spark, rows=2), str(tmp_path / "s4"))
     assert fresh.first().records == 2
 
