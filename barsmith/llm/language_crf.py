@@ -214,7 +214,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_
     picked = picked.select(F.col("_id").alias("_pick"), "_lang").distinct()
     # Bounded by the limits above.
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_own")).join(F.broadcast(picked), F.col("_id").eqNullSafe(F.col("_pick")) & (F.col("_own") == F.col("_lang")))
-    found = joined.select("_id", "_text", "_lang").toPandas().sort_values(["_id", "_lang"], kind="stable").drop_duplicates("_id")
+    found = joined.select("_id", "_text", "_lang").toPandas().sort_values(["_id", "_lang", "_text"], kind="stable").drop_duplicates("_id")
     return fit(found["_text"].fillna("").tolist(), found["_lang"].tolist())
 
 

@@ -128,7 +128,7 @@ def feature_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(what), np.concatenate(weight)
 
 
-def norms(rows: np.ndarray, chunk: int = 4096) -> np.ndarray:
+def norms(rows: np.ndarray, chunk: int = 2048) -> np.ndarray:
     """Square roots of the kernel of each word with itself, by the recursion of ``kernel`` for many words at once."""
     n, width = rows.shape
     out = np.ones(n)
@@ -166,8 +166,8 @@ class Model:
         where, lengths = np.array([i for i, _ in parts]), np.array([len(p) for p in texts])
         for size in np.unique(lengths):
             pick = np.flatnonzero(lengths == size)
-            for i in range(0, len(pick), 50_000):
-                chunk = pick[i : i + 50_000]
+            for i in range(0, len(pick), 10_000):
+                chunk = pick[i : i + 10_000]
                 rows, _ = encode([texts[c] for c in chunk])
                 total = np.zeros(len(chunk))
                 for a, b, c, w in _triples(rows.shape[1]):
@@ -336,7 +336,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     picked = kept[0].unionByName(kept[1]).withColumnRenamed(id_col, "_pick")
     # Bounded by the two limits above.
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_pick"))
-    return joined.select("_id", "_text", "_y").toPandas().sort_values("_id", kind="stable").drop_duplicates("_id")
+    return joined.select("_id", "_text", "_y").toPandas().sort_values(["_id", "_text"], kind="stable").drop_duplicates("_id")
 
 
 def train_rows(id_col: F.Column) -> F.Column:
@@ -344,25 +344,31 @@ def train_rows(id_col: F.Column) -> F.Column:
     return ~held_out(id_col, 3, 1)
 
 
+#: Texts whose words are in memory at once, and words that a task remembers.
+SLICE, REMEMBER = 1000, 300_000
+
+
 def _scored(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, cache = model.value, {}
         for batch in batches:
-            sets = [tokens(t or "") for t in batch["_text"]]
-            if len(cache) > 1_000_000:
-                cache.clear()
-            new = list(set().union(*sets) - cache.keys()) if sets else []
-            cache.update(zip(new, m.word_scores([bare(w) for w in new]).tolist(), strict=True))
-            top, count = np.full(len(sets), -1.0), np.zeros((len(sets), len(MARGINS)))
-            for i, s in enumerate(sets):
-                if s:
-                    f = [cache[w] for w in s]
-                    top[i] = max(f)
-                    if top[i] > MARGINS[0]:
-                        # Words that differ only in marks count once.
-                        told = {bare(w): x for w, x in zip(s, f, strict=True) if x > MARGINS[0]}
-                        count[i] = pool(np.array(list(told.values())))[1]
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": m.probability(top, count), "top": top})
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                sets = [tokens(t or "") for t in part["_text"]]
+                if len(cache) > REMEMBER:
+                    cache.clear()
+                new = list(set().union(*sets) - cache.keys())
+                cache.update(zip(new, m.word_scores([bare(w) for w in new]).tolist(), strict=True))
+                top, count = np.full(len(sets), -1.0), np.zeros((len(sets), len(MARGINS)))
+                for i, s in enumerate(sets):
+                    if s:
+                        f = [cache[w] for w in s]
+                        top[i] = max(f)
+                        if top[i] > MARGINS[0]:
+                            # Words that differ only in marks count once.
+                            told = {bare(w): x for w, x in zip(s, f, strict=True) if x > MARGINS[0]}
+                            count[i] = pool(np.array(list(told.values())))[1]
+                yield pd.DataFrame({"id": part["id"], "held_out": part["held_out"], "score": m.probability(top, count), "top": top})
 
     return run
 
@@ -392,7 +398,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_co
         score = _scored(shared)
         for batch in batches:
             part = pd.DataFrame({"id": np.arange(len(batch)), "held_out": False, "_text": batch[text_col].to_numpy()})
-            (scored,) = score(iter([part]))
-            yield batch[(scored["score"] < threshold).to_numpy()]
+            low = [(scored["score"] < threshold).to_numpy() for scored in score(iter([part]))]
+            if low:
+                yield batch[np.concatenate(low)]
 
     return docs.mapInPandas(run, docs.schema)
