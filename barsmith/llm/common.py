@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,6 +162,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offset
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (column number ``text``) have ``limit`` bytes at most, or one row."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(size, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def batch_word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts of a column, and where each text's words begin (n + 1)."""
     body, offset = text_buffers(column)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, fresh, group_bounds, mix64, whole_groups
+from .common import batch_word_hashes, fresh, group_bounds, mix64, sliced, whole_groups
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -47,7 +47,7 @@ def _runs(h: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.
 
 def _seeds(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             key = batch.column(0).to_numpy(zero_copy_only=False)
             h, begin = batch_word_hashes(batch.column(1))
             at, g = _runs(h, begin, width)
@@ -62,7 +62,7 @@ def _probe(width: int, table):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, items, places = table.value
-        for batch in batches:
+        for batch in sliced(batches, 1):
             key = batch.column(0).to_numpy(zero_copy_only=False)
             h, begin = batch_word_hashes(batch.column(1))
             at, g = _runs(h, begin, width)

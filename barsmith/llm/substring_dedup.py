@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, mix64, text_buffers
+from .common import batch_word_hashes, materialize, mix64, sliced, text_buffers
 
 WINDOW, GRAM = 35, 8
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -65,7 +65,7 @@ def _windows(h: np.ndarray, begin: np.ndarray, window: int, gram: int) -> tuple[
 
 def _fingerprints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             key = batch.column(0).to_numpy(zero_copy_only=False)
             h, begin = batch_word_hashes(batch.column(1))
             _, low, g = _windows(h, begin, window, gram)
@@ -95,7 +95,7 @@ def _hashes(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]
 def _stretches(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each place of a marked fingerprint: its first window, how many windows, and hashes of the whole stretch."""
-        for batch in batches:
+        for batch in sliced(batches, 2):
             key = batch.column(1).to_numpy(zero_copy_only=False)
             marked = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             h, begin = batch_word_hashes(batch.column(2))
@@ -116,7 +116,7 @@ def _stretches(window: int, gram: int):
 def _single_windows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All windows whose smallest gram is at a listed place, with their hashes."""
-        for batch in batches:
+        for batch in sliced(batches, 2):
             key = batch.column(1).to_numpy(zero_copy_only=False)
             h, begin = batch_word_hashes(batch.column(2))
             lists = batch.column(3)
@@ -133,7 +133,7 @@ def _single_windows(window: int, gram: int):
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             body, offset = text_buffers(batch.column(1))
             lists = batch.column(2)
             spot, empty = np.asarray(lists.offsets), np.asarray(lists.is_null())
@@ -199,16 +199,24 @@ class WindowIndex:
         if len(self.runs) < 2:
             return
         old, self.runs = self.runs, []
-        self._write(self._all(old).groupBy("h").agg(F.sum("n").alias("n"), F.max("repeated").alias("repeated")))
+        self._write(self._merged(old))
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
 
     def repeated(self) -> DataFrame:
         """Fingerprints (h) that more than one place has had."""
-        return self._all(self.runs).where("repeated").select("h").distinct()
+        return self._merged(self.runs).where("repeated").select("h")
 
-    def _all(self, names: list[str]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.spark.table(r) for r in names])
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One row for each fingerprint of several runs: full merge joins, bucket by bucket, without a shuffle."""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.select("h", F.col("n").alias("_n"), F.col("repeated").alias("_r"))
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))
+            marked = F.coalesce("repeated", F.lit(False)) | F.coalesce("_r", F.lit(False)) | (n > 1)
+            return a.join(b.hint("merge"), "h", "full").select("h", n.alias("n"), marked.alias("repeated"))
+
+        return reduce(two, [self.spark.table(r) for r in names])
 
     def _write(self, rows: DataFrame) -> str:
         name, self._made = f"{self.name}_run{self._made}", self._made + 1
@@ -238,7 +246,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         index.add(fingerprints(keyed.where(F.pmod("k", F.lit(batches)) == b), window, gram))
     index.compact()
 
-    marks = fingerprints(keyed, window, gram).join(index.repeated(), "h", "left_semi")
+    # As a plain table, so that Spark may split the partition of a fingerprint that very many texts have.
+    repeated = materialize(index.repeated(), "repeated")
+    marks = fingerprints(keyed, window, gram).join(repeated, "h", "left_semi")
     marks = marks.groupBy("k").agg(F.collect_set("h").alias("marks"))
     # All three joins of texts read one shuffle by k.
     rows = keyed.select("id", "k", "text")
