@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, fresh, materialize, words
+from .shingle_links import alike_components
 
 #: Generator polynomial of the binary Golay code of length 23, and the segments (shift, bits).
 GOLAY = 0xAE3
@@ -240,12 +241,12 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Keep one document of each component: that with the smallest id (one row of it, if rows repeat).
+    """Keep one document of each component of texts whose five-word shingles are alike to 0.8 or more: that with the smallest id (one row of it, if rows repeat).
 
     Rows with a null id can't be named as copies; one stays for each distinct text.
     """
     keep, tag = fresh(docs, "_keep", "_tag")
-    ids = near_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
+    ids = alike_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
     kept = docs.join(ids, docs[id_col].eqNullSafe(F.col(keep)), "left_semi")
     name = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     return kept.withColumn(tag, name).dropDuplicates([tag]).drop(tag)
