@@ -15,7 +15,9 @@ independent 64-bit hashes of all words. First each place of a marked fingerprint
 stands for the stretch of all windows that it is the smallest gram of: where two
 stretches are equal, so are all their windows. Only the windows of stretches
 that stay alone, and those of one stretch of each equal set that could meet
-them, are then counted one by one.
+them, are then counted one by one. An index that is handed from call to call
+also keeps the hashes of all windows of each call: a window of a later call
+that stands among them is repeated.
 """
 
 from __future__ import annotations
@@ -131,6 +133,18 @@ def _single_windows(window: int, gram: int):
     return run
 
 
+def _all_windows(window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The fingerprint and both hashes of every window."""
+        for batch in sliced(batches, 0):
+            h, begin = batch_word_hashes(batch.column(0))
+            starts, low, g = _windows(h, begin, window, gram)
+            w1, w2 = _hashes(h, starts, np.full(len(starts), window))
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (g[low], w1, w2)], names=["h", "w1", "w2"])
+
+    return run
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -170,12 +184,16 @@ class WindowIndex:
     """Runs of window fingerprints, kept as bucketed, sorted tables in the warehouse.
 
     ``fan`` runs are merged into one. Runs are never changed once written.
+    ``windows`` are tables of window hashes, one for each call of
+    ``remove_repeats`` that was handed the index; ``add`` alone leaves none.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 32, fan: int = 3):
         self.spark, self.buckets, self.fan = spark, buckets, fan
         self.name = name or f"windows_{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.windows: list[str] = []
+        self.shape: tuple[int, int] | None = None
         self._made = 0
 
     def add(self, fingerprints_: DataFrame) -> str:
@@ -203,6 +221,13 @@ class WindowIndex:
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
 
+    def keep_windows(self, texts: DataFrame, window: int, gram: int) -> None:
+        """Write the hashes of all windows of a batch (column text) for later calls."""
+        rows = texts.select("text").mapInArrow(_all_windows(window, gram), "h long, w1 long, w2 long").distinct()
+        name = f"{self.name}_windows{len(self.windows)}"
+        rows.repartition(self.buckets, "h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self.windows.append(name)
+
     def repeated(self) -> DataFrame:
         """Fingerprints (h) that more than one place has had."""
         return self._merged(self.runs).where("repeated").select("h")
@@ -233,22 +258,30 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     empty texts have no words; texts shorter than a window keep all. Repeated
     rows count as other places. The corpus enters the index in ``batches``
     steps, each merge-joined with what came before; the result doesn't depend on
-    their number. An ``index`` from earlier calls adds its history to the candidates;
-    windows are verified within ``docs``.
+    their number. With an ``index`` from earlier calls, windows of the texts of
+    those calls are other places too; what those calls returned stays as it was.
+    All calls of an index must have the same ``window`` and ``gram``.
     """
     if window > len(_WINDOW_CODES[0]) or not 0 < gram <= window:
         raise ValueError("0 < gram <= window <= 4096 must hold")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("k", F.xxhash64("id", "text"))
-    index = index or WindowIndex(spark)
+    lasting, index = index is not None, index or WindowIndex(spark)
+    if index.shape not in (None, (window, gram)):
+        raise ValueError("the index was made with another window or gram")
+    index.shape = (window, gram)
+    history = [spark.table(name) for name in index.windows]
     for b in range(batches):
         index.add(fingerprints(keyed.where(F.pmod("k", F.lit(batches)) == b), window, gram))
     index.compact()
 
     # As a plain table, so that Spark may split the partition of a fingerprint that very many texts have.
     repeated = materialize(index.repeated(), "repeated")
+    if lasting:
+        index.keep_windows(keyed, window, gram)
     marks = fingerprints(keyed, window, gram).join(repeated, "h", "left_semi")
+    met = marks.select("h").distinct()
     marks = marks.groupBy("k").agg(F.collect_set("h").alias("marks"))
     # All three joins of texts read one shuffle by k.
     rows = keyed.select("id", "k", "text")
@@ -263,6 +296,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     open_ = rows.join(places.hint("shuffle_hash"), "k").select("id", "k", "text", "places")
     windows = open_.mapInArrow(_single_windows(window, gram), "k long, start int, w1 long, w2 long")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    # Stretches that are equal to none here are alone, so all their windows are among those that meet the history.
+    for old in history:
+        twice = twice.union(old.join(met, "h", "left_semi").select("w1", "w2")).distinct()
     hits = windows.join(twice, ["w1", "w2"], "left_semi").select("k", "start", F.lit(1).alias("many"))
 
     gone = whole.unionByName(hits).groupBy("k").agg(F.collect_set(F.struct("start", "many")).alias("gone"))

@@ -66,3 +66,27 @@ def test_index_keeps_runs_and_compacts(spark):
     name = index.add(S.fingerprints(keyed[2]))
     assert index.repeated().count() > 0
     assert spark.table(index.runs[0]).where("n > 1").count() > 0 and name not in index.runs
+
+
+def test_windows_of_earlier_calls_count(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+    shared = [rng.choices(vocab, k=rng.choice([7, 9, 20])) for _ in range(15)]
+    calls = []
+    for c in range(2):
+        rows = []
+        for i in range(25):
+            w = rng.choices(vocab, k=rng.randint(0, 30))
+            at = rng.randint(0, len(w))
+            rows.append((100 * c + i, " ".join(w[:at] + rng.choice(shared) + w[at:])))
+        calls.append(rows)
+    calls[1].append(calls[0][3])  # the same row again
+    index, before = S.WindowIndex(spark, buckets=4), []
+    for rows in calls:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        now, want = got(S.remove_repeats(df, window=7, gram=3, index=index)), brute([*before, *rows], 7)
+        assert all(r in want for r in now) and len(now) == len(rows)
+        assert not before or now != brute(rows, 7)
+        before += rows
+    with pytest.raises(ValueError):
+        S.remove_repeats(df, index=index)
