@@ -23,11 +23,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a folder of
-    our own is chosen and set.
+    Only where a session on one machine leaves it unset (tests) a folder of our
+    own is chosen and set; on a cluster such a folder would be lost with its
+    machine, so there it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="barsmith-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -60,6 +63,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits (md5) that name a row by the values of columns; null differs from every value."""
+    parts = []
+    for name in columns:
+        text = F.col(name).cast("string")
+        parts.append(F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,28 +1,37 @@
 """Main text of web pages by differencing pages with near URLs.
 
-A page is cut into lines (blocks) with the structure around them. Pages of a
-host are put in the order of their URL paths; a page is compared with the
-nearest one that isn't a copy of it, lines are aligned by longest common
-subsequence, and lines that both have are template and go. Lines inside an
-explicit article (``article`` or ``main``) are never up for deletion, since
-copied passages in articles are text, and lines in elements that name their
-role (navigation, adverts, forms and so on) always go: pages of one host needn't
-repeat them word by word.
+A page is cut into lines (blocks). The pages of a host stand in the order of
+their URL paths; pages in a row that have the same three longest lines are
+copies of each other and count as one place of that order, so the nearest
+different page is found however many copies stand between. The lines of a page
+are aligned with each of the two places before and after it by longest common
+subsequence. Lines aligned with the nearest page that isn't a copy are template
+and go; what all places around share tells template from copied text.
+
+Markup is the second witness. Lines in elements that name their role
+(navigation, adverts, forms and so on) always go, since pages of one host needn't
+repeat them word by word. Lines inside ``article`` or ``main`` go only if two
+places on either side share them and they stand before the first or after the
+last line of the article that isn't so shared: a copied passage is text.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, with_global_rank
+from .common import materialize, row_key, sliced
 
 # Elements and names that aren't article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,29 +40,76 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 DROP = frozenset("head title script style noscript template nav footer aside form button select textarea iframe object svg canvas dialog menu".split())
+#: Never shown, so no lines at all.
+UNSEEN = frozenset("head title script style noscript template iframe object svg canvas".split())
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar footer comment comments "
     "respond disqus cookie cookies consent gdpr notice notices banner newsletter subscribe subscription popup modal overlay social share sharing related "
     "breadcrumb breadcrumbs pagination pager widget login signup toolbar masthead copyright".split()
 )
+#: Words beside which a name keeps its meaning ("site-footer", "share-buttons"), unlike others ("no-sidebar", "related-work").
+BESIDE = frozenset("site page top bottom left right list item items box block bar button buttons link links wrap wrapper container inner outer area section slot unit zone panel primary secondary global header form main".split())
+# Fixed values of the HTML syntax: a start tag ends open elements of these kinds, unless one of the fences stands between.
+_PARAGRAPH_ENDS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
+)
+_CELLS = frozenset(("td", "th"))
+_IMPLIED = {
+    "li": (frozenset(("li", "p")), frozenset(("ul", "ol", "menu", "dir"))),
+    "dt": (frozenset(("dt", "dd", "p")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd", "p")), frozenset(("dl",))),
+    "td": (_CELLS | {"p"}, frozenset(("tr", "table"))),
+    "th": (_CELLS | {"p"}, frozenset(("tr", "table"))),
+    "tr": (_CELLS | {"tr", "p"}, frozenset(("table", "tbody", "thead", "tfoot"))),
+    **{t: (_CELLS | {"tr", "thead", "tbody", "tfoot", "caption", "p"}, frozenset(("table",))) for t in ("thead", "tbody", "tfoot")},
+    "option": (frozenset(("option",)), frozenset(("select", "optgroup", "datalist"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+#: A paragraph inside one of these isn't ended by what starts outside of them.
+_PARAGRAPH_FENCE = frozenset(("button", "td", "th", "caption", "object", "html", "table", "template"))
 #: A tag that the end of the page cuts off.
 _CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 SPLIT = re.compile(r"[^a-z0-9]+")
-#: A neighbour with which a page shares at least this part of the longer one's open characters is a copy and tells nothing.
-COPY = 0.8
-#: Neighbours on either side among which the nearest is looked for.
+#: A page with which this part of the longer one's lines without a role is shared is a copy; so is one that shares ALIKE of what not all pages around share.
+COPY, ALIKE = 0.8, 0.5
+#: Places of different pages on either side with which a page is aligned.
 REACH = 2
+#: Longest lines that name a page among its neighbours.
+LEAD = 3
+#: Pages of one place in one task, where a place is joined to its pages.
+SPREAD = 10_000
+
+
+def named(value: str) -> bool:
+    """Whether a class or id, as written, names a role: one of its words is a name, alone or beside words that leave it its meaning."""
+    for token in value.lower().split():
+        parts = [p for p in SPLIT.split(token) if p and not p.isdigit()]
+        if not NAMES.isdisjoint(parts) and all(p in NAMES or p in BESIDE for p in parts):
+            return True
+    return False
+
+
+@dataclass
+class Line:
+    text: str
+    article: int  # number of the innermost article that holds it, 0 for none
+    roles: tuple[int, ...]  # numbers of the elements around it that name a role
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (text, inside an article)."""
+    """Lines of a page, with open elements as (tag, number of its role or 0, number of its article or 0)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
-        self.open: list[tuple[str, bool]] = []
-        self.dropped = self.articles = 0
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, int, int]] = []
+        self.count: Counter[str] = Counter()
+        self.roles: list[int] = []
+        self.articles: list[int] = []
+        self.unseen = self.n_roles = self.n_articles = 0
+        self.by_name: set[int] = set()
         self.parts: list[str] = []
 
     def flush(self) -> None:
@@ -61,30 +117,77 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, self.articles > 0))
+                self.lines.append(Line(text, self.articles[-1] if self.articles else 0, tuple(self.roles)))
+
+    def _close(self, at: int) -> None:
+        """End the open element number ``at`` alone."""
+        tag, role, article = self.open.pop(at)
+        self.count[tag] -= 1
+        if role:
+            self.roles.remove(role)
+        if article:
+            self.articles.remove(article)
+        self.unseen -= tag in UNSEEN
+
+    def _imply(self, kinds: frozenset[str], fences: frozenset[str]) -> None:
+        """End open elements down to the lowest one of the kinds above the nearest fence."""
+        if not any(self.count[k] for k in kinds):
+            return
+        low = None
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in fences:
+                break
+            if self.open[i][0] in kinds:
+                low = i
+        if low is not None:
+            while len(self.open) > low:
+                self._close(len(self.open) - 1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
+        if self.count["head"] and tag not in IN_HEAD and tag != "head":
+            self._imply(frozenset(("head",)), frozenset())
+        if tag in _PARAGRAPH_ENDS:
+            self._end_paragraph()
+        if tag in _IMPLIED:
+            self._imply(*_IMPLIED[tag])
         if tag in VOID:
             return
-        drop = tag in DROP or tag == "header" and not self.articles or bool(attrs) and self._named(attrs)
-        self.open.append((tag, drop))
-        self.dropped += drop
-        if tag in ("article", "main"):
-            self.articles += 1
-
-    @staticmethod
-    def _named(attrs: list[tuple[str, str | None]]) -> bool:
+        role = article = 0
+        by_tag = tag in DROP or tag == "header" and not self.articles
+        by_name = False
         for name, value in attrs:
-            value = (value or "").lower()
-            if name in ("class", "id") and not NAMES.isdisjoint(SPLIT.split(value)):
-                return True
-            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-        return False
+            value = value or ""
+            if name in ("class", "id"):
+                by_name = by_name or named(value)
+            elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
+                by_tag = True
+        if by_tag or by_name:
+            self.n_roles += 1
+            role = self.n_roles
+            self.roles.append(role)
+            if not by_tag:
+                self.by_name.add(role)
+        if tag in ("article", "main"):
+            self.n_articles += 1
+            article = self.n_articles
+            self.articles.append(article)
+        self.unseen += tag in UNSEEN
+        self.open.append((tag, role, article))
+        self.count[tag] += 1
+
+    def _end_paragraph(self) -> None:
+        """End the nearest open ``p`` with what is open inside it; inline elements around it stay open, so nothing else ends."""
+        if not self.count["p"]:
+            return
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in _PARAGRAPH_FENCE:
+                return
+            if self.open[i][0] == "p":
+                while len(self.open) > i:
+                    self._close(len(self.open) - 1)
+                return
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -93,128 +196,251 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        if not any(t == tag for t, _ in self.open):
+        if not self.count[tag]:
             return
-        while self.open:
-            t, drop = self.open.pop()
-            self.dropped -= drop
-            self.articles -= t in ("article", "main")
-            if t == tag:
-                break
+        at = len(self.open) - 1
+        while self.open[at][0] != tag:
+            if tag not in BLOCK and self.open[at][0] in BLOCK:
+                # The end of an inline element doesn't end the blocks opened inside it.
+                while self.open[at][0] != tag:
+                    at -= 1
+                self._close(at)
+                return
+            at -= 1
+        while len(self.open) > at:
+            self._close(len(self.open) - 1)
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped:
+        if not self.unseen:
             self.parts.append(data)
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool]]:
-    """Lines of a page that no named element excludes. If the page has an article, only lines inside it are closed to differencing."""
-    parser = _Lines()
-    parser.feed(_CUT_TAG.sub("", html or ""))
-    parser.close()
-    parser.flush()
-    return parser.lines
+_SIZE = 0xFFFF
 
 
-_SIZE = 0xFFFF
+@dataclass
+class Page:
+    texts: list[str]
+    article: np.ndarray  # whether a line is inside an article
+    role: np.ndarray  # whether a line is inside an element that names its role
 
+    def hashes(self) -> list[int]:
+        """One number for each line: a hash of it, its size (``_SIZE`` at most) and, lowest bit, whether it has a role."""
+        whole = [xxhash.xxh64_intdigest(t) & ~(2 * _SIZE + 1) | min(len(t), _SIZE) << 1 | int(r) for t, r in zip(self.texts, self.role, strict=True)]
+        return [int(np.uint64(h).view(np.int64)) for h in whole]
 
-def line_hash(text: str) -> int:
-    """Hash of a line whose last 16 bits are the line's length (65,535 at most)."""
-    return int(np.uint64(xxhash.xxh64_intdigest(text) & ~_SIZE | min(len(text), _SIZE)).view(np.int64))
+    def lead(self) -> int:
+        """What near copies have in common: the longest lines without a role."""
+        own = [t for t, r in zip(self.texts, self.role, strict=True) if not r] or self.texts
+        longest = sorted(sorted(set(own), key=lambda t: (-len(t), t))[:LEAD])
+        return int(np.uint64(xxhash.xxh64_intdigest("\n".join(longest))).view(np.int64))
 
 
-def shared_places(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    found, a_, b_ = set(range(low)), a[low:], b[low:]
-    while a_ and b_ and a_[-1] == b_[-1]:
-        found.add(low + len(a_) - 1)
-        a_, b_ = a_[:-1], b_[:-1]
-    both = set(a_) & set(b_)
-    x, y = [i for i, h in enumerate(a_) if h in both], np.array([h for h in b_ if h in both], dtype=np.int64)
-    if not x or not len(y):
-        return found
-    # Lengths of rows as running maxima, one numpy row for each line of a.
+def page_lines(html: str | None) -> Page:
+    """Lines of a page as shown, with what markup tells of each.
+
+    If every article stands inside elements that a class or id names, the names
+    around the longest article don't count.
+    """
+    parser = _Lines()
+    parser.feed(_CUT_TAG.sub("", html or ""))
+    parser.close()
+    parser.flush()
+    lines, void = parser.lines, set()
+    held = [x for x in lines if x.article]
+    if held and all(x.roles for x in held):
+        size: Counter[int] = Counter()
+        for x in held:
+            if all(r in parser.by_name for r in x.roles):
+                size[x.article] += len(x.text)
+        if size:
+            best = max(size, key=lambda a: (size[a], -a))
+            # Only names that all lines of the article have are around it.
+            void = set.intersection(*[set(x.roles) for x in held if x.article == best]) & parser.by_name
+    role = np.array([any(r not in void for r in x.roles) for x in lines], dtype=bool)
+    return Page([x.text for x in lines], np.array([x.article > 0 for x in lines], dtype=bool), role)
+
+
+# ------------------------------------------------------------ alignment
+
+
+def _last_row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with every start of y."""
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    for h in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == h, row[:-1] + 1, 0)))
+    return row
+
+
+def _align(x: np.ndarray, y: np.ndarray, cells: int) -> list[int]:
+    """Places in x of a longest common subsequence with y; tables of at most ``cells`` entries, larger ones are halved."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) == 1:
+        return [0] if (y == x[0]).any() else []
+    if len(x) * len(y) > cells:
+        half = len(x) // 2
+        k = int(np.argmax(_last_row(x[:half], y) + _last_row(x[half:][::-1], y[::-1])[::-1]))
+        return _align(x[:half], y[:k], cells) + [half + i for i in _align(x[half:], y[k:], cells)]
     table = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i, at in enumerate(x):
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(y == a_[at], table[i, :-1] + 1, 0)))
-    i, j = len(x), len(y)
+    for i, h in enumerate(x):
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(y == h, table[i, :-1] + 1, 0)))
+    found, i, j = [], len(x), len(y)
     while i and j:
         if table[i, j] == table[i - 1, j]:
             i -= 1
         elif table[i, j] == table[i, j - 1]:
             j -= 1
         else:
-            found.add(low + x[i - 1])
             i, j = i - 1, j - 1
-    return found
+            found.append(i)
+    return found[::-1]
 
 
-def main_text(lines: list[tuple[str, bool]], neighbours: list[list[int]]) -> tuple[str, int]:
-    """Text of a page, and how many lines went as shared. ``neighbours``: hashes of open lines of near pages, nearest first."""
-    inside = any(a for _, a in lines)
-    if inside:
-        # Outside an explicit article nothing is text; differencing would only agree.
-        return " ".join(t for t, a in lines if a), 0
-    own = [line_hash(t) for t, _ in lines]
-    for other in neighbours:
-        gone = shared_places(own, other)
-        whole = max(sum(h & _SIZE for h in own), sum(h & _SIZE for h in other))
-        if gone and sum(own[i] & _SIZE for i in gone) < COPY * whole:
-            return " ".join(t for i, (t, _) in enumerate(lines) if i not in gone), len(gone)
-    return " ".join(t for t, _ in lines), 0
+def shared_places(a: list[int], b: list[int], cells: int = 4_000_000) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``, in memory that grows with the lines, not their product."""
+    low, high = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    found = set(range(low)) | set(range(len(a) - high, len(a)))
+    mid, other = a[low : len(a) - high], b[low : len(b) - high]
+    both = set(mid) & set(other)
+    if both:
+        x = [i for i, h in enumerate(mid) if h in both]
+        y = np.array([h for h in other if h in both], dtype=np.int64)
+        found.update(low + x[i] for i in _align(np.array([mid[i] for i in x], dtype=np.int64), y, cells))
+    return found
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def main_text(page: Page, around: list[list[int]]) -> tuple[str, int]:
+    """Text of a page, and how many of its lines differencing told to be template. ``around``: line hashes of the places around, nearest first."""
+    n = len(page.texts)
+    if not n:
+        return "", 0
+    size = np.array([len(t) for t in page.texts], dtype=np.int64)
+    own = page.hashes()
+    met = np.zeros((len(around), n), dtype=bool)
+    for i, other in enumerate(around):
+        met[i, list(shared_places(own, other))] = True
+    # What shares no line at all is of another make and tells nothing.
+    told = np.flatnonzero(met.any(axis=1))
+    met = met[told]
+    theirs = [sum(h >> 1 & _SIZE for h in around[i] if not h & 1) for i in told]
+    plain = ~page.role
+    all_met = met.all(axis=0) if len(met) > 1 else np.zeros(n, dtype=bool)
+    total, rest = int(size[plain].sum()), int(size[plain & ~all_met].sum())
+    template = np.zeros(n, dtype=bool)
+    for one, other in zip(met, theirs, strict=True):
+        shared = size[plain & one].sum()
+        is_copy = shared == total or shared >= COPY * max(total, other) or len(met) > 1 and rest and size[plain & one & ~all_met].sum() >= ALIKE * rest
+        if total and not is_copy:
+            template = one | all_met
+            break
+    if len(met) < 2 * REACH or size[plain & all_met].sum() == total:
+        all_met[:] = False
+    keep = plain & ~template
+    inside = plain & page.article
+    if inside.any():
+        own_lines = np.flatnonzero(inside & ~all_met)
+        held = inside.copy()
+        if len(own_lines):
+            held[: own_lines[0]] = False
+            held[own_lines[-1] + 1 :] = False
+        outside = keep & ~page.article
+        # Articles with less text than stands outside of them are teasers.
+        keep = held if size[held].sum() >= size[outside].sum() else held | outside
+    return " ".join(t for t, k in zip(page.texts, keep, strict=True) if k), int((template & ~keep).sum())
+
+
+# ---------------------------------------------------------------- Spark
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 3):
+        pages = [page_lines(h) for h in batch.column(3).to_pylist()]
+        lines, lead = pa.array([p.hashes() for p in pages], pa.list_(pa.int64())), pa.array([p.lead() for p in pages], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lines, lead], names=["_k", "_host", "_path", "_lines", "_lead"])
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 2):
         found = []
-        for html in batch["_html"]:
-            lines = page_lines(html)
-            found.append([] if any(a for _, a in lines) else [line_hash(t) for t, _ in lines])
-        yield pd.DataFrame({"_k": batch["_k"], "_host": batch["_host"], "_path": batch["_path"], "_lines": found})
+        for html, path, near in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            # Nearest: the longest common start of the paths, then the fewest places between, then the place before.
+            near = sorted(near or [], key=lambda x, path=path: -len(os.path.commonprefix([path, x["path"]])))
+            found.append(main_text(page_lines(html), [x["lines"] for x in near]))
+        text, n = pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, n], names=["id", "url", "text", "n_shared"])
 
 
-def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [main_text(page_lines(h), [list(x) for x in near] if near is not None else []) for h, near in zip(batch["_html"], batch["_near"], strict=True)]
-        yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": [t for t, _ in texts], "n_shared": [n for _, n in texts]})
+def _numbered(pages: DataFrame) -> DataFrame:
+    """Pages with ``_run``, the number of their place: pages in a row (host, path, key) with one host and lead share it.
+
+    Rows are dealt by range and numbered inside each partition; a table of one
+    row for each partition carries on the counts and tells whether a run goes on
+    over a border.
+    """
+    order = ["_host", "_path", "_k"]
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.select("*", F.spark_partition_id().alias("_part"), low.alias("_at")), "ordered")
+    row = Window.partitionBy("_part").orderBy("_at")
+    mark = F.struct("_host", "_lead")
+    flagged = dealt.withColumn("_new", (~mark.eqNullSafe(F.lag(mark).over(row)) & (F.col("_at") > 0)).cast("long"))
+    flagged = flagged.withColumn("_run", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    # One row for each shuffle partition, so its size is bounded by that setting.
+    parts = flagged.groupBy("_part").agg(F.sum("_new").alias("_n"), F.min_by(mark, "_at").alias("_first"), F.max_by(mark, "_at").alias("_last"))
+    way = Window.orderBy("_part")
+    parts = parts.withColumn("_fresh", (~F.col("_first").eqNullSafe(F.lag("_last").over(way))).cast("long"))
+    base = F.sum(F.col("_fresh") + F.col("_n")).over(way.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    parts = F.broadcast(parts.select("_part", base.alias("_base")))
+    return flagged.join(parts, "_part").withColumn("_run", F.col("_run") + F.col("_base")).drop("_part", "_at", "_new", "_base")
+
+
+def neighbours(pages: DataFrame, reach: int = REACH) -> DataFrame:
+    """For each key of ``pages`` (_k, _host, _path, _lines, _lead): _near, an array of (path, lines) of the places around it, by distance."""
+    runs = materialize(_numbered(pages), "pages")
+    first, last = (f(F.struct(F.col("_path").alias("path"), F.col("_lines").alias("lines")), F.struct("_path", "_k")) for f in (F.min_by, F.max_by))
+    # A page before shows itself by the last page of its place, a page after by the first.
+    places = materialize(runs.groupBy("_run").agg(F.first("_host").alias("_host"), F.count(F.lit(1)).alias("_n"), first.alias("_first"), last.alias("_last")), "places")
+    # One row for each place and neighbour; both sides of the joins have one row for each place.
+    met = None
+    for step in range(1, reach + 1):
+        for turn, (way, shown) in enumerate(((-step, "_last"), (step, "_first"))):
+            other = places.select((F.col("_run") - way).alias("_run"), F.col("_host").alias("_h"), F.col(shown).alias("page"))
+            one = places.select("_run", "_host", "_n").join(other, "_run").where("_host = _h").select("_run", "_n", F.struct(F.lit(2 * step + turn).alias("turn"), "page").alias("_x"))
+            met = one if met is None else met.unionByName(one)
+    near = met.groupBy("_run").agg(F.max("_n").alias("_n"), F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["page"]).alias("_near"))
+    # The one row of a place with very many pages is repeated, so that its pages spread over tasks.
+    salts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(SPREAD))).cast("int")
+    near = near.select("_run", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), "_near")
+    sizes = places.select("_run", salts.alias("_salts")).where("_salts > 1")
+    keys = runs.select("_k", "_run").join(F.broadcast(sizes), "_run", "left") if sizes.count() <= 100_000 else runs.select("_k", "_run").join(sizes, "_run", "left")
+    keys = keys.withColumn("_salt", F.pmod(F.xxhash64("_k"), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int"))
+    return keys.join(near, ["_run", "_salt"]).select("_k", "_near")
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """One row per input row: id, url, text (white space inside a block made one space, blocks joined by a space), n_shared.
 
-    Null and empty pages have an empty text. A page without a host, or alone on
-    its host, is read by structure only. Rows that repeat id, url and html are
-    one page in the order of URLs. Order within a host: path, then a hash of the
-    page. Nearest: longest common start of the paths, then the page before.
+    ``n_shared``: lines that differencing told to be template and that are not
+    in the text. Null and empty pages have an empty text. A page without a host,
+    or alone on its host (copies don't count), is read by structure only. Rows
+    that repeat id, url and html are one page in the order of URLs and give the
+    same row each. Ties: pages of one path stand in the order of a hash of
+    their row. An empty table gives no rows. Ids keep their type and bits;
+    other columns are not read, whatever their names. Very long pages are read
+    whole; they are aligned in memory that grows with their number of lines.
     Whole pages are shuffled once, to meet the few hashes of their neighbours.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)", 1)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"), host.alias("_host"), path.alias("_path"))
-    rows = rows.withColumn("_k", F.xxhash64("id", "url", "_html"))
-    lines = rows.select("_k", "_host", "_path", "_html").mapInPandas(_signatures, "_k long, _host string, _path string, _lines array<long>")
-    ranked = with_global_rank(lines.where("_host <> ''").dropDuplicates(["_k"]), ["_host", "_path", "_k"], "_rank")
-    ranked = materialize(ranked, "pages")
-    near = []
-    for step in range(1, REACH + 1):
-        for way in (-step, step):
-            other = ranked.select((F.col("_rank") - way).alias("_rank"), F.col("_host").alias("_h"), F.col("_path").alias("_p"), F.col("_lines").alias("_l"))
-            near.append(ranked.select("_k", "_rank", "_host", "_path").join(other, "_rank").where("_host = _h").select("_k", F.struct((-_common(F.col("_path"), F.col("_p"))).alias("far"), F.lit(2 * step + (way > 0)).alias("turn"), F.col("_l").alias("lines")).alias("_n")))
-    met = near[0]
-    for n in near[1:]:
-        met = met.unionByName(n)
-    met = met.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list("_n")), lambda n: n["lines"]).alias("_near"))
+    rows = rows.withColumn("_k", row_key("id", "url", "_html"))
+    lines = rows.where("_host <> ''").select("_k", "_host", "_path", "_html").mapInArrow(_signatures, "_k binary, _host string, _path string, _lines array<long>, _lead long")
+    met = neighbours(lines.where(F.size("_lines") > 0).dropDuplicates(["_k"]))
     id_type = pages.select(id_col).schema[0].dataType.simpleString()
-    joined = rows.select("id", "url", "_html", "_k").join(met.hint("shuffle_hash"), "_k", "left")
-    return joined.select("id", "url", "_html", "_near").mapInPandas(_extracted, f"id {id_type}, url string, text string, n_shared long").withColumnRenamed("id", id_col)
-
-
-def _common(a, b):
-    """Length of the common start of two texts."""
-    n = F.least(F.char_length(a), F.char_length(b))
-    first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)))
-    return F.when(n == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(first, F.lit(1)) - 1, n))
+    joined = rows.select("id", "url", "_html", "_path", "_k").join(met.hint("shuffle_hash"), "_k", "left")
+    return joined.select("id", "url", "_html", "_path", "_near").mapInArrow(_extracted, f"id {id_type}, url string, text string, n_shared long").withColumnRenamed("id", id_col)
