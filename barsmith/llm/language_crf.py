@@ -8,7 +8,8 @@ of a document's words add up to its language.
 
 The chain runs over all words of many documents at once: products of transition
 matrices inside blocks of words are vectorised, and a short scan links the
-blocks, which is exact.
+blocks. A text that is longer than what is held at once is read in chunks whose
+products are linked the same way. Both are exact.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import held_out
+from .common import held_out, materialize, sliced
 
-#: Documents of each language that are read for the fit, at most, and languages, the most frequent ones.
-MAX_DOCS, MAX_LANGUAGES = 120, 64
-TABLE_BITS = 17
+#: Documents that are read for the fit, at most: of each language, and of all. Every language gives one at least.
+MAX_DOCS, MAX_ALL = 120, 8_000
+#: The feature table has 2 ** TABLE_BITS rows, fewer where these times the languages would pass 2 ** WEIGHT_BITS.
+TABLE_BITS, WEIGHT_BITS = 17, 24
 LONGEST = 24
-#: Words that are in memory at once; the chain of a longer text is cut there.
-CHUNK = 250_000
+#: Words that are in memory at once (fewer with many languages); longer texts are read in such chunks.
+CHUNK = 249_984
 BLOCK = 64
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], dtype=np.uint64)
 
@@ -54,7 +57,7 @@ def bare(word: str) -> str:
     return word[low:high]
 
 
-def feature_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def feature_rows(words: list[str], bits: int = TABLE_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For groups of words of one length: their positions, and rows of hashed features."""
     size = np.array([len(w) for w in words], dtype=np.int64)
     out = []
@@ -78,56 +81,106 @@ def feature_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         cols += [gram(i, k, k + 2) for k in (1, 2, 3) for i in range(1, n + 2 - k)]
         h = np.column_stack(cols)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out.append((at, (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)))
+        out.append((at, (h >> np.uint64(64 - bits)).astype(np.int64)))
     return out
 
 
 # --------------------------------------------------------------- chain
 
 
-def posteriors(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Posterior label shares of every word of concatenated chains, by forward-backward.
+class Chain:
+    """Forward-backward over the words of concatenated chains.
 
     ``score`` is words x labels (log), ``first`` marks words that begin a chain,
     ``trans`` and ``start`` are log weights.
     """
-    n, k = score.shape
-    if not n:
+
+    def __init__(self, score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray):
+        self.n, self.k = score.shape
+        self.blocks = -(-self.n // BLOCK)
+        phi = np.ones((self.blocks * BLOCK, self.k))
+        phi[: self.n] = np.exp(score - score.max(axis=1, keepdims=True))
+        self.phi = phi.reshape(self.blocks, BLOCK, self.k)
+        reset = np.zeros(self.blocks * BLOCK, dtype=bool)
+        reset[: self.n] = first
+        reset[self.n :] = True  # what fills up the last block tells nothing about the words before
+        self.reset = reset.reshape(self.blocks, BLOCK)
+        self.step, self.start = np.exp(trans - trans.max()), np.exp(start - start.max())
+        product = np.tile(np.eye(self.k), (self.blocks, 1, 1))
+        for t in range(BLOCK):
+            new = product @ self.step
+            on = self.reset[:, t]
+            if on.any():
+                new[on] = product[on].sum(axis=2, keepdims=True) * self.start
+            product = new * self.phi[:, t, None, :]
+            product /= product.max(axis=(1, 2), keepdims=True)
+        self.product = product
+
+    def whole(self) -> np.ndarray:
+        """What all words do to a vector of label weights, up to a factor."""
+        out = np.eye(self.k)
+        for p in self.product:
+            out = out @ p
+            out /= out.max()
+        return out
+
+    def run(self, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward weights of every word, each up to a factor; ``before`` and ``after`` are those at the ends.
+
+        ``after`` counts only if the words fill whole blocks.
+        """
+        left, right = np.ones((self.blocks, self.k)), np.ones((self.blocks, self.k))
+        if before is not None:
+            left[0] = before
+        if after is not None:
+            right[-1] = after
+        for b in range(1, self.blocks):
+            v = left[b - 1] @ self.product[b - 1]
+            left[b] = v / v.max()
+        for b in range(self.blocks - 2, -1, -1):
+            v = self.product[b + 1] @ right[b + 1]
+            right[b] = v / v.max()
+        alpha, beta, v = np.empty_like(self.phi), np.empty_like(self.phi), left
+        for t in range(BLOCK):
+            v = np.where(self.reset[:, t, None], v.sum(axis=1, keepdims=True) * self.start, v @ self.step) * self.phi[:, t]
+            v = v / v.max(axis=1, keepdims=True)
+            alpha[:, t] = v
+        v = right
+        for t in range(BLOCK - 1, -1, -1):
+            beta[:, t] = v
+            v = v * self.phi[:, t]
+            v = np.where(self.reset[:, t, None], (v @ self.start)[:, None], v @ self.step.T)
+            v = v / v.max(axis=1, keepdims=True)
+        return alpha.reshape(-1, self.k)[: self.n], beta.reshape(-1, self.k)[: self.n]
+
+
+def posteriors(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Posterior label shares of every word of concatenated chains."""
+    if not len(score):
         return score.copy()
-    blocks = -(-n // BLOCK)
-    phi = np.ones((blocks * BLOCK, k))
-    phi[:n] = np.exp(score - score.max(axis=1, keepdims=True))
-    phi = phi.reshape(blocks, BLOCK, k)
-    reset = np.zeros(blocks * BLOCK, dtype=bool)
-    reset[:n] = first
-    reset[n:] = True  # what fills up the last block tells nothing about the words before
-    reset = reset.reshape(blocks, BLOCK)
-    step = np.exp(trans - trans.max())
-    anew = np.tile(np.exp(start - start.max()), (k, 1))
-    product = np.tile(np.eye(k), (blocks, 1, 1))
-    for t in range(BLOCK):
-        product = np.where(reset[:, t, None, None], product @ anew, product @ step) * phi[:, t, None, :]
-        product /= product.max(axis=(1, 2), keepdims=True)
-    left, right = np.ones((blocks, k)), np.ones((blocks, k))
-    for b in range(1, blocks):
-        v = left[b - 1] @ product[b - 1]
-        left[b] = v / v.max()
-    for b in range(blocks - 2, -1, -1):
-        v = product[b + 1] @ right[b + 1]
-        right[b] = v / v.max()
-    alpha, v = np.empty_like(phi), left
-    for t in range(BLOCK):
-        v = np.where(reset[:, t, None], v @ anew, v @ step) * phi[:, t]
-        v = v / v.max(axis=1, keepdims=True)
-        alpha[:, t] = v
-    beta = right
-    for t in range(BLOCK - 1, -1, -1):
-        alpha[:, t] *= beta
-        v = beta * phi[:, t]
-        beta = np.where(reset[:, t, None], v @ anew.T, v @ step.T)
-        beta = beta / beta.max(axis=1, keepdims=True)
-    alpha = alpha.reshape(-1, k)[:n]
-    return alpha / alpha.sum(axis=1, keepdims=True)
+    alpha, beta = Chain(score, first, trans, start).run()
+    both = alpha * beta
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def gradients(score: np.ndarray, gold: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Derivatives of the negative log-likelihood of the labels by scores, transitions and starts."""
+    chain = Chain(score, first, trans, start)
+    alpha, beta = chain.run()
+    both = alpha * beta
+    post = both / both.sum(axis=1, keepdims=True)
+    k = chain.k
+    by_score = post.copy()
+    by_score[np.arange(len(gold)), gold] -= 1
+    # Posteriors of pairs of neighbours, summed: forward weights, the step, and what the next word and all after it tell.
+    on = np.flatnonzero(~first[1:]) + 1
+    ahead = chain.phi.reshape(-1, k)[on] * beta[on]
+    back = alpha[on - 1]
+    pairs = chain.step * (back.T @ (ahead / ((back @ chain.step) * ahead).sum(axis=1, keepdims=True)))
+    np.subtract.at(pairs, (gold[on - 1], gold[on]), 1.0)
+    begin = np.flatnonzero(first)
+    starts = post[begin].sum(axis=0) - np.bincount(gold[begin], minlength=k)
+    return by_score, pairs, starts
 
 
 @dataclass
@@ -137,9 +190,13 @@ class Model:
     trans: np.ndarray
     start: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return len(self.weights).bit_length() - 1
+
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
-        for at, cols in feature_rows(words):
+        for at, cols in feature_rows(words, self.bits):
             for i in range(cols.shape[1]):
                 out[at] += self.weights[cols[:, i]]
         return out
@@ -149,39 +206,41 @@ def fit(texts: list[str], languages: list[str], rounds: int = 20, rate: float =
     """Maximise the conditional likelihood of the labels by adaptive gradient steps.
 
     Texts are cut into stretches of a few words that are strung together in
-    random order, so the chain learns what a switch costs.
+    random order, some six to a chain, so the chain learns what a switch costs
+    and how texts begin. Stretches of languages with few words are repeated, up
+    to ten times, towards the words of the others.
     """
     names = sorted(set(languages))
     k, rng = len(names), np.random.default_rng(seed)
-    model = Model(names, np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k)), np.zeros(k))
+    bits = max(8, min(TABLE_BITS, WEIGHT_BITS - max(k - 1, 1).bit_length()))
+    model = Model(names, np.zeros((1 << bits, k)), np.zeros((k, k)), np.zeros(k))
     if k < 2:
         return model
     index: dict[str, int] = {}
-    stretches = []
+    place = {name: i for i, name in enumerate(names)}
+    stretches, total = [], np.zeros(k)
     for text, name in zip(texts, languages, strict=True):
         ids = [index.setdefault(b, len(index)) for w in split_words(text) if (b := bare(w))]
+        total[place[name]] += len(ids)
         at = 0
         while at < len(ids):
             n = int(rng.integers(3, 30))
-            stretches.append((ids[at : at + n], names.index(name)))
+            stretches.append((ids[at : at + n], place[name]))
             at += n
-    order = rng.permutation(len(stretches))
-    word = np.array([i for s in order for i in stretches[s][0]], dtype=np.int64)
-    gold = np.repeat([stretches[s][1] for s in order], [len(stretches[s][0]) for s in order])
-    if not len(word):
+    if not stretches:
         return model
-    features = feature_rows(list(index))
-    # Each language counts alike, however many of its words there are.
-    share = np.bincount(gold, minlength=k) / len(gold)
-    weight = 1.0 / (k * np.maximum(share[gold], 1e-9))
+    times = np.clip(np.round(total.mean() / np.maximum(total, 1)), 1, 10).astype(int)
+    order = rng.permutation(np.repeat(np.arange(len(stretches)), times[[c for _, c in stretches]]))
+    word = np.array([i for s in order for i in stretches[s][0]], dtype=np.int64)
+    sizes = [len(stretches[s][0]) for s in order]
+    gold = np.repeat([stretches[s][1] for s in order], sizes)
+    features = feature_rows(list(index), bits)
     first = np.zeros(len(word), dtype=bool)
+    first[(np.cumsum(sizes) - sizes)[rng.random(len(sizes)) < 1 / 6]] = True
     first[0] = True
-    seen_w, seen_t = np.full_like(model.weights, 1e-8), np.full((k, k), 1e-8)
+    seen_w, seen_t, seen_s = np.full_like(model.weights, 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
     for _ in range(rounds):
-        scores = model.emissions(list(index))[word]
-        post = posteriors(scores, first, model.trans, model.start)
-        gap = post * weight[:, None]
-        gap[np.arange(len(gold)), gold] -= weight
+        gap, pairs, starts = gradients(model.emissions(list(index))[word], gold, first, model.trans, model.start)
         by_word = np.column_stack([np.bincount(word, gap[:, c], minlength=len(index)) for c in range(k)]) / len(word)
         grad = decay * model.weights / len(word) * 100
         for at, cols in features:
@@ -190,32 +249,38 @@ def fit(texts: list[str], languages: list[str], rounds: int = 20, rate: float =
                     grad[:, c] += np.bincount(cols[:, i], by_word[at, c], minlength=len(grad))
         seen_w += grad**2
         model.weights -= rate * grad / np.sqrt(seen_w)
-        # Expected transitions of independent neighbours stand for the pair posteriors.
-        expect = np.einsum("ta,tb->ab", post[:-1], post[1:]) / len(word)
-        real = np.zeros((k, k))
-        np.add.at(real, (gold[:-1], gold[1:]), 1.0 / len(word))
-        seen_t += (expect - real) ** 2
-        model.trans -= rate * (expect - real) / np.sqrt(seen_t)
+        for held, seen, part in ((model.trans, seen_t, pairs / len(word)), (model.start, seen_s, starts / len(word))):
+            seen += part**2
+            held -= rate * part / np.sqrt(seen)
     return model
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
-    """Fit on a bounded sample of documents with a language outside the held-out part: the smallest by hash in each language."""
+def training_sample(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_all: int = MAX_ALL) -> DataFrame:
+    """Texts (_text, _lang) for the fit: of every language outside the held-out part the documents with the smallest hashes of their ids.
+
+    One pass over ids and languages ranks them, with only the first of each
+    language leaving a task; a second brings the texts of the chosen ones. Of
+    several texts of one id and language the smallest stands for all.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(~held_out(F.col(id_col), 4, 2))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    common = [r["_lang"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()]
-    draw = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(17))
-    picked = None
-    for name in common:
-        part = rows.where(F.col("_lang") == name).select("_id", "_lang", draw.alias("_d")).orderBy("_d", "_id").limit(max_docs)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return fit([], [])
-    picked = picked.select(F.col("_id").alias("_pick"), "_lang").distinct()
-    # Bounded by the limits above.
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_own")).join(F.broadcast(picked), F.col("_id").eqNullSafe(F.col("_pick")) & (F.col("_own") == F.col("_lang")))
-    found = joined.select("_id", "_text", "_lang").toPandas().sort_values(["_id", "_lang", "_text"], kind="stable").drop_duplicates("_id")
-    return fit(found["_text"].fillna("").tolist(), found["_lang"].tolist())
+    draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(17))
+    rows = rows.select(F.col(id_col).alias("_pick"), F.col(lang_col).alias("_lang"), draw.alias("_d"))
+    rank = F.dense_rank().over(Window.partitionBy("_lang").orderBy("_d", F.col("_pick").cast("string")))
+    picked = materialize(rows.withColumn("_rank", rank).where(F.col("_rank") <= max_docs).distinct(), "languages")
+    many = picked.where("_rank = 1").select("_lang").distinct().count()
+    picked = picked.where(F.col("_rank") <= max(1, min(max_docs, max_all // max(many, 1)))).select("_pick", "_lang")
+    if many <= max_all:
+        # At most max_all short rows.
+        picked = F.broadcast(picked)
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_own")).where("_text IS NOT NULL")
+    joined = named.join(picked, F.col("_id").eqNullSafe(F.col("_pick")) & (F.col("_own") == F.col("_lang")))
+    return joined.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).orderBy("_lang", F.col("_id").cast("string")).select("_text", "_lang")
+
+
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
+    """Fit on the bounded sample of ``training_sample``."""
+    found = training_sample(docs, text_col, id_col, lang_col, max_docs).collect()
+    return fit([r["_text"] for r in found], [r["_lang"] for r in found])
 
 
 # ------------------------------------------------------------- predict
@@ -249,9 +314,40 @@ class Labeller:
             ids = np.array([get(w) for w in words], dtype=np.int64)
         return ids
 
+    def _chunk(self) -> int:
+        """Words at once: whole blocks whose products take 4 million numbers at most."""
+        blocks = max(1, min(CHUNK // BLOCK, (1 << 22) // max(1, len(self.model.languages)) ** 2))
+        return blocks * BLOCK
+
+    def _long(self, ids: np.ndarray) -> np.ndarray:
+        """Sum of the posteriors of one chain of words, read in chunks."""
+        m, size = self.model, self._chunk()
+
+        def chain(at: int) -> Chain:
+            part = ids[at : at + size]
+            first = np.zeros(len(part), dtype=bool)
+            first[0] = at == 0
+            return Chain(self.table[part], first, m.trans, m.start)
+
+        spots = range(0, len(ids), size)
+        products = [chain(at).whole() for at in spots]
+        left, right = [np.ones(len(m.languages))], [np.ones(len(m.languages))]
+        for p in products[:-1]:
+            v = left[-1] @ p
+            left.append(v / v.max())
+        for p in products[:0:-1]:
+            v = p @ right[-1]
+            right.append(v / v.max())
+        total = np.zeros(len(m.languages))
+        for at, before, after in zip(spots, left, right[::-1], strict=True):
+            alpha, beta = chain(at).run(before, after)
+            both = alpha * beta
+            total += (both / both.sum(axis=1, keepdims=True)).sum(axis=0)
+        return total
+
     def shares(self, texts: list[str]) -> np.ndarray:
         """Mean posterior of the words with letters of each text; all zero if there is none."""
-        k = len(self.model.languages)
+        k, size = len(self.model.languages), self._chunk()
         sums, counts = np.zeros((len(texts), k)), np.zeros(len(texts))
         words: list[str] = []
         owners: list[tuple[int, int]] = []
@@ -259,43 +355,46 @@ class Labeller:
         def flush() -> None:
             ids = self._evidence(words)
             owner = np.repeat([o for o, _ in owners], [n for _, n in owners])
-            ends = np.cumsum([n for _, n in owners])
             on = ids >= 0
-            piece = np.repeat(np.arange(len(owners)), np.diff(np.concatenate(([0], ends))))[on]
+            piece = owner[on]
             first = np.concatenate(([True], piece[1:] != piece[:-1])) if on.any() else np.empty(0, bool)
             post = posteriors(self.table[ids[on]], first, self.model.trans, self.model.start)
             for c in range(k):
-                sums[:, c] += np.bincount(owner[on], post[:, c], minlength=len(texts))
-            counts[:] += np.bincount(owner[on], minlength=len(texts))
+                sums[:, c] += np.bincount(piece, post[:, c], minlength=len(texts))
+            counts[:] += np.bincount(piece, minlength=len(texts))
             words.clear()
             owners.clear()
 
         for i, text in enumerate(texts):
             own = split_words(text)
-            for at in range(0, len(own), CHUNK):
-                part = own[at : at + CHUNK]
-                if words and len(words) + len(part) > CHUNK:
-                    flush()
-                words.extend(part)
-                owners.append((i, len(part)))
+            if len(own) > size:
+                ids = self._evidence(own)
+                ids = ids[ids >= 0]
+                if len(ids):
+                    sums[i], counts[i] = self._long(ids), len(ids)
+                continue
+            if words and len(words) + len(own) > size:
+                flush()
+            words.extend(own)
+            owners.append((i, len(own)))
         if words:
             flush()
         return sums / np.maximum(counts, 1)[:, None]
 
 
 def _predicted(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         labeller = Labeller(m)
-        for batch in batches:
-            shares = labeller.shares([t or "" for t in batch["_text"]])
+        for batch in sliced(batches, 2, 16 << 20):
+            shares = labeller.shares([t or "" for t in batch.column(2).to_pylist()])
             if m.languages:
                 best = shares.argmax(axis=1)
                 names = [m.languages[b] if shares[i, b] > 0 else "und" for i, b in enumerate(best)]
                 score = shares.max(axis=1)
             else:
                 names, score = ["und"] * len(shares), np.zeros(len(shares))
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "lang_pred": names, "score": np.clip(score, 0, 1)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], names=["id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -304,10 +403,13 @@ def predict_language(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """One row per input row: id, held_out, lang_pred, score (mean posterior of the language over the words).
 
     ``und`` with score 0 for a null text, one without letters, or if nothing
-    could be learned. Language, source and id are no inputs of a prediction.
+    could be learned; an empty table gives no rows. Language, source and id are
+    no inputs of a prediction. Ties go to the first language by name. Repeated
+    rows give the same row each. Very long texts are read whole, exactly as one
+    chain. Ids keep their type and bits; other columns are not read.
     """
     model = model or train(docs, text_col, id_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), 4, 2).alias("held_out"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(_predicted(shared), f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_predicted(shared), f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, sliced
 
 #: Labelled rows whose statistics are read for the fit, at most, of either class.
 MAX_ROWS = 10_000
@@ -77,11 +77,11 @@ def statistics(text: str) -> list[float]:
 @dataclass
 class Density:
     mean: np.ndarray
-    factor: np.ndarray  # inverse of the Cholesky factor of the covariance
+    factor: np.ndarray  # lower Cholesky factor of the covariance
     log_det: float
 
     def log(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) @ self.factor.T
+        z = np.linalg.solve(self.factor, (x - self.mean).T).T
         return -0.5 * (z * z).sum(axis=1) - 0.5 * self.log_det
 
 
@@ -112,7 +112,7 @@ def _density(x: np.ndarray, pooled: np.ndarray, to_pooled: float, to_identity: f
     cov = (1 - to_pooled) * own + to_pooled * pooled
     cov = (1 - to_identity) * cov + to_identity * np.trace(cov) / len(cov) * np.eye(len(cov))
     lower = np.linalg.cholesky(cov + 1e-9 * np.eye(len(cov)))
-    return Density(x.mean(axis=0), np.linalg.inv(lower), 2 * float(np.log(np.diag(lower)).sum()))
+    return Density(x.mean(axis=0), lower, 2 * float(np.log(np.diag(lower)).sum()))
 
 
 def _slope(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -166,9 +166,10 @@ def fit(x: np.ndarray, labels: np.ndarray, folds: int = 5) -> Model:
     return Model(center, scale, low, high, pair(z, y, a, b), slope, intercept)
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"y": batch["_y"], "id": batch["_id"], "x": [statistics(t or "") for t in batch["_text"]]})
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 1):
+        x = pa.array([statistics(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
@@ -183,17 +184,18 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     kept = [rows.where(F.col("_y") == v).orderBy(draw, id_col).limit(max_rows) for v in (0, 1)]
     picked = kept[0].unionByName(kept[1]).withColumnRenamed(id_col, "_pick")
     # Bounded by the limits above.
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_pick")).select("_y", "_id", "_text")
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
-    found = joined.mapInPandas(_measured, f"y int, id {id_type}, x array<double>").toPandas().sort_values("id", kind="stable").drop_duplicates("id")
-    return fit(np.array([list(v) for v in found["x"]]), found["y"].to_numpy())
+    joined = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_pick"))
+    # Of several texts of an id the smallest stands for all, and rows come in one order, so every run fits the same model.
+    joined = joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").cast("int").alias("_y"))
+    found = joined.select("_y", "_text", F.col("_id").cast("string").alias("_name")).orderBy("_y", "_name").select("_y", "_text").mapInArrow(_measured, "y int, x array<double>").collect()
+    return fit(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]))
 
 
 def _scored(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([statistics(t or "") for t in batch["_text"]]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": model.value.score(x)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2):
+            x = np.array([statistics(t or "") for t in batch.column(2).to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.value.score(x))], names=["id", "held_out", "score"])
 
     return run
 
@@ -201,12 +203,17 @@ def _scored(model):
 def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5, model: Model | None = None) -> DataFrame:
     """One row per input row: id, held_out, score (0 to 1, higher: better), predicted (1 from ``threshold``).
 
-    Null and empty texts are scored by the statistics of an empty text. Labels,
-    language, source and id are no inputs of a score.
+    Null and empty texts are scored by the statistics of an empty text; an empty
+    table gives no rows, and without labels of both classes every text has the
+    share of ones as its score. Repeated rows give the same row each; of several
+    texts of a labelled id the smallest is learned from, so ties don't depend on
+    the order of rows. Very long texts are read whole. Labels, language, source
+    and id are no inputs of a score. Ids keep their type and bits; other columns
+    are not read.
     """
     model = model or train(docs, labels, text_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), 3, 1).alias("held_out"), F.col(text_col).alias("_text"))
-    out = rows.mapInPandas(_scored(shared), f"id {id_type}, held_out boolean, score double")
+    out = rows.mapInArrow(_scored(shared), f"id {id_type}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

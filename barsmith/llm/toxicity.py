@@ -23,11 +23,11 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, sliced
 
 DECAY = 0.6
 LONGEST = 14
@@ -323,10 +323,11 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int =
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_ones: int = MAX_TOXIC, max_zeros: int = MAX_CLEAN, train_part=None) -> pd.DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_ones: int = MAX_TOXIC, max_zeros: int = MAX_CLEAN, train_part=None) -> tuple[list[str], np.ndarray]:
     """Texts and labels of a bounded sample, the smallest by a hash of the id in each class; the same in every run.
 
-    Null labels and ids are left out; of several labels of an id the largest holds.
+    Null labels and ids are left out; of several labels of an id the largest
+    holds, of several texts the smallest.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     if train_part is not None:
@@ -335,8 +336,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     kept = [rows.where(F.col("_y") == v).orderBy(draw, id_col).limit(n) for v, n in ((1, max_ones), (0, max_zeros))]
     picked = kept[0].unionByName(kept[1]).withColumnRenamed(id_col, "_pick")
     # Bounded by the two limits above.
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_pick"))
-    return joined.select("_id", "_text", "_y").toPandas().sort_values(["_id", "_text"], kind="stable").drop_duplicates("_id")
+    joined = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_pick"))
+    found = joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).orderBy(F.col("_id").cast("string")).select("_text", "_y").collect()
+    return [r["_text"] for r in found], np.array([r["_y"] for r in found], dtype=np.int64)
 
 
 def train_rows(id_col: F.Column) -> F.Column:
@@ -348,58 +350,74 @@ def train_rows(id_col: F.Column) -> F.Column:
 SLICE, REMEMBER = 1000, 300_000
 
 
-def _scored(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, cache = model.value, {}
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.iloc[at : at + SLICE]
-                sets = [tokens(t or "") for t in part["_text"]]
-                if len(cache) > REMEMBER:
-                    cache.clear()
-                new = list(set().union(*sets) - cache.keys())
-                cache.update(zip(new, m.word_scores([bare(w) for w in new]).tolist(), strict=True))
-                top, count = np.full(len(sets), -1.0), np.zeros((len(sets), len(MARGINS)))
-                for i, s in enumerate(sets):
-                    if s:
-                        f = [cache[w] for w in s]
-                        top[i] = max(f)
-                        if top[i] > MARGINS[0]:
-                            # Words that differ only in marks count once.
-                            told = {bare(w): x for w, x in zip(s, f, strict=True) if x > MARGINS[0]}
-                            count[i] = pool(np.array(list(told.values())))[1]
-                yield pd.DataFrame({"id": part["id"], "held_out": part["held_out"], "score": m.probability(top, count), "top": top})
-
-    return run
+class Scorer:
+    """Scores of many texts; remembers the decision values of words it has seen."""
+
+    def __init__(self, model: Model):
+        self.model, self.cache = model, {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability and most toxic word's decision value of each text."""
+        sets = [tokens(t or "") for t in texts]
+        cache = self.cache
+        if len(cache) > REMEMBER:
+            cache.clear()
+        new = list(set().union(*sets) - cache.keys())
+        cache.update(zip(new, self.model.word_scores([bare(w) for w in new]).tolist(), strict=True))
+        top, count = np.full(len(sets), -1.0), np.zeros((len(sets), len(MARGINS)))
+        for i, s in enumerate(sets):
+            if s:
+                f = [cache[w] for w in s]
+                top[i] = max(f)
+                if top[i] > MARGINS[0]:
+                    # Words that differ only in marks count once.
+                    told = {bare(w): x for w, x in zip(s, f, strict=True) if x > MARGINS[0]}
+                    count[i] = pool(np.array(list(told.values())))[1]
+        return self.model.probability(top, count), top
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, text, 16 << 20):
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.7, model: Model | None = None) -> DataFrame:
     """One row per input row: id, held_out, score (0 to 1), predicted (1 from ``threshold``), top_word_score.
 
-    Null and empty texts are scored as texts without words. Labels, language,
-    source and id are no inputs of a score. Whole texts are read.
+    Null and empty texts are scored as texts without words; an empty table gives
+    no rows, and without labels of both classes every text has the share of
+    toxic labels as its score. Repeated rows give the same row each. Labels,
+    language, source and id are no inputs of a score. Very long texts are read
+    whole. Ids keep their type and bits; other columns are not read.
     """
-    if model is None:
-        sample = training_sample(docs, labels, text_col, id_col, train_part=train_rows)
-        model = fit(sample["_text"].fillna("").tolist(), sample["_y"].to_numpy())
+    model = model or fit(*training_sample(docs, labels, text_col, id_col, train_part=train_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for part in _slices(batches, 2):
+            score, top = scorer(part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array(top)], names=["id", "held_out", "score", "top"])
+
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), 3, 1).alias("held_out"), F.col(text_col).alias("_text"))
-    out = rows.mapInPandas(_scored(shared), f"id {id_type}, held_out boolean, score double, top double")
+    out = rows.mapInArrow(run, f"id {id_type}, held_out boolean, score double, top double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("top").alias("top_word_score"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.7) -> DataFrame:
-    """The rows whose score is below ``threshold``, all columns, in one pass over the rows."""
-    sample = training_sample(docs, labels, text_col, id_col, train_part=train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample["_text"].fillna("").tolist(), sample["_y"].to_numpy()))
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.7, model: Model | None = None) -> DataFrame:
+    """The rows whose score is below ``threshold``, all columns as they are, in one pass over the rows.
+
+    Null and empty texts, repeated rows, empty tables and very long texts as in ``score_toxicity``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(*training_sample(docs, labels, text_col, id_col, train_part=train_rows)))
+    text = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = _scored(shared)
-        for batch in batches:
-            part = pd.DataFrame({"id": np.arange(len(batch)), "held_out": False, "_text": batch[text_col].to_numpy()})
-            low = [(scored["score"] < threshold).to_numpy() for scored in score(iter([part]))]
-            if low:
-                yield batch[np.concatenate(low)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for part in _slices(batches, text):
+            score, _ = scorer(part.column(text).to_pylist())
+            yield part.filter(pa.array(score < threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -50,10 +50,10 @@ def test_toxicity_held_out(spark, tables):
 def test_toxicity_tolerates_gaps_and_inserted_characters(spark, tables):
     docs, labels = tables
     sample = T.training_sample(docs, labels, train_part=T.train_rows)
-    model = T.fit(sample["_text"].tolist(), sample["_y"].to_numpy())
+    model = T.fit(*sample)
     best = lambda t: float(model.word_scores([T.bare(w) for w in T.tokens(t)]).max())
     assert best("what an i.d.i.o.t he is") > 0.7 and best("you i d i o t there") > 0.7 and best("such an idxiot") > 0 > best("the house is green")
-    again = T.fit(sample["_text"].tolist(), sample["_y"].to_numpy())
+    again = T.fit(*sample)
     assert (model.table == again.table).all()
 
 
@@ -131,10 +131,77 @@ def test_language_edges(spark, tables):
     assert L.predict_language(odd.limit(0)).count() == 0
 
 
-def test_a_long_text_is_cut_into_chains(monkeypatch, spark, tables):
+def test_a_long_text_is_one_chain_however_it_is_read(monkeypatch, spark, tables):
     docs, _ = tables
     model = L.train(docs.limit(500))
     text = " ".join(r.text for r in docs.where("lang = 'fr'").limit(5).collect())
-    whole = L.Labeller(model).shares([text, "123", text])
-    monkeypatch.setattr(L, "CHUNK", 200)
-    assert np.allclose(L.Labeller(model).shares([text, "123", text]), whole, atol=0.02) and whole[1].sum() == 0
+    mixed = text + " " + docs.where("lang = 'de'").first().text
+    whole = L.Labeller(model).shares([text, "123", mixed, "kurz"])
+    for size in (64, 200, 640):
+        monkeypatch.setattr(L, "CHUNK", size)
+        assert np.allclose(L.Labeller(model).shares([text, "123", mixed, "kurz"]), whole, atol=1e-9) and whole[1].sum() == 0
+
+
+def log_likelihood(score, gold, first, trans, start):
+    """Of the labels of concatenated chains, word by word in logs."""
+    total, a = 0.0, None
+    for t in range(len(gold)):
+        if first[t]:
+            total -= np.logaddexp.reduce(a) if a is not None else 0.0
+            a = start + score[t]
+            total += start[gold[t]] + score[t, gold[t]]
+        else:
+            a = np.logaddexp.reduce(a[:, None] + trans, axis=0) + score[t]
+            total += trans[gold[t - 1], gold[t]] + score[t, gold[t]]
+    return total - np.logaddexp.reduce(a)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    n, k, step = 70, 3, 1e-6
+    x = {"score": rng.normal(size=(n, k)), "trans": rng.normal(size=(k, k)), "start": rng.normal(size=k)}
+    gold, first = rng.integers(0, k, n), rng.random(n) < 0.1
+    first[0] = True
+    found = dict(zip(x, L.gradients(x["score"], gold, first, x["trans"], x["start"]), strict=True))
+    for name, held in x.items():
+        for at in [tuple(rng.integers(0, m) for m in held.shape) for _ in range(12)]:
+            ends = []
+            for sign in (1, -1):
+                held[at] += sign * step
+                ends.append(-log_likelihood(x["score"], gold, first, x["trans"], x["start"]))
+                held[at] -= sign * step
+            assert found[name][at] == pytest.approx((ends[0] - ends[1]) / (2 * step), abs=1e-5)
+
+
+def test_every_language_is_learned_and_two_scans_bring_the_sample(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i * 100 + j, f"{letters[i % 26]}{letters[i // 26]}qu {letters[i // 26]}{letters[i % 26]}zo" * 3, f"l{i}") for i in range(70) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs)
+    assert model.languages == sorted({f"l{i}" for i in range(70)})
+    few = L.training_sample(docs, max_docs=2).groupBy("_lang").count().collect()
+    assert len(few) == 70 and max(r["count"] for r in few) <= 2
+    plan = L.training_sample(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
+    assert plan.count("documents.parquet") <= 2
+
+
+CLASH = "doc_id long, text string, lang string, id long, held_out string, score string, _text string, _id string, x array<long>, y struct<a:long>"
+
+
+def odd_ids(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "the of and", "en", 1, "a", "b", "c", "d", [big], (big,)), (None, "idiot", None, None, None, None, None, None, None, None)]
+    return big, spark.createDataFrame(rows, CLASH).coalesce(1)
+
+
+def test_ids_keep_their_bits_beside_nulls_and_clashing_columns(spark):
+    big, docs = odd_ids(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for found in (L.predict_language(docs), Q.score_quality(docs, none), T.score_toxicity(docs, none)):
+        assert {r.doc_id for r in found.collect()} == {big, None}
+    kept = T.drop_toxic(docs, none)
+    assert kept.schema == docs.schema and sorted(kept.collect(), key=str) == sorted(docs.collect(), key=str)
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    labels = none.withColumn("doc_id", F.col("doc_id").cast("string"))
+    for found in (L.predict_language(named), Q.score_quality(named, labels), T.score_toxicity(named, labels)):
+        assert {r.doc_id for r in found.collect()} == {str(big), None}
