@@ -224,10 +224,10 @@ class Page:
     article: np.ndarray  # whether a line is inside an article
     role: np.ndarray  # whether a line is inside an element that names its role
 
-    def hashes(self) -> list[int]:
-        """One number for each line: a hash of it, its size (``_SIZE`` at most) and, lowest bit, whether it has a role."""
-        whole = [xxhash.xxh64_intdigest(t) & ~(2 * _SIZE + 1) | min(len(t), _SIZE) << 1 | int(r) for t, r in zip(self.texts, self.role, strict=True)]
-        return [int(np.uint64(h).view(np.int64)) for h in whole]
+    def lines(self) -> np.ndarray:
+        """One number for each line: 46 bits of its hash, 16 of its size (``_SIZE`` at most), whether it is in an article, whether it has a role."""
+        whole = [xxhash.xxh64_intdigest(t) & ~(4 * _SIZE + 3) | min(len(t), _SIZE) << 2 for t in self.texts]
+        return (np.array(whole, dtype=np.uint64) | self.article.astype(np.uint64) << np.uint64(1) | self.role.astype(np.uint64)).view(np.int64)
 
     def lead(self) -> int:
         """What near copies have in common: the longest lines without a role."""
@@ -314,21 +314,23 @@ def shared_places(a: list[int], b: list[int], cells: int = 4_000_000) -> set[int
     return found
 
 
-def main_text(page: Page, around: list[list[int]]) -> tuple[str, int]:
-    """Text of a page, and how many of its lines differencing told to be template. ``around``: line hashes of the places around, nearest first."""
-    n = len(page.texts)
+def decide(own: np.ndarray, around: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Which lines of a page are its text, and how many others differencing told to be template.
+
+    ``own`` are the numbers of its lines (``Page.lines``), ``around`` those of the places around it, nearest first.
+    """
+    n = len(own)
     if not n:
-        return "", 0
-    size = np.array([len(t) for t in page.texts], dtype=np.int64)
-    own = page.hashes()
+        return np.zeros(0, dtype=bool), 0
+    size, article, plain = own >> 2 & _SIZE, own & 2 > 0, own & 1 == 0
     met = np.zeros((len(around), n), dtype=bool)
+    names = (own >> 2).tolist()
     for i, other in enumerate(around):
-        met[i, list(shared_places(own, other))] = True
+        met[i, list(shared_places(names, (other >> 2).tolist()))] = True
     # What shares no line at all is of another make and tells nothing.
     told = np.flatnonzero(met.any(axis=1))
     met = met[told]
-    theirs = [sum(h >> 1 & _SIZE for h in around[i] if not h & 1) for i in told]
-    plain = ~page.role
+    theirs = [int((around[i] >> 2 & _SIZE)[around[i] & 1 == 0].sum()) for i in told]
     all_met = met.all(axis=0) if len(met) > 1 else np.zeros(n, dtype=bool)
     total, rest = int(size[plain].sum()), int(size[plain & ~all_met].sum())
     template = np.zeros(n, dtype=bool)
@@ -341,85 +343,157 @@ def main_text(page: Page, around: list[list[int]]) -> tuple[str, int]:
     if len(met) < 2 * REACH or size[plain & all_met].sum() == total:
         all_met[:] = False
     keep = plain & ~template
-    inside = plain & page.article
+    inside = plain & article
     if inside.any():
         own_lines = np.flatnonzero(inside & ~all_met)
         held = inside.copy()
         if len(own_lines):
             held[: own_lines[0]] = False
             held[own_lines[-1] + 1 :] = False
-        outside = keep & ~page.article
+        outside = keep & ~article
         # Articles with less text than stands outside of them are teasers.
         keep = held if size[held].sum() >= size[outside].sum() else held | outside
-    return " ".join(t for t, k in zip(page.texts, keep, strict=True) if k), int((template & ~keep).sum())
+    return keep, int((template & ~keep).sum())
+
+
+def main_text(page: Page, around: list[np.ndarray]) -> tuple[str, int]:
+    """Text of a page, and how many of its lines differencing told to be template."""
+    keep, n = decide(page.lines(), around)
+    return " ".join(t for t, k in zip(page.texts, keep, strict=True) if k), n
 
 
 # ---------------------------------------------------------------- Spark
 
 
+#: Places of one task where each meets the places around it.
+PLACES = 4096
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 3):
         pages = [page_lines(h) for h in batch.column(3).to_pylist()]
-        lines, lead = pa.array([p.hashes() for p in pages], pa.list_(pa.int64())), pa.array([p.lead() for p in pages], pa.int64())
+        lines, lead = pa.array([p.lines() for p in pages], pa.list_(pa.int64())), pa.array([p.lead() for p in pages], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], lines, lead], names=["_k", "_host", "_path", "_lines", "_lead"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order (_k, _host, _path, _lines, _lead, _part) with the number of their place and row within the task, and whether they begin and end it there.
+
+    Repeated keys go. The last row is held back until the next one tells whether its place goes on.
+    """
+    names = ["_k", "_host", "_path", "_lines", "_part", "_lead", "_run", "_at", "_first", "_last"]
+    last, held, run, at = None, None, -1, 0
+
+    def told(rows: pa.Table, ends: list[bool]) -> Iterator[pa.RecordBatch]:
+        for out in rows.append_column("_last", pa.array(ends, pa.bool_())).select(names).combine_chunks().to_batches():
+            yield out
+
+    for batch in batches:
+        keep, runs, first = [], [], []
+        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)), strict=True)):
+            if last is not None and row[0] == last[0]:
+                continue
+            new = last is None or row[1:] != last[1:]
+            run, last = run + new, row
+            keep.append(i)
+            runs.append(run)
+            first.append(new)
+        if not keep:
+            continue
+        rows = pa.Table.from_batches([batch.take(pa.array(keep, pa.int64()))])
+        for name, values in (("_run", runs), ("_at", range(at, at + len(keep))), ("_first", first)):
+            rows = rows.append_column(name, pa.array(values, pa.bool_() if name == "_first" else pa.int64()))
+        at += len(keep)
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        after = rows.column("_first").to_pylist()[1:]
+        yield from told(rows.slice(0, rows.num_rows - 1), after)
+        held = rows.slice(rows.num_rows - 1)
+    if held is not None:
+        yield from told(held, [True])
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept lines (bits) and n_shared of pages with what stands around them: _k, _path, _lines, _near."""
+    for batch in batches:
+        for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+            bits, shared = [], []
+            for path, lines, near in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                # Nearest: the longest common start of the paths, then the fewest places between, then the place before.
+                near = sorted((x for x in near or [] if x is not None), key=lambda x, path=path: -len(os.path.commonprefix([path, x["path"]])))
+                keep, n = decide(np.array(lines, dtype=np.int64), [np.array(x["lines"], dtype=np.int64) for x in near])
+                bits.append(np.packbits(keep).tobytes())
+                shared.append(n)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.binary()), pa.array(shared, pa.int64())], names=["_k", "_keep", "_n"])
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 2):
         found = []
-        for html, path, near in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            # Nearest: the longest common start of the paths, then the fewest places between, then the place before.
-            near = sorted(near or [], key=lambda x, path=path: -len(os.path.commonprefix([path, x["path"]])))
-            found.append(main_text(page_lines(html), [x["lines"] for x in near]))
+        for html, bits, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            page = page_lines(html)
+            if bits is None:
+                found.append(main_text(page, []))
+                continue
+            keep = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(page.texts))
+            found.append((" ".join(t for t, k in zip(page.texts, keep, strict=True) if k), n))
         text, n = pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, n], names=["id", "url", "text", "n_shared"])
 
 
 def _numbered(pages: DataFrame) -> DataFrame:
-    """Pages with ``_run``, the number of their place: pages in a row (host, path, key) with one host and lead share it.
+    """Pages (_k, _host, _path, _lines) with ``_run``, the number of their place, and whether they are the first and the last page of it.
 
-    Rows are dealt by range and numbered inside each partition; a table of one
-    row for each partition carries on the counts and tells whether a run goes on
-    over a border.
+    Pages in a row (host, path, key) with one host and lead share a place. Rows
+    are dealt by range and numbered inside each task; a table of one row for
+    each task carries on the counts and tells whether a place goes on over a
+    border. Repeated keys are left out.
     """
     order = ["_host", "_path", "_k"]
-    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    dealt = pages.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = materialize(dealt.select("*", F.spark_partition_id().alias("_part"), low.alias("_at")), "ordered")
-    row = Window.partitionBy("_part").orderBy("_at")
-    mark = F.struct("_host", "_lead")
-    flagged = dealt.withColumn("_new", (~mark.eqNullSafe(F.lag(mark).over(row)) & (F.col("_at") > 0)).cast("long"))
-    flagged = flagged.withColumn("_run", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    rows = "_k binary, _host string, _path string, _lines array<long>, _part int, _lead long, _run long, _at long, _first boolean, _last boolean"
+    dealt = materialize(dealt.mapInArrow(_marked, rows), "ordered")
+    mark, way = F.struct("_host", "_lead"), Window.orderBy("_part")
     # One row for each shuffle partition, so its size is bounded by that setting.
-    parts = flagged.groupBy("_part").agg(F.sum("_new").alias("_n"), F.min_by(mark, "_at").alias("_first"), F.max_by(mark, "_at").alias("_last"))
-    way = Window.orderBy("_part")
-    parts = parts.withColumn("_fresh", (~F.col("_first").eqNullSafe(F.lag("_last").over(way))).cast("long"))
-    base = F.sum(F.col("_fresh") + F.col("_n")).over(way.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    parts = F.broadcast(parts.select("_part", base.alias("_base")))
-    return flagged.join(parts, "_part").withColumn("_run", F.col("_run") + F.col("_base")).drop("_part", "_at", "_new", "_base")
-
-
-def neighbours(pages: DataFrame, reach: int = REACH) -> DataFrame:
-    """For each key of ``pages`` (_k, _host, _path, _lines, _lead): _near, an array of (path, lines) of the places around it, by distance."""
-    runs = materialize(_numbered(pages), "pages")
-    first, last = (f(F.struct(F.col("_path").alias("path"), F.col("_lines").alias("lines")), F.struct("_path", "_k")) for f in (F.min_by, F.max_by))
-    # A page before shows itself by the last page of its place, a page after by the first.
-    places = materialize(runs.groupBy("_run").agg(F.first("_host").alias("_host"), F.count(F.lit(1)).alias("_n"), first.alias("_first"), last.alias("_last")), "places")
-    # One row for each place and neighbour; both sides of the joins have one row for each place.
-    met = None
-    for step in range(1, reach + 1):
-        for turn, (way, shown) in enumerate(((-step, "_last"), (step, "_first"))):
-            other = places.select((F.col("_run") - way).alias("_run"), F.col("_host").alias("_h"), F.col(shown).alias("page"))
-            one = places.select("_run", "_host", "_n").join(other, "_run").where("_host = _h").select("_run", "_n", F.struct(F.lit(2 * step + turn).alias("turn"), "page").alias("_x"))
-            met = one if met is None else met.unionByName(one)
-    near = met.groupBy("_run").agg(F.max("_n").alias("_n"), F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["page"]).alias("_near"))
-    # The one row of a place with very many pages is repeated, so that its pages spread over tasks.
-    salts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(SPREAD))).cast("int")
-    near = near.select("_run", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), "_near")
-    sizes = places.select("_run", salts.alias("_salts")).where("_salts > 1")
-    keys = runs.select("_k", "_run").join(F.broadcast(sizes), "_run", "left") if sizes.count() <= 100_000 else runs.select("_k", "_run").join(sizes, "_run", "left")
-    keys = keys.withColumn("_salt", F.pmod(F.xxhash64("_k"), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int"))
-    return keys.join(near, ["_run", "_salt"]).select("_k", "_near")
+    parts = dealt.groupBy("_part").agg(F.max("_run").alias("_n"), F.max("_at").alias("_end"), F.min_by(mark, "_at").alias("_head"), F.max_by(mark, "_at").alias("_tail"))
+    parts = parts.withColumn("_fresh", ~F.col("_head").eqNullSafe(F.lag("_tail").over(way)))
+    base = F.sum(F.col("_fresh").cast("long") + F.col("_n")).over(way.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    parts = parts.select("_part", base.alias("_base"), "_end", "_fresh", F.coalesce(F.lead("_fresh").over(way), F.lit(True)).alias("_closed"))
+    first = F.col("_first") & ((F.col("_at") > 0) | F.col("_fresh"))
+    last = F.col("_last") & ((F.col("_at") < F.col("_end")) | F.col("_closed"))
+    return dealt.join(F.broadcast(parts), "_part").select("_k", "_host", "_path", "_lines", (F.col("_run") + F.col("_base")).alias("_run"), first.alias("_first"), last.alias("_last"))
+
+
+def decisions(pages: DataFrame) -> DataFrame:
+    """For each key of ``pages`` (_k, _host, _path, _lines, _lead): _keep, the bits of the lines that are text, and _n, the number of template lines.
+
+    Only the first and the last page of each place meet others: they are dealt
+    to blocks of places in order, with those next to a border in both blocks. A
+    page before shows itself by the last page of its place, a page after by the
+    first. Further pages of a place are joined to what its first page met.
+    """
+    pages = _numbered(pages)
+    block = F.floor(F.col("_run") / PLACES)
+    edge = pages.where("_first OR _last").withColumn("_home", block)
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("_run") + d) / PLACES) for d in (0, -REACH, REACH)]))
+    edge = edge.withColumn("_block", F.explode(blocks))
+    page, around = F.struct(F.col("_path").alias("path"), F.col("_lines").alias("lines")), []
+    for step in range(1, REACH + 1):
+        for way, shown in ((-step, "_last"), (step, "_first")):
+            # One page at most shows itself in such a frame.
+            frame = Window.partitionBy("_block", "_host").orderBy("_run").rangeBetween(way, way)
+            around.append(F.first(F.when(F.col(shown), page), ignorenulls=True).over(frame))
+    met = edge.withColumn("_near", F.array(*around)).where("_block = _home AND _first")
+
+    rest = pages.where("NOT _first").select("_k", "_path", "_lines", "_run")
+    # What the first page of a place with very many pages met is repeated, so that the others spread over tasks.
+    salts = F.ceil(F.col("_m") / F.lit(SPREAD)).cast("int")
+    many = rest.groupBy("_run").agg(F.count(F.lit(1)).alias("_m")).select("_run", salts.alias("_salts")).where("_salts > 1")
+    shown = met.where("NOT _last").select("_run", "_near").join(many, "_run", "left")
+    shown = shown.select("_run", "_near", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
+    salt = F.pmod(F.xxhash64("_k"), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
+    rest = rest.join(many, "_run", "left").withColumn("_salt", salt).join(shown, ["_run", "_salt"])
+    columns = ["_k", "_path", "_lines", "_near"]
+    return met.select(*columns).unionByName(rest.select(*columns)).mapInArrow(_decided, "_k binary, _keep binary, _n long")
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -433,14 +507,15 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     their row. An empty table gives no rows. Ids keep their type and bits;
     other columns are not read, whatever their names. Very long pages are read
     whole; they are aligned in memory that grows with their number of lines.
-    Whole pages are shuffled once, to meet the few hashes of their neighbours.
+    Whole pages are shuffled once, to meet one bit for each of their lines; all
+    else works on 8 bytes a line.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)", 1)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"), host.alias("_host"), path.alias("_path"))
     rows = rows.withColumn("_k", row_key("id", "url", "_html"))
     lines = rows.where("_host <> ''").select("_k", "_host", "_path", "_html").mapInArrow(_signatures, "_k binary, _host string, _path string, _lines array<long>, _lead long")
-    met = neighbours(lines.where(F.size("_lines") > 0).dropDuplicates(["_k"]))
+    found = decisions(lines.where(F.size("_lines") > 0))
     id_type = pages.select(id_col).schema[0].dataType.simpleString()
-    joined = rows.select("id", "url", "_html", "_path", "_k").join(met.hint("shuffle_hash"), "_k", "left")
-    return joined.select("id", "url", "_html", "_path", "_near").mapInArrow(_extracted, f"id {id_type}, url string, text string, n_shared long").withColumnRenamed("id", id_col)
+    joined = rows.select("id", "url", "_html", "_k").join(found.hint("shuffle_hash"), "_k", "left").select("id", "url", "_html", "_keep", "_n")
+    return joined.mapInArrow(_extracted, f"id {id_type}, url string, text string, n_shared long").withColumnRenamed("id", id_col)

@@ -157,7 +157,7 @@ def brute_force(rows):
                         places, last = places + 1, pages[j][2].lead()
                         found.append((places, way, pages[j]))
             found.sort(key=lambda x: (-len(os.path.commonprefix([path.decode(), x[2][0].decode()])), x[0], x[1]))
-            near[k] = [x[2][2].hashes() for x in found]
+            near[k] = [x[2][2].lines() for x in found]
     return sorted((r[0], *P.main_text(P.page_lines(r[2]), near.get(key(*r), []))) for r in rows)
 
 
@@ -168,7 +168,10 @@ def test_whole_query_against_a_walk_over_all_pages(spark):
     assert got == [(i, t, len(t)) for i, t, _ in want] and sum(n for _, _, n in want) > 0
 
 
-def test_runs_of_copies_across_partitions(spark):
+@pytest.mark.parametrize("places, spread", [(P.PLACES, P.SPREAD), (7, 3)])
+def test_runs_of_copies_across_partitions(spark, monkeypatch, places, spread):
+    monkeypatch.setattr(P, "PLACES", places)
+    monkeypatch.setattr(P, "SPREAD", spread)
     rng = random.Random(3)
     rows = [(i, f"http://{rng.choice('ab')}.example/{rng.randint(0, 40)}/{i}", site(i, "Copied story. " * 9 if rng.random() < 0.6 else f"Story {rng.randint(0, 30)}")) for i in range(300)]
     df = spark.createDataFrame(rows, PAGES).repartition(7)
