@@ -366,7 +366,7 @@ def main_text(page: Page, around: list[np.ndarray]) -> tuple[str, int]:
 
 
 #: Places of one task where each meets the places around it.
-PLACES = 4096
+PLACES = 256
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
