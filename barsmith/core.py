@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,10 @@ SECONDS = {
     "1d": 86400, "1w": 604800, "1M": 2592000,
 }
 
-#: Rows of one block of a recurrence.
-BLOCK = 512
+#: Rows that one step of a recurrence joins.
+RADIX = 4
+#: Weights under e to the minus this are lost in double precision.
+FADED = 40.0
 
 
 def num(column: str | Column) -> Column:
@@ -98,44 +102,118 @@ def span_alpha(span: int) -> float:
     return 2.0 / (span + 1.0)
 
 
-def ewm(df: DataFrame, x: str | Column, alpha: float, name: str, adjust: bool = False) -> DataFrame:
-    """Exponentially weighted mean y = (1 - alpha) y' + alpha x, seeded by the first value that isn't null.
-
-    An affine scan in blocks: inside a block the recurrence is a running sum of
-    scaled inputs; the value carried into a block comes from the last sums of as
-    many earlier blocks as weigh in double precision. No row depends on a
-    Python loop, and one shuffle by series serves all. Values after the first
-    may not be null (bars are cleaned first). With ``adjust`` the weights of the
-    values seen so far are normalised to one.
+def reach(alpha: float) -> int:
+    """Values after which an exponential mean has forgotten what came before, in double precision."""
+    q = 1.0 - alpha
+    return 1 if q < 1e-12 else max(1, math.ceil(-FADED / math.log(q)))
+
+
+#: The window of ``series()`` in SQL, where lags that skip nulls must be written.
+_OVER = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in SERIES)} ORDER BY `timestamp`)"
+
+
+def _before(column: str, k: int) -> str:
+    """The k-th value before this row that isn't null."""
+    return f"lag(`{column}`, {k}) IGNORE NULLS {_OVER}"
+
+
+def ewms(df: DataFrame, means: dict[str, tuple[str | Column, float]], adjust: bool = False, together: bool = False) -> DataFrame:
+    """Exponentially weighted means by name: (values, alpha), each y = (1 - alpha) y' + alpha x, seeded by the first value that isn't null.
+
+    Every value is an affine map of the mean before it. Each step joins the maps
+    of RADIX times as many values as the last one, by ``lag`` over the one window
+    that all indicators share, until the product of weights is nothing in double
+    precision: after 5 steps for spans up to 51. So any number of means costs
+    neither a sort nor a shuffle of its own.
+
+    A null repeats the last mean, and weights go by position: after a gap of g
+    rows the mean before weighs (1 - alpha) ** g against alpha, normalised to
+    one. With ``adjust`` the weights of all values so far are normalised.
+    ``together`` says that all values are null in the same rows, which saves
+    work; means of one column need no such word.
     """
-    if not 0 < alpha <= 1:
-        raise ValueError("alpha must be in (0, 1]")
-    t, q = f"_{name}", 1.0 - alpha
-    df = df.withColumn(f"{t}_x", num(x).cast("double"))
-    if q < 1e-12:
-        return df.withColumn(name, F.col(f"{t}_x")).drop(f"{t}_x")
-    size = max(1, min(BLOCK, int(-600 / math.log(q))))
-    seen = F.count(f"{t}_x").over(upto()) - 1
-    df = df.withColumn(f"{t}_n", F.when(seen >= 0, seen))
-    df = df.withColumn(f"{t}_b", F.floor(F.col(f"{t}_n") / size)).withColumn(f"{t}_i", F.col(f"{t}_n") % size)
-    first = 1.0 if adjust else F.when(F.col(f"{t}_n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    u = F.col(f"{t}_x") * first * F.pow(F.lit(q), -F.col(f"{t}_i"))
-    inside = Window.partitionBy(*SERIES, f"{t}_b").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(f"{t}_p", F.pow(F.lit(q), F.col(f"{t}_i")) * F.sum(u).over(inside))
-    blocks = max(1, math.ceil(-40 / (size * math.log(q))))
-    last = F.when(F.col(f"{t}_i") == size - 1, F.col(f"{t}_p"))
-    carry = F.lit(0.0)
-    for k in range(1, blocks + 1):
-        far = Window.partitionBy(*SERIES).orderBy(f"{t}_b").rangeBetween(-k, -k)
-        carry = carry + F.coalesce(F.sum(last).over(far), F.lit(0.0)) * q ** (size * (k - 1))
-    y = F.col(f"{t}_p") + carry * F.pow(F.lit(q), F.col(f"{t}_i") + 1)
-    if adjust:
-        y = y * alpha / (1.0 - F.pow(F.lit(q), F.col(f"{t}_n") + 1))
-    return df.withColumn(name, y).drop(*[f"{t}_{c}" for c in "xnbip"])
+    for _, alpha in means.values():
+        if not 0 < alpha <= 1:
+            raise ValueError("alpha must be in (0, 1]")
+    groups: dict[str, list[str]] = {}
+    for n, (x, _) in means.items():
+        groups.setdefault("all" if together else x if isinstance(x, str) else f"of {n}", []).append(n)
+    sets = list(groups.values())
+    kept = [f"`{c}`" for c in df.columns]
+    df = df.withColumns({f"_{n}_x": num(x).cast("double") for n, (x, _) in means.items()})
+    df = df.selectExpr("*", f"row_number() {_OVER} AS _row").selectExpr("*", *[f"if(`_{g[0]}_x` IS NULL, NULL, _row) AS _at{i}" for i, g in enumerate(sets)])
+    df = df.selectExpr("*", *[f"{_before(f'_at{i}', 1)} AS _last{i}" for i in range(len(sets))])
+
+    def packed(i: int, fields: list[str]) -> str:
+        return f"if(_at{i} IS NULL, NULL, named_struct({', '.join(fields)})) AS _m{i}"
+
+    maps, parts = [f"_at{i}" for i in range(len(sets))], "abc" if adjust else "ab"
+    for i, group in enumerate(sets):
+        fields = []
+        for n in group:
+            x, alpha = f"`_{n}_x`", means[n][1]
+            held = f"pow({1.0 - alpha!r}D, _row - _last{i})"
+            new, share = ("1D", "1D") if adjust else (f"{alpha!r}D", f"({held} + {alpha!r}D)")
+            fields += [f"'{n}_a', if(_last{i} IS NULL, 0D, {held} / {share})", f"'{n}_b', if(_last{i} IS NULL, {x}, {new} * {x} / {share})"]
+            fields += [f"'{n}_c', 1D"] if adjust else []
+        maps.append(packed(i, fields))
+    df, done = df.selectExpr(*kept, *maps), 1
+    far = [max(reach(means[n][1]) for n in g) for g in sets]
+    while todo := [i for i, r in enumerate(far) if done < r]:
+        df = df.selectExpr("*", *[f"{_before(f'_m{i}', j * done)} AS _m{i}_{j}" for i in todo for j in range(1, RADIX)])
+        joined = [f"_at{i}" for i in range(len(sets))] + [f"_m{i}" for i in range(len(sets)) if i not in todo]
+        for i in todo:
+            fields = []
+            for n in sets[i]:
+                # The weight of the value j steps before: the product of the maps after it.
+                weights = [" * ".join([f"_m{i}.`{n}_a`", *[f"coalesce(_m{i}_{k}.`{n}_a`, 0D)" for k in range(1, j)]]) for j in range(1, RADIX + 1)]
+                fields.append(f"'{n}_a', {weights[-1]}")
+                fields += [f"'{n}_{p}', " + " + ".join([f"_m{i}.`{n}_{p}`", *[f"{weights[j - 1]} * coalesce(_m{i}_{j}.`{n}_{p}`, 0D)" for j in range(1, RADIX)]]) for p in parts[1:]]
+            joined.append(packed(i, fields))
+        df, done = df.selectExpr(*kept, *joined), done * RADIX
+    held = [f"last(_m{i}, true) {_OVER[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _m{i}" for i in range(len(sets))]
+    y = {n: f"_m{i}.`{n}_b` / _m{i}.`{n}_c`" if adjust else f"_m{i}.`{n}_b`" for i, g in enumerate(sets) for n in g}
+    return df.selectExpr(*kept, *held).selectExpr(*kept, *[f"{y[n]} AS `{n}`" for n in means])
+
+
+def ewm(df: DataFrame, x: str | Column, alpha: float, name: str, adjust: bool = False) -> DataFrame:
+    return ewms(df, {name: (x, alpha)}, adjust)
 
 
 def ema(df: DataFrame, x: str | Column, span: int, name: str, adjust: bool = False) -> DataFrame:
-    return ewm(df, x, span_alpha(span), name, adjust)
+    return ewms(df, {name: (x, span_alpha(span))}, adjust)
+
+
+def emas(df: DataFrame, means: dict[str, tuple[str | Column, int]], adjust: bool = False, together: bool = False) -> DataFrame:
+    """Several exponential means by span in the same steps."""
+    return ewms(df, {n: (x, span_alpha(span)) for n, (x, span) in means.items()}, adjust, together)
+
+
+def in_blocks(df: DataFrame, f: Callable[[DataFrame], DataFrame], history: int, size: int = 100_000) -> DataFrame:
+    """``f(df)`` for series too long for one task: blocks of ``size`` rows, each with the ``history`` rows before it.
+
+    ``f`` adds columns by windows that look back ``history`` rows at most and not
+    ahead; an exponential mean looks back ``reach(alpha)`` values, and one of a
+    mean the sum of both. Sums from the start of a series don't qualify. Exact
+    positions come from counts of each month, one short row each, so no task
+    sees a whole series. Inside ``f`` a block is a series of its own.
+    """
+    if history < 0 or size < 1:
+        raise ValueError("history must not be negative, and size must be positive")
+    held = df.withColumn("_month", F.date_trunc("month", "timestamp"))
+    counts = held.groupBy(*SERIES, "_month").agg(F.count(F.lit(1)).alias("_n"))
+    start = F.sum("_n").over(Window.partitionBy(*SERIES).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*SERIES, "_month"])], F.coalesce(start, F.lit(0)).alias("_start"))
+    held = held.withColumn("_at", F.row_number().over(Window.partitionBy(*SERIES, "_month").orderBy("timestamp")) - 1)
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(c)) for i, c in enumerate([*SERIES, "_month"])]
+    held = held.join(counts, reduce(lambda a, b: a & b, same)).withColumn("_at", F.col("_at") + F.col("_start"))
+    home = F.floor(F.col("_at") / size)
+    held = held.withColumn("_block", F.explode(F.sequence(home, F.floor((F.col("_at") + history) / size))))
+    held = held.withColumn("_own", F.col("_block") == home).withColumn("_exchange", F.col("exchange"))
+    held = held.withColumn("exchange", F.concat_ws("\u0000", F.col("_block").cast("string"), "exchange"))
+    held = held.select(*df.columns, "_own", "_exchange")
+    out = f(held).where("_own").withColumn("exchange", F.col("_exchange"))
+    return out.drop("_own", "_exchange")
 
 
 def typical() -> Column:
@@ -180,9 +258,11 @@ def from_ms(ms: str | Column) -> Column:
 
 
 def scratch_path(spark, name: str) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset (one machine)."""
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset and Spark runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="barsmith-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -88,15 +88,14 @@ def from_specs(df: DataFrame, specs: list[str]) -> DataFrame:
 
 def add_common(df: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50), volume: bool = True) -> DataFrame:
     for p in periods:
-        df = I.ema_ma(I.sma(df, p), p)
+        df = I.sma(df, p)
+    df = I.ema_mas(df, periods)
     df = I.atr(I.bollinger(I.rsi(I.macd(df), 14), 20), 14)
     return I.volume_ma(I.obv(df), 20) if volume else df
 
 
 def add_trend(df: DataFrame) -> DataFrame:
-    for p in (20, 50, 200):
-        df = I.ema_ma(df, p)
-    return I.macd(df)
+    return I.macd(I.ema_mas(df, (20, 50, 200)))
 
 
 def add_momentum(df: DataFrame) -> DataFrame:

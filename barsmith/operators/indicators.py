@@ -1,6 +1,6 @@
 """Technical indicators as DataFrame functions: bars of any number of series in, named columns added.
 
-All use windows of one specification or the block scan of ``core.ewm``; none
+All use windows of one specification, exponential means (``core.ewms``) too; none
 leaves the JVM. Price ranges of zero and other 0/0 cases give null unless said
 otherwise.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import SERIES, check, check_period, cum, div, ema, ewm, flag, num, prev, roll, rows, series, true_range, typical
+from ..core import SERIES, check, check_period, cum, div, ema, emas, ewms, flag, num, prev, roll, rows, series, true_range, typical
 
 # ------------------------------------------------------- moving averages
 
@@ -75,6 +75,14 @@ def hma(df: DataFrame, period: int = 20, column: str = "close", name: str | None
     return df.withColumn(name or f"hma_{period}", weighted("_raw", max(1, int(math.sqrt(period))))).drop("_raw")
 
 
+def ema_mas(df: DataFrame, periods: tuple[int, ...], column: str = "close") -> DataFrame:
+    """``ema_n`` for several periods, in the same steps."""
+    check(df, column)
+    for period in periods:
+        check_period(df, period)
+    return emas(df, {f"ema_{p}": (column, p) for p in periods})
+
+
 def volume_ma(df: DataFrame, period: int = 20) -> DataFrame:
     return sma(df, period, "volume", f"volume_ma_{period}")
 
@@ -124,7 +132,7 @@ def bollinger_signals(df: DataFrame, period: int = 20, std_dev: float = 2.0, col
 
 def keltner(df: DataFrame, period: int = 20, atr_period: int = 10, multiplier: float = 2.0) -> DataFrame:
     check(df, "high", "low", "close")
-    df = ema(ema(df, "close", period, "kc_middle"), true_range(), atr_period, "_atr")
+    df = emas(df.withColumn("_tr", true_range()), {"kc_middle": ("close", period), "_atr": ("_tr", atr_period)}).drop("_tr")
     df = df.withColumn("kc_upper", F.col("kc_middle") + multiplier * F.col("_atr")).withColumn("kc_lower", F.col("kc_middle") - multiplier * F.col("_atr"))
     return df.withColumn("kc_width", F.col("kc_upper") - F.col("kc_lower")).drop("_atr")
 
@@ -146,7 +154,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column:
     check(df, column)
     if fast >= slow:
         raise ValueError("the fast period must be shorter than the slow one")
-    df = ema(ema(df, column, fast, "_fast", adjust), column, slow, "_slow", adjust)
+    df = emas(df, {"_fast": (column, fast), "_slow": (column, slow)}, adjust)
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     df = ema(df, "macd", signal, "macd_signal", adjust)
     return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
@@ -170,14 +178,14 @@ def macd_signals(df: DataFrame, **options) -> DataFrame:
 
 
 def ppo(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> DataFrame:
-    df = ema(ema(df, column, fast, "_fast"), column, slow, "_slow")
+    df = emas(df, {"_fast": (column, fast), "_slow": (column, slow)})
     df = df.withColumn("ppo", div(F.col("_fast") - F.col("_slow"), "_slow") * 100).drop("_fast", "_slow")
     df = ema(df, "ppo", signal, "ppo_signal")
     return df.withColumn("ppo_histogram", F.col("ppo") - F.col("ppo_signal"))
 
 
 def apo(df: DataFrame, fast: int = 12, slow: int = 26, column: str = "close") -> DataFrame:
-    df = ema(ema(df, column, fast, "_fast"), column, slow, "_slow")
+    df = emas(df, {"_fast": (column, fast), "_slow": (column, slow)})
     return df.withColumn("apo", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
 
 
@@ -209,7 +217,7 @@ def _strength(gain: str, loss: str) -> Column:
 def rsi(df: DataFrame, period: int = 14, column: str = "close", name: str | None = None) -> DataFrame:
     """Relative strength with span weights, the registered form."""
     check(df, column)
-    df = ema(ema(_moves(df, column), "_gain", period, "_ag"), "_loss", period, "_al")
+    df = emas(_moves(df, column), {"_ag": ("_gain", period), "_al": ("_loss", period)}, together=True)
     return df.withColumn(name or f"rsi_{period}", _strength("_ag", "_al")).drop("_gain", "_loss", "_ag", "_al")
 
 
@@ -228,7 +236,7 @@ def rsi_wilder(df: DataFrame, period: int = 14, column: str = "close", strict: b
     check(df, column)
     if strict:
         check_period(df, period, True)
-    df = ewm(ewm(_moves(df, column), "_gain", 1.0 / period, "_ag"), "_loss", 1.0 / period, "_al")
+    df = ewms(_moves(df, column), {"_ag": ("_gain", 1.0 / period), "_al": ("_loss", 1.0 / period)}, together=True)
     return df.withColumn(f"RSI_{period}", _strength("_ag", "_al")).drop("_gain", "_loss", "_ag", "_al")
 
 

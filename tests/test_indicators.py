@@ -48,6 +48,47 @@ def test_roll_and_nulls(spark):
     same(values(core.ema(df.withColumn("v", F.when(F.col("close") > 1, F.col("close"))), "v", 3, "y"), "y"), [None, 2, 2.5, 3.25, 4.125])
 
 
+def test_mean_with_a_hole(spark):
+    df = bars(spark, [1.0, 2.0, 3.0, 4.0, 5.0]).withColumn("v", F.when(F.col("close") != 3, F.col("close")))
+    same(values(core.ema(df, "v", 3, "y"), "y"), [1, 1.5, 1.5, 19 / 6, 4.0 + 1 / 12])
+
+
+@pytest.mark.parametrize("span, adjust, share", [(3, False, 0.5), (20, False, 0.9), (200, False, 0.3), (20, True, 0.9), (200, True, 0.3)])
+def test_means_with_holes(spark, span, adjust, share):
+    rng = np.random.default_rng(span)
+    x = 100 + rng.normal(size=1500).cumsum()
+    x[rng.random(1500) < share] = np.nan
+    x[:5], x[511:513], x[700:1100] = np.nan, np.nan, np.nan
+    df = bars(spark, [float(i) for i in range(1500)], step=60, interval="1m")
+    df = df.withColumn("v", F.element_at(F.array(*[F.lit(None if v != v else float(v)).cast("double") for v in x]), F.col("close").cast("int") + 1))
+    same(values(core.ema(df, "v", span, "y", adjust), "y"), pd.Series(x).ewm(span=span, adjust=adjust).mean())
+
+
+def test_a_hole_after_many_rows_keeps_a_constant(spark):
+    df = bars(spark, [float(i) for i in range(1100)], step=60, interval="1m").withColumn("v", F.when(F.col("close") != 512, F.lit(100.0)))
+    same(values(core.ema(df, "v", 200, "y"), "y"), [100.0] * 1100)
+
+
+def test_long_series_in_blocks(spark):
+    x = (100 + np.random.default_rng(1).normal(size=900).cumsum()).tolist()
+    both = bars(spark, x, "A", step=7200).unionByName(bars(spark, x[::-1][:430], "B", step=7200))
+
+    def f(df):
+        return I.macd(I.bollinger(I.rsi(df)))
+
+    history = core.reach(core.span_alpha(26)) + core.reach(core.span_alpha(9)) + 1
+    parted = core.in_blocks(both, f, history, size=150)
+    assert parted.columns == f(both).columns
+    for s in "AB":
+        for c in ("rsi_14", "boll_upper", "macd", "macd_signal"):
+            same(values(parted, c, s), values(f(both), c, s))
+
+
+def test_many_means_share_one_sort(spark):
+    plan = R.add_common(bars(spark, [1.0, 2.0]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 2 and plan.count("Exchange hashpartitioning") <= 1
+
+
 def test_known_sma(spark):
     same(values(I.sma(bars(spark, [10.0 * i for i in range(1, 11)]), 5), "sma_5"), [None] * 4 + [30, 40, 50, 60, 70, 80])
 
