@@ -215,7 +215,30 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-_SIZE = 0xFFFF
+def _size_code(n: int) -> int:
+    """A size in 10 bits: exact under 64, else 5 bits after the leading one and an exponent."""
+    if n < 64:
+        return n
+    shift = min(n.bit_length() - 6, 30)
+    return 32 + 32 * shift + min((n >> shift) - 32, 31)
+
+
+def sizes(lines: np.ndarray) -> np.ndarray:
+    """Sizes of lines, to one part in 32, from their numbers."""
+    code = lines >> 2 & 0x3FF
+    shift = np.maximum(code - 32 >> 5, 0)
+    return np.where(code < 64, code, (32 + (code & 31)) << shift)
+
+
+def pack(lines: np.ndarray) -> bytes:
+    """Six bytes a line."""
+    return lines.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
 
 
 @dataclass
@@ -225,9 +248,9 @@ class Page:
     role: np.ndarray  # whether a line is inside an element that names its role
 
     def lines(self) -> np.ndarray:
-        """One number for each line: 46 bits of its hash, 16 of its size (``_SIZE`` at most), whether it is in an article, whether it has a role."""
-        whole = [xxhash.xxh64_intdigest(t) & ~(4 * _SIZE + 3) | min(len(t), _SIZE) << 2 for t in self.texts]
-        return (np.array(whole, dtype=np.uint64) | self.article.astype(np.uint64) << np.uint64(1) | self.role.astype(np.uint64)).view(np.int64)
+        """One number of 48 bits for each line: 36 of its hash, 10 of its size (see ``_size_code``), whether it is in an article, whether it has a role."""
+        whole = [xxhash.xxh64_intdigest(t) >> 28 << 12 | _size_code(len(t)) << 2 for t in self.texts]
+        return np.array(whole, dtype=np.int64) | self.article.astype(np.int64) << 1 | self.role.astype(np.int64)
 
     def lead(self) -> int:
         """What near copies have in common: the longest lines without a role."""
@@ -322,7 +345,7 @@ def decide(own: np.ndarray, around: list[np.ndarray]) -> tuple[np.ndarray, int]:
     n = len(own)
     if not n:
         return np.zeros(0, dtype=bool), 0
-    size, article, plain = own >> 2 & _SIZE, own & 2 > 0, own & 1 == 0
+    size, article, plain = sizes(own), own & 2 > 0, own & 1 == 0
     met = np.zeros((len(around), n), dtype=bool)
     names = (own >> 2).tolist()
     for i, other in enumerate(around):
@@ -330,7 +353,7 @@ def decide(own: np.ndarray, around: list[np.ndarray]) -> tuple[np.ndarray, int]:
     # What shares no line at all is of another make and tells nothing.
     told = np.flatnonzero(met.any(axis=1))
     met = met[told]
-    theirs = [int((around[i] >> 2 & _SIZE)[around[i] & 1 == 0].sum()) for i in told]
+    theirs = [int(sizes(around[i])[around[i] & 1 == 0].sum()) for i in told]
     all_met = met.all(axis=0) if len(met) > 1 else np.zeros(n, dtype=bool)
     total, rest = int(size[plain].sum()), int(size[plain & ~all_met].sum())
     template = np.zeros(n, dtype=bool)
@@ -372,7 +395,7 @@ PLACES = 256
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 3):
         pages = [page_lines(h) for h in batch.column(3).to_pylist()]
-        lines, lead = pa.array([p.lines() for p in pages], pa.list_(pa.int64())), pa.array([p.lead() for p in pages], pa.int64())
+        lines, lead = pa.array([pack(p.lines()) for p in pages], pa.binary()), pa.array([p.lead() for p in pages], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], lines, lead], names=["_k", "_host", "_path", "_lines", "_lead"])
 
 
@@ -420,7 +443,7 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, lines, near in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 # Nearest: the longest common start of the paths, then the fewest places between, then the place before.
                 near = sorted((x for x in near or [] if x is not None), key=lambda x, path=path: -len(os.path.commonprefix([path, x["path"]])))
-                keep, n = decide(np.array(lines, dtype=np.int64), [np.array(x["lines"], dtype=np.int64) for x in near])
+                keep, n = decide(unpack(lines), [unpack(x["lines"]) for x in near])
                 bits.append(np.packbits(keep).tobytes())
                 shared.append(n)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.binary()), pa.array(shared, pa.int64())], names=["_k", "_keep", "_n"])
@@ -450,7 +473,7 @@ def _numbered(pages: DataFrame) -> DataFrame:
     """
     order = ["_host", "_path", "_k"]
     dealt = pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    rows = "_k binary, _host string, _path string, _lines array<long>, _part int, _lead long, _run long, _at long, _first boolean, _last boolean"
+    rows = "_k binary, _host string, _path string, _lines binary, _part int, _lead long, _run long, _at long, _first boolean, _last boolean"
     dealt = materialize(dealt.mapInArrow(_marked, rows), "ordered")
     mark, way = F.struct("_host", "_lead"), Window.orderBy("_part")
     # One row for each shuffle partition, so its size is bounded by that setting.
@@ -508,14 +531,15 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     other columns are not read, whatever their names. Very long pages are read
     whole; they are aligned in memory that grows with their number of lines.
     Whole pages are shuffled once, to meet one bit for each of their lines; all
-    else works on 8 bytes a line.
+    else works on six bytes a line, among them 36 bits of its hash. Each page is
+    parsed twice, to number its lines and to take its text.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)", 1)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"), host.alias("_host"), path.alias("_path"))
     rows = rows.withColumn("_k", row_key("id", "url", "_html"))
-    lines = rows.where("_host <> ''").select("_k", "_host", "_path", "_html").mapInArrow(_signatures, "_k binary, _host string, _path string, _lines array<long>, _lead long")
-    found = decisions(lines.where(F.size("_lines") > 0))
+    lines = rows.where("_host <> ''").select("_k", "_host", "_path", "_html").mapInArrow(_signatures, "_k binary, _host string, _path string, _lines binary, _lead long")
+    found = decisions(materialize(lines.where(F.length("_lines") > 0), "lines"))
     id_type = pages.select(id_col).schema[0].dataType.simpleString()
     joined = rows.select("id", "url", "_html", "_k").join(found.hint("shuffle_hash"), "_k", "left").select("id", "url", "_html", "_keep", "_n")
     return joined.mapInArrow(_extracted, f"id {id_type}, url string, text string, n_shared long").withColumnRenamed("id", id_col)

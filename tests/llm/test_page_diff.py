@@ -3,6 +3,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from barsmith.llm import page_diff as P
@@ -122,6 +123,14 @@ def test_ids_keep_their_bits_and_any_type(spark):
     assert [r.page_id for r in P.extract_main_text(named).collect()] == ["x1"]
 
 
+def test_numbers_of_lines():
+    for n in [*range(200), 1000, 5000, 10**6, 10**9]:
+        got = int(P.sizes(np.array([P._size_code(n) << 2 | 3]))[0])
+        assert P._size_code(n) < 1024 and abs(got - n) * 32 <= n
+    lines = P.page_lines("<nav>a</nav><article>b<p>c</article>").lines()
+    assert (P.unpack(P.pack(lines)) == lines).all() and (lines & 3).tolist() == [1, 2, 2] and P.unpack(b"").size == 0
+
+
 def test_very_long_page_beside_short_ones(spark):
     long = "<body><p>Site name" + "".join(f"<p>line {i % 700} of many" for i in range(30_000)) + "</body>"
     rows = [(1, "http://h.example/1", long), (2, "http://h.example/2", "<body><p>Site name<p>short"), (3, "http://h.example/3", "<body><p>Site name<p>other")]
