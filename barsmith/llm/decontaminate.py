@@ -6,7 +6,8 @@ other on one diagonal make up a maximal match. For each pair of document and
 item the longest match that is still free is marked again and again, no word of
 either side twice, until none of ``min_match`` words is left. The share of the
 item's words that is marked, its coverage, is large even if its sentences were
-put in another order, since tiles may come in any order.
+put in another order, since tiles may come in any order. For an item of fewer
+words all its words are one seed.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, fresh, group_bounds, mix64, sliced, whole_groups
+from .common import batch_word_hashes, fresh, group_bounds, mix64, sliced
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-#: A benchmark of up to so many words is broadcast (24 bytes a word); a larger one is joined by shuffles.
+#: A benchmark of up to so many words is broadcast (32 bytes a word); a larger one is joined by shuffles.
 BROADCAST_WORDS = 1_000_000
+#: Matching seeds that are in memory at once.
+MATCHES = 1_000_000
 _CODE = np.random.Generator(np.random.PCG64(4711)).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -42,124 +45,213 @@ def _runs(h: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.
         g += h[j : len(h) - width + 1 + j] * _CODE[j]
     stop = np.repeat(begin[1:], np.diff(begin))
     at = np.flatnonzero(np.arange(len(h)) + width <= stop)
-    return at, mix64(g[at])
+    return at, mix64(g[at] + np.uint64(width))
 
 
-def _seeds(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            h, begin = batch_word_hashes(batch.column(1))
-            at, g = _runs(h, begin, width)
-            owner = np.searchsorted(begin, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(key[owner]), pa.array((at - begin[owner]).astype(np.int32))], names=["h", "k", "at"])
-
-    return run
+class Seeds:
+    """All seeds of some items, sorted by hash, for each width that items have: ``width``, or the words of a shorter item."""
 
+    def __init__(self, texts: pa.Array, width: int):
+        h, begin = batch_word_hashes(texts)
+        self.size = np.diff(begin)
+        self.tables = []
+        for w in range(1, width + 1):
+            at, g = _runs(h, begin, w)
+            owner = np.searchsorted(begin, at, side="right") - 1
+            on = self.size[owner] == w if w < width else self.size[owner] >= w
+            if on.any():
+                order = np.argsort(g[on], kind="stable")
+                self.tables.append((w, g[on][order], owner[on][order], (at - begin[owner])[on][order]))
 
-def _probe(width: int, table):
-    """Matches of documents with the seeds of a broadcast benchmark (sorted hashes, items, places)."""
+    def segments(self, h: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each width: maximal matches with texts as rows (text, item, diagonal, first and last place of a seed in the text).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, items, places = table.value
-        for batch in sliced(batches, 1):
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            h, begin = batch_word_hashes(batch.column(1))
+        Repeated words make every place of a text match every place of an item;
+        at most MATCHES of them are in memory, as matches on one diagonal become one.
+        """
+        for width, hashes, items, places in self.tables:
             at, g = _runs(h, begin, width)
             first, past = np.searchsorted(hashes, g, side="left"), np.searchsorted(hashes, g, side="right")
             hit = np.flatnonzero(past > first)
-            many = (past - first)[hit]
-            spot = np.repeat(first[hit] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            pos = np.repeat(at[hit], many)
-            owner = np.searchsorted(begin, pos, side="right") - 1
-            cols = [pa.array(key[owner]), pa.array(items[spot]), pa.array((pos - begin[owner]).astype(np.int32)), pa.array(places[spot])]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "item", "at", "place"])
+            many = np.cumsum((past - first)[hit])
+            found, i = [np.empty((0, 5), dtype=np.int64)], 0
+            while i < len(hit):
+                j = max(i + 1, int(np.searchsorted(many, (many[i - 1] if i else 0) + MATCHES, side="right")))
+                part = hit[i:j]
+                n = (past - first)[part]
+                spot = np.repeat(first[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                pos = np.repeat(at[part], n)
+                owner = np.searchsorted(begin, pos, side="right") - 1
+                pos = pos - begin[owner]
+                found.append(_joined(np.column_stack([owner, items[spot], pos - places[spot], pos, pos])))
+                i = j
+            yield width, _joined(np.concatenate(found)) if len(found) > 2 else found[-1]
 
-    return run
 
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Matches (text, item, diagonal, first, last) with those that continue each other made one, in that order."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return rows
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1) | (rows[1:, 3] > rows[:-1, 4] + 1)
+    start = np.flatnonzero(new)
+    out = rows[start]
+    out[:, 4] = np.maximum.reduceat(rows[:, 4], start)
+    return out
 
-def greedy_tiles(at: np.ndarray, place: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in the document, start in the item, words) from all shared runs of ``width`` words of one pair."""
-    order = np.lexsort((at, at - place))
-    at, place = at[order], place[order]
-    cut = np.flatnonzero((np.diff(at - place) != 0) | (np.diff(at) > 1)) + 1
-    start, stop = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
-    heap = [(-int(at[j - 1] - at[i] + width), int(place[i]), int(at[i])) for i, j in zip(start, stop, strict=True)]
+
+def tiles(matches: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in the document, start in the item, words) from the maximal matches (diagonal, first, last) of one pair."""
+    diagonal, first, last = matches.T
+    heap = [(-int(z - a + width), int(a - d), int(a)) for d, a, z in zip(diagonal, first, last, strict=True)]
     heapq.heapify(heap)
-    base = int(at.min())
-    doc, item = np.zeros(int(at.max()) - base + width, dtype=bool), np.zeros(int(place.max()) + width, dtype=bool)
-    tiles = []
+    base = int(first.min())
+    doc, item = np.zeros(int(last.max()) - base + width, dtype=bool), np.zeros(int((last - diagonal).max()) + width, dtype=bool)
+    out = []
     while heap:
         size, p, a = heapq.heappop(heap)
         size = -size
         taken = doc[a - base : a - base + size] | item[p : p + size]
         if not taken.any():
             doc[a - base : a - base + size] = item[p : p + size] = True
-            tiles.append((a, p, size))
+            out.append((a, p, size))
             continue
         edge = np.flatnonzero(np.diff(np.concatenate(([1], taken.astype(np.int8), [1]))))
         for i, j in zip(edge[::2], edge[1::2], strict=True):
             if j - i >= width:
                 heapq.heappush(heap, (-int(j - i), p + int(i), a + int(i)))
-    return tiles
+    return out
+
+
+def greedy_tiles(at: np.ndarray, place: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Tiles from all shared runs of ``width`` words of one pair."""
+    none = np.zeros(len(at), dtype=np.int64)
+    return tiles(_joined(np.column_stack([none, none, at - place, at, at]))[:, 2:], width)
+
+
+def _covered(seeds: Seeds, texts: pa.Array) -> list[tuple[int, int, int, float]]:
+    """(text, item, tiles, coverage) of all pairs with a seed in common."""
+    h, begin = batch_word_hashes(texts)
+    out = []
+    for width, rows in seeds.segments(h, begin):
+        if len(rows):
+            for i, j in zip(*group_bounds([rows[:, 0], rows[:, 1]]), strict=True):
+                found = tiles(rows[i:j, 2:], width)
+                out.append((int(rows[i, 0]), int(rows[i, 1]), len(found), sum(t[2] for t in found) / int(seeds.size[rows[i, 1]])))
+    return out
+
+
+_FOUND = "k1 long, k2 long, item long, n_tiles long, coverage double"
 
 
-def _tile(width: int):
+def _rows(k1: pa.Array, k2: pa.Array, item: np.ndarray, n: list[int], coverage: list[float]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([k1, k2, pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(coverage, pa.float64())], names=["k1", "k2", "item", "n_tiles", "coverage"])
+
+
+def _probe(shared):
+    """Coverage of the items of a broadcast benchmark by documents (k1, k2, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seeds = shared.value
+        for batch in sliced(batches, 2):
+            found = _covered(seeds, batch.column(2))
+            at = pa.array([f[0] for f in found], pa.int64())
+            yield _rows(batch.column(0).take(at), batch.column(1).take(at), names[[f[1] for f in found]], [f[2] for f in found], [f[3] for f in found])
+
+    return run
+
+
+def _seed_hashes(width: int):
+    """Different seeds of texts (key columns, text): (h, key columns). Documents have those of all widths, items (one key) of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in whole_groups(batches, 2):
-            k, item, at, place, size = cols
-            out = []
-            for i, j in zip(*group_bounds([k, item]), strict=True):
-                tiles = greedy_tiles(at[i:j].astype(np.int64), place[i:j].astype(np.int64), width)
-                out.append((int(k[i]), int(item[i]), len(tiles), sum(t[2] for t in tiles) / int(size[i])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["k", "item", "n_tiles", "coverage"])
+        for batch in batches:
+            keys = batch.columns[:-1]
+            h, begin = batch_word_hashes(batch.column(batch.num_columns - 1))
+            for w in range(1, width + 1):
+                at, g = _runs(h, begin, w)
+                owner = np.searchsorted(begin, at, side="right") - 1
+                if len(keys) == 1:
+                    on = np.diff(begin)[owner] == w if w < width else np.ones(len(at), dtype=bool)
+                    owner, g = owner[on], g[on]
+                pairs = np.unique(np.column_stack([owner, g.view(np.int64)]), axis=0)
+                who = pa.array(pairs[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), *[k.take(who) for k in keys]], names=["h", *batch.schema.names[:-1]])
+
+    return run
+
+
+def _pairs(width: int):
+    """Coverage of pairs (k1, k2, item, text, item's text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 3):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                found = _covered(Seeds(row.column(4), width), row.column(3))
+                if found:
+                    yield _rows(row.column(0), row.column(1), row.column(2).to_numpy(), [found[0][2]], [found[0][3]])
 
     return run
 
 
 def item_coverage(keyed: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = MIN_MATCH, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """Coverage of every (text, item) pair that shares a seed: k, item, n_tiles, coverage.
+    """Coverage of every pair of a text and an item's text that share a seed: k1, k2, item_id, n_tiles, coverage.
 
-    ``keyed`` has k (a long that names the text) and text. Items without id, and
-    items of fewer than ``width`` words, match nothing; an id that repeats with
-    several texts is taken as one item of all its texts' words.
+    ``keyed`` has k1, k2 (longs that name the text) and text. An item is an id
+    of any type with one text; an id that repeats with several texts is as many
+    items. Items without id or words match nothing.
     """
     spark = keyed.sparkSession
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("k"), normal(F.col(text_col)).alias("text"))
-    items = items.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("text")), " ").alias("text"))
-    sizes = items.select(F.col("k").alias("item"), F.size(F.split(F.trim("text"), " ")).alias("size"))
-    texts = keyed.select("k", normal(F.col("text")).alias("text"))
-    seeds = items.mapInArrow(_seeds(width), "h long, k long, at int").select("h", F.col("k").alias("item"), F.col("at").alias("place"))
-    if (sizes.agg(F.sum("size")).first()[0] or 0) <= broadcast_words:
-        table = seeds.toPandas()
-        hashes = table["h"].to_numpy().view(np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        parts = hashes[order], table["item"].to_numpy()[order], table["place"].to_numpy()[order]
-        matches = texts.mapInArrow(_probe(width, spark.sparkContext.broadcast(parts)), "k long, item long, at int, place int")
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.trim(normal(F.col(text_col))).alias("text")).where("text <> ''")
+    items = items.distinct().withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "text"))
+    texts = keyed.select("k1", "k2", normal(F.col("text")).alias("text"))
+    words = F.sum(F.size(F.split("text", " ")))
+    if (items.agg(words).first()[0] or 0) <= broadcast_words:
+        held = items.select("item", "text").orderBy("item").toArrow()
+        names = held.column("item").to_numpy()
+        shared = spark.sparkContext.broadcast((names, Seeds(held.column("text").combine_chunks(), width)))
+        found = texts.mapInArrow(_probe(shared), _FOUND)
     else:
-        matches = texts.mapInArrow(_seeds(width), "h long, k long, at int").join(seeds, "h").select("k", "item", "at", "place")
-    matches = matches.join(sizes, "item").select("k", "item", "at", "place", "size").distinct()
-    return matches.repartition("k", "item").sortWithinPartitions("k", "item").mapInArrow(_tile(width), "k long, item long, n_tiles long, coverage double")
+        own = items.select("item", "text").mapInArrow(_seed_hashes(width), "h long, item long")
+        met = texts.mapInArrow(_seed_hashes(width), "h long, k1 long, k2 long").join(own, "h").select("k1", "k2", "item").distinct()
+        met = met.join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).join(items.select("item", F.col("text").alias("item_text")), "item")
+        found = met.select("k1", "k2", "item", "text", "item_text").mapInArrow(_pairs(width), _FOUND)
+    return found.join(items.select("item", "item_id"), "item").select("k1", "k2", "item_id", "n_tiles", "coverage")
+
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """id, text and a name of 128 bits for both."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit(1), "text", "id")})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = COVERAGE, **options) -> DataFrame:
-    """One row per input row: id, n_items (items whose coverage reaches ``threshold``), item_ids, max_coverage (0 if no seed is shared), contaminated.
+    """One row per input row: id, n_items (item ids of which a text's coverage reaches ``threshold``), item_ids, max_coverage (0 if no seed is shared), contaminated.
 
-    Null and empty texts are clean. Repeated rows give repeated results. An
-    empty benchmark leaves all clean.
+    Null and empty texts are clean. Repeated rows give repeated results, also
+    where ids repeat with different texts. An empty benchmark leaves all clean,
+    an empty table gives no rows. Ties between equally long matches go to the
+    earliest place in the item, then in the text. Very long texts are read
+    whole. Ids of documents and items keep their type; other columns are not read.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text"))
+    keyed = _keyed(docs, text_col, id_col)
     found = item_coverage(keyed, benchmark, **options)
     hit = F.col("coverage") >= threshold
-    found = found.groupBy("k").agg(F.sum(hit.cast("long")).alias("n_items"), F.array_sort(F.collect_set(F.when(hit, F.col("item")))).alias("item_ids"), F.max("coverage").alias("max_coverage"))
-    joined = keyed.select("id", "k").join(found, "k", "left")
-    n = F.coalesce("n_items", F.lit(0))
-    return joined.select(F.col("id").alias(id_col), n.cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"), (n > 0).alias("contaminated"))
+    # Rows that repeat id and text gave their pairs more than once.
+    found = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.when(hit, F.col("item_id")))).alias("item_ids"), F.max("coverage").alias("max_coverage"))
+    joined = keyed.select("id", "k1", "k2").join(found, ["k1", "k2"], "left")
+    item_type = benchmark.select(options.get("item_col", "item_id")).schema[0].dataType.simpleString()
+    none = F.array().cast(f"array<{item_type}>")
+    out = joined.select(F.col("id").alias(id_col), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"))
+    n = F.size("item_ids").cast("long")
+    return out.select(id_col, n.alias("n_items"), "item_ids", "max_coverage", (n > 0).alias("contaminated"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = COVERAGE, **options) -> DataFrame:
-    """The rows that are not contaminated, all columns. Only the keys of contaminated rows are joined."""
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text"))
-    key, out = fresh(docs, "_key", "_gone")
-    gone = item_coverage(keyed, benchmark, **options).where(F.col("coverage") >= threshold).select(F.col("k").alias(out)).distinct()
-    return docs.withColumn(key, F.xxhash64(id_col, text_col)).join(gone, F.col(key) == F.col(out), "left_anti").select(*docs.columns)
+    """The rows that are not contaminated, all columns, under the rules of ``find_leaks``. Only the keys of contaminated rows are joined."""
+    keyed = _keyed(docs, text_col, id_col)
+    a, b, one, two = fresh(docs, "_key1", "_key2", "_gone1", "_gone2")
+    gone = item_coverage(keyed, benchmark, **options).where(F.col("coverage") >= threshold).select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct()
+    named = docs.withColumns({a: F.xxhash64(id_col, text_col), b: F.xxhash64(F.lit(1), text_col, id_col)})
+    return named.join(gone, (F.col(a) == F.col(one)) & (F.col(b) == F.col(two)), "left_anti").select(*docs.columns)
