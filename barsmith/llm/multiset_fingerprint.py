@@ -100,8 +100,11 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     text are one document in that order and give repeated results. Columns: id,
     n_chars, edited_sha256, vector, edited_vector, next_vector.
 
-    The order is found over narrow rows; whole texts are shuffled once, and of
-    the next document only the part that is needed.
+    An empty table gives no rows; the only document of a table is its own next.
+    Very long texts are read whole. Ids keep their type; other columns are not
+    read. The order is found over narrow rows. Texts are shuffled to meet their
+    places, again as starts of the documents before, and once more to be joined
+    with these.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_md5", F.md5(F.col("_text").cast("binary")))
@@ -110,7 +113,7 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     ranks = with_global_rank(narrow.groupBy("_id", "_md5", "_k", "_n").agg(F.count(F.lit(1)).alias("_m")), ["_id", "_md5"], "_rank")
     n, repeats = ranks.agg(F.count(F.lit(1)), F.max("_m")).first()
     after = ranks.select(F.pmod(F.col("_rank") - 1, F.lit(max(n, 1))).alias("_rank"), F.col("_k").alias("_next"), F.col("_rank").alias("_next_rank"))
-    pairs = ranks.select("_rank", "_id", "_k", "_n").join(after, "_rank")
+    pairs = ranks.select("_rank", "_id", "_k", "_n", "_m").join(after, "_rank")
     pairs = materialize(pairs, "pairs")
 
     need = pairs.select(F.col("_next").alias("_k"), F.col("_k").alias("_for"), F.expr("_n div 2").alias("_need"))
@@ -119,16 +122,20 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
         heads = heads.dropDuplicates(["_for"])
     own = rows.select("_k", "_text").join(pairs.select("_k", "_rank", "_n").hint("shuffle_hash"), "_k")
     edited = own.join(heads, own._k == heads._for).select("_rank", "_text", F.expr("concat(substring(_text, 1, int(_n - _n div 2)), _head)").alias("_edited"))
-    edited = edited.select("_rank", F.monotonically_increasing_id().alias("_row"), F.unhex(F.sha2(F.col("_edited").cast("binary"), 256)).alias("_sha"), "_text", "_edited")
-    both = edited.select("_rank", "_row", "_sha", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("_edited").alias("t")))).alias("_x"))
-    both = both.select("_rank", "_row", "_sha", F.col("_x.e").alias("_e"), F.col("_x.t").alias("_t"))
-    found = materialize(vectors(both, ["_rank", "_row", "_sha", "_e"], "_t"), "vectors")
-
-    plain = found.where("_e = 0").select("_rank", "_row", "vector")
-    changed = found.where("_e = 1").select("_row", "_sha", F.col("vector").alias("edited_vector"))
+    edited = edited.select("_rank", F.unhex(F.sha2(F.col("_edited").cast("binary"), 256)).alias("_sha"), "_text", "_edited")
+    if (repeats or 0) > 1:
+        # Rows that repeat id and text are one document here; how often it stands is joined back at the end.
+        edited = edited.dropDuplicates(["_rank"])
+    both = edited.select("_rank", "_sha", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("_edited").alias("t")))).alias("_x"))
+    both = both.select("_rank", "_sha", F.col("_x.e").alias("_e"), F.col("_x.t").alias("_t"))
+    found = materialize(vectors(both, ["_rank", "_sha", "_e"], "_t"), "vectors")
+
+    # Every row is named by its place in the order, which a task that runs again gives anew alike.
+    plain = found.where("_e = 0").select("_rank", "vector")
+    changed = found.where("_e = 1").select("_rank", "_sha", F.col("vector").alias("edited_vector"))
     following = plain.select(F.col("_rank").alias("_next_rank"), F.col("vector").alias("next_vector"))
+    names = pairs.select("_rank", "_next_rank", "_id", "_n", "_m")
     if (repeats or 0) > 1:
-        following = following.dropDuplicates(["_next_rank"])
-    names = pairs.select("_rank", "_next_rank", "_id", "_n")
-    out = plain.join(changed, "_row").join(names, "_rank").join(following, "_next_rank")
+        names = names.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
+    out = plain.join(changed, "_rank").join(names, "_rank").join(following, "_next_rank")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.lower(F.hex("_sha")).alias("edited_sha256"), "vector", "edited_vector", "next_vector")

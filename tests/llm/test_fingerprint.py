@@ -1,8 +1,14 @@
 import hashlib
+import re
+import struct
 
+
+import xxhash
 from pyspark.sql import functions as F
 
+
 from barsmith.llm import multiset_fingerprint as P
+from barsmith.llm import queries
 
 
 def vec(spark, texts):
@@ -53,3 +59,46 @@ def test_likeness_follows_the_shared_part(spark):
     df = spark.createDataFrame([(i, list(v[0]), list(v[i])) for i in (1, 2, 3)], "i int, a array<long>, b array<long>")
     near = {r.i: r.n for r in df.select("i", P.likeness(F.col("a"), F.col("b")).alias("n")).collect()}
     assert near[1] > 0.75 > near[2] > 0.25 > near[3]
+
+
+def vector_by_definition(text):
+    """Sum of the paragraph vectors, lane by lane."""
+    n, own, bits = 0, [0] * 4, [0] * 64
+    for line in (text or "").split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if not words:
+            continue
+        first = xxhash.xxh64_intdigest(line, seed=42)
+        for k in (1, 2):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", k), seed=first)
+            own[2 * k - 2] += h & 0xFFFFFFFF
+            own[2 * k - 1] += h >> 32
+        for run in [words[i : i + 3] for i in range(max(1, len(words) - 2))]:
+            h, n = xxhash.xxh64_intdigest(" ".join(run), seed=42), n + 1
+            for b in range(64):
+                bits[b] += h >> b & 1
+    return [n % 2**32, *[x % 2**32 for x in own], *[x % 2**16 for x in bits]]
+
+
+def likeness_by_definition(a, b):
+    if a == b:
+        return 1.0
+    sides = [[(2 * c - v[0] + 2**15) % 2**16 - 2**15 for c in v[5:]] for v in (a, b)]
+    total, apart = sum(x * x for s in sides for x in s), sum((x - y) ** 2 for x, y in zip(*sides, strict=True))
+    return 0.0 if total == 0 else min(1.0, max(0.0, 1 - apart / total))
+
+
+def test_whole_query_against_definition(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    order = sorted(texts)
+    own = {d: vector_by_definition(texts[d]) for d in order}
+    got = {r.doc_id: r for r in queries.op7_fingerprints(spark, sf).collect()}
+    assert sorted(got) == order
+    for i, d in enumerate(order):
+        follows, half = order[(i + 1) % len(order)], len(texts[d]) // 2
+        text = texts[d][: len(texts[d]) - half] + texts[follows][:half]
+        edited = vector_by_definition(text)
+        digits = ["".join(f"{x:08x}" for x in v[:5]) + "".join(f"{x:04x}" for x in v[5:]) for v in (own[d], edited)]
+        assert [got[d].fingerprint, got[d].edited_fingerprint] == digits and got[d].edited_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert abs(got[d].near_edited - likeness_by_definition(own[d], edited)) < 1e-9 and abs(got[d].near_next - likeness_by_definition(own[d], own[follows])) < 1e-9
