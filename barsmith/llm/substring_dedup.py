@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, materialize, mix64, sliced, text_buffers
+from .common import batch_word_hashes, delete_path, materialize, mix64, new_path, sliced, text_buffers
 
 WINDOW, GRAM = 35, 8
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -181,7 +181,7 @@ def _cut(window: int):
 
 
 class WindowIndex:
-    """Runs of window fingerprints, kept as bucketed, sorted tables in the warehouse.
+    """Runs of window fingerprints, kept as bucketed, sorted tables in the folder that driver and executors share.
 
     ``fan`` runs are merged into one. Runs are never changed once written.
     ``windows`` are tables of window hashes, one for each call of
@@ -192,6 +192,7 @@ class WindowIndex:
         self.spark, self.buckets, self.fan = spark, buckets, fan
         self.name = name or f"windows_{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.paths: dict[str, str] = {}
         self.windows: list[str] = []
         self.shape: tuple[int, int] | None = None
         self._made = 0
@@ -218,14 +219,23 @@ class WindowIndex:
             return
         old, self.runs = self.runs, []
         self._write(self._merged(old))
-        for name in old:
+        self._drop(old)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self._drop(self.runs + self.windows)
+        self.runs, self.windows = [], []
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
             self.spark.sql(f"DROP TABLE {name}")
+            delete_path(self.spark, self.paths.pop(name))
 
     def keep_windows(self, texts: DataFrame, window: int, gram: int) -> None:
         """Write the hashes of all windows of a batch (column text) for later calls."""
         rows = texts.select("text").mapInArrow(_all_windows(window, gram), "h long, w1 long, w2 long").distinct()
         name = f"{self.name}_windows{len(self.windows)}"
-        rows.repartition(self.buckets, "h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self._save(rows, name)
         self.windows.append(name)
 
     def repeated(self) -> DataFrame:
@@ -245,10 +255,14 @@ class WindowIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name, self._made = f"{self.name}_run{self._made}", self._made + 1
-        rows.repartition(self.buckets, "h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self._save(rows, name)
         self.runs.append(name)
         return name
 
+    def _save(self, rows: DataFrame, name: str) -> None:
+        self.paths[name] = new_path(self.spark, name)
+        rows.repartition(self.buckets, "h").write.format("parquet").option("path", self.paths[name]).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, batches: int = 2, index: WindowIndex | None = None) -> DataFrame:
     """Remove every word that a repeated window covers: id, n_words, n_removed, kept (words joined by a space), kept_sha256.
@@ -256,7 +270,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     A window is repeated if its words, in order, also start at any other place
     of the corpus, the same text included. One row per input row. Null and
     empty texts have no words; texts shorter than a window keep all. Repeated
-    rows count as other places. The corpus enters the index in ``batches``
+    rows count as other places, so a row that stands twice loses every window.
+    An empty table gives no rows. Very long texts are read whole, in slices. Ids
+    keep their type; other columns are not read. The corpus enters the index in ``batches``
     steps, each merge-joined with what came before; the result doesn't depend on
     their number. With an ``index`` from earlier calls, windows of the texts of
     those calls are other places too; what those calls returned stays as it was.
@@ -280,26 +296,30 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     repeated = materialize(index.repeated(), "repeated")
     if lasting:
         index.keep_windows(keyed, window, gram)
+    else:
+        index.drop()
     marks = fingerprints(keyed, window, gram).join(repeated, "h", "left_semi")
     met = marks.select("h").distinct()
     marks = marks.groupBy("k").agg(F.collect_set("h").alias("marks"))
     # All three joins of texts read one shuffle by k.
     rows = keyed.select("id", "k", "text")
     near = rows.join(marks.hint("shuffle_hash"), "k").select("id", "k", "text", "marks")
-    stretches = near.mapInArrow(_stretches(window, gram), "k long, h long, place int, start int, many int, c1 long, c2 long")
+    # Written, as it is read three times. Sets too: beside plain tables Spark may split a set that very many places share.
+    stretches = materialize(near.mapInArrow(_stretches(window, gram), "k long, h long, place int, start int, many int, c1 long, c2 long"), "stretches")
     sets = stretches.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("one"))
+    sets = materialize(sets, "sets")
     alone, equal = sets.where("n = 1"), sets.where("n > 1")
     whole = stretches.join(equal.select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("k", "start", "many")
 
     singles = alone.unionByName(equal.join(alone.select("h").distinct(), "h", "left_semi").select(*alone.columns))
     places = singles.groupBy(F.col("one.k").alias("k")).agg(F.collect_set("one.place").alias("places"))
     open_ = rows.join(places.hint("shuffle_hash"), "k").select("id", "k", "text", "places")
-    windows = open_.mapInArrow(_single_windows(window, gram), "k long, start int, w1 long, w2 long")
+    windows = materialize(open_.mapInArrow(_single_windows(window, gram), "k long, start int, w1 long, w2 long"), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     # Stretches that are equal to none here are alone, so all their windows are among those that meet the history.
     for old in history:
         twice = twice.union(old.join(met, "h", "left_semi").select("w1", "w2")).distinct()
-    hits = windows.join(twice, ["w1", "w2"], "left_semi").select("k", "start", F.lit(1).alias("many"))
+    hits = windows.join(materialize(twice, "twice"), ["w1", "w2"], "left_semi").select("k", "start", F.lit(1).alias("many"))
 
     gone = whole.unionByName(hits).groupBy("k").agg(F.collect_set(F.struct("start", "many")).alias("gone"))
     marked = rows.join(gone.hint("shuffle_hash"), "k", "left").select("id", "text", "gone")
