@@ -8,7 +8,9 @@ key until their sizes, summed in that order, reach the rest.
 
 Keys are dealt to buckets in key order, so the order within a source is never
 sorted as a whole: sums of buckets tell which bucket holds the end, and only
-rows of that bucket are ranked.
+rows of that bucket are ranked. Buckets hold about as many rows each, whatever
+the weights: a key's bucket is its share of the source's own distribution of
+keys, which follows from how often each weight stands in it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql.window import Window
 from .common import materialize, word_count
 
 CAP = 3
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET, LEAST_BUCKETS = 5_000, 64
+#: Steps, each half as much again, to which weights are rounded for the distribution of keys.
+STEP, STEPS = 1.5, 24
 #: Sources up to this number are broadcast (one short row each).
 BROADCAST_SOURCES = 50_000
 
@@ -69,20 +73,27 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     and empty texts have size 0 and are taken as 0 words. Ties in the key go by
     id and then size; repeated rows draw the same key and are taken one by one.
     ``taken`` is a multiple of the size: whole epochs, and one more for sampled
-    documents; the last sampled one is taken if at least half of it fits.
+    documents; the last sampled one is taken if at least half of it fits. An
+    empty table gives no rows. Very long texts are counted whole; one larger
+    than what is left of a target may be left out whole, so a source misses its
+    target by less than its largest document. Weights must be positive.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight(F.col(text_col)).alias("_weight"))
-    rows = rows.withColumn("_key", -F.log(unit_draw(F.col("_id"), seed)) / F.col("_weight")).drop("_weight")
+    step = F.greatest(F.lit(-STEPS), F.least(F.lit(STEPS), F.round(F.log(F.col("_weight")) / F.log(F.lit(STEP))))).cast("int")
+    rows = rows.withColumns({"_key": -F.log(unit_draw(F.col("_id"), seed)) / F.col("_weight"), "_step": step}).drop("_weight")
     rows = materialize(rows, "mix")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    steps = rows.groupBy("source", "_step").agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_c"))
+    # At most 2 STEPS + 1 pairs for each source.
+    sizes = steps.groupBy("source").agg(F.sum("_sum").alias("source_size"), F.sum("_c").alias("_n"), F.sort_array(F.collect_list(F.struct("_step", "_c"))).alias("_steps"))
     targets = materialize(source_targets(sizes, weights).withColumn("_sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     if targets.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     named = rows.withColumnRenamed("source", "_source").join(plan, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    buckets = F.greatest(F.lit(16), F.ceil(F.col("_n") / F.lit(ROWS_PER_BUCKET))).cast("double")
-    named = named.withColumn("_b", F.floor(buckets * (1.0 - F.exp(-F.col("_key")))).cast("long"))
+    buckets = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("_n") / F.lit(ROWS_PER_BUCKET))).cast("double")
+    below = F.aggregate("_steps", F.lit(0.0), lambda a, x: a + x["_c"].cast("double") * (1.0 - F.exp(-F.col("_key") * F.pow(F.lit(STEP), x["_step"])))) / F.col("_n")
+    named = named.withColumn("_b", F.floor(buckets * below).cast("long")).drop("_steps", "_step")
 
     sums = named.groupBy("_sid", "_b").agg(F.sum("size").alias("_sum"))
     upto = F.sum("_sum").over(Window.partitionBy("_sid").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
