@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import OHLCV, PRICES, SECONDS, SERIES, check, div, flag, from_ms, prev, series
+from ..core import OHLCV, PRICES, SECONDS, SERIES, check, div, flag, from_ms, prev, scratch_path, series
 
 COMPLETE, GOOD = 0.99, 0.95
 MAX_DUPLICATES = 0.01
@@ -49,7 +49,8 @@ def clean(df: DataFrame, sequence: str = "ingest_seq") -> DataFrame:
         df = df.withColumn(c, F.when(~F.isnan(x), x))
     df = df.dropna(subset=["timestamp", *PRICES]).where("high >= low")
     df = df.withColumns({"high": F.greatest("high", "open", "close"), "low": F.least("low", "open", "close"), "volume": F.when(F.col("volume") < 0, 0.0).otherwise(F.col("volume"))})
-    order = F.col(sequence).desc() if sequence in df.columns else F.lit(0).asc()
+    # Without a sequence the row that stays is the largest by its values, so reruns agree.
+    order = F.col(sequence).desc() if sequence in df.columns else F.struct("close", "volume", *[c for c in OHLCV if c not in ("close", "volume")]).desc()
     w = Window.partitionBy(*SERIES, "timestamp").orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -103,11 +104,18 @@ def anomalies(df: DataFrame, threshold: float = 3.0) -> DataFrame:
     return df.drop(*[f"_{n}_{c}" for c in ("price_change", "volume") for n in "ms"])
 
 
-def remove_outliers(df: DataFrame, method: str = "iqr", factor: float = 1.5, columns: tuple[str, ...] = tuple(OHLCV)) -> DataFrame:
-    """Drop outliers column after column; each column's limits come from the rows that the ones before have left."""
+def remove_outliers(df: DataFrame, method: str = "iqr", factor: float = 1.5, columns: tuple[str, ...] = tuple(OHLCV), accuracy: int | None = None) -> DataFrame:
+    """Drop outliers column after column; each column's limits come from the rows that the ones before have left.
+
+    The limits of each step, a short row for each series, are written to the
+    shared folder, so a step costs one scan. Quartiles are exact, which holds a
+    series' different values in one task; with ``accuracy`` they are estimated
+    by a sketch of bounded size.
+    """
     for c in columns:
         if method == "iqr":
-            q = df.groupBy(*SERIES).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+            ends = F.array(F.lit(0.25), F.lit(0.75))
+            q = df.groupBy(*SERIES).agg((F.percentile(c, ends) if accuracy is None else F.percentile_approx(c, ends, accuracy)).alias("_q"))
             span = F.col("_q")[1] - F.col("_q")[0]
             keep = (F.col(c) >= F.col("_q")[0] - factor * span) & (F.col(c) <= F.col("_q")[1] + factor * span)
         elif method == "zscore":
@@ -115,7 +123,9 @@ def remove_outliers(df: DataFrame, method: str = "iqr", factor: float = 1.5, col
             keep = ~flag(F.col("_q.s") > 0) | (F.abs(F.col(c) - F.col("_q.m")) / F.col("_q.s") < factor)
         else:
             raise ValueError(f"unknown method: {method}")
-        df = df.join(q, SERIES).where(keep).drop("_q")
+        path = scratch_path(df.sparkSession, "limits")
+        q.write.parquet(path)
+        df = df.join(df.sparkSession.read.schema(q.schema).parquet(path), SERIES).where(keep).drop("_q")
     return df
 
 

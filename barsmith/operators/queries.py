@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import OHLCV, SECONDS, SERIES, bucket, div, epoch_ms, prev, series
+from ..core import OHLCV, SECONDS, SERIES, bucket, div, epoch_ms, prev, scratch_path, series
 
 # ------------------------------------------------------------- selection
 
@@ -78,12 +78,17 @@ def latest_within(df: DataFrame, now: str, days: int = 30, limit: int = 1000) ->
     return newest(df.where((F.col("timestamp") <= end) & (F.col("timestamp") >= end - F.expr(f"INTERVAL {days} DAYS"))), limit)
 
 
-def before(df: DataFrame, time: str, limit: int) -> DataFrame:
-    """The newest ``limit`` closed bars: start + step is not after ``time``; looks back limit x step x 1.2. Times become milliseconds."""
+def closed_before(df: DataFrame, time: str, limit: int) -> DataFrame:
+    """The newest ``limit`` closed bars: start + step is not after ``time``; looks back limit x step x 1.2."""
     step = F.element_at(F.create_map(*[F.lit(x) for kv in SECONDS.items() for x in kv]), F.col("interval"))
     at, ms = epoch_ms(F.lit(time).cast("timestamp_ntz")), epoch_ms("timestamp")
     kept = df.where((ms + step * 1000 <= at) & (ms >= at - F.floor(step * limit * 1.2) * 1000))
-    return newest(kept, limit).withColumn("timestamp", epoch_ms("timestamp"))
+    return newest(kept, limit)
+
+
+def before(df: DataFrame, time: str, limit: int) -> DataFrame:
+    """``closed_before`` with times in milliseconds."""
+    return closed_before(df, time, limit).withColumn("timestamp", epoch_ms("timestamp"))
 
 
 def records(df: DataFrame, limit: int) -> DataFrame:
@@ -238,6 +243,49 @@ def chunks(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("chunk_id", F.floor((F.row_number().over(series()) - 1) / size))
 
 
+def delivered(df: DataFrame) -> DataFrame:
+    """Rows with ``position``, 0, 1, 2 ... over the whole table in the order of a feed: series, then time.
+
+    Rows are dealt by range and numbered inside each task; a table of one row
+    for each task carries the numbers on, so no task sees all rows.
+    """
+    order = [*SERIES, "timestamp"]
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), low.alias("_at"))
+    path = scratch_path(df.sparkSession, "feed")
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # One row for each shuffle partition, so its size is bounded by that setting.
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    return dealt.join(offsets, "_part").withColumn("position", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def iterate(df: DataFrame, size: int = 1000) -> Iterator[list[Row]]:
+    """Chunks of ``size`` rows in the order of a feed, the last one shorter.
+
+    The driver holds one partition and one chunk at a time, never the table.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    chunk: list[Row] = []
+    for row in df.repartitionByRange(*SERIES, "timestamp").sortWithinPartitions(*SERIES, "timestamp").toLocalIterator():
+        chunk.append(row)
+        if len(chunk) == size:
+            yield chunk
+            chunk = []
+    if chunk:
+        yield chunk
+
+
+def iterate_rows(df: DataFrame, size: int = 1000) -> Iterator[dict]:
+    """Rows as dicts in the order of a feed."""
+    for chunk in iterate(df, size):
+        for row in chunk:
+            yield row.asDict()
+
+
 def chunk_statistics(df: DataFrame, size: int) -> DataFrame:
     return chunks(df, size).groupBy(*SERIES).agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count(F.lit(1)).alias("n_rows"))
 

@@ -36,20 +36,43 @@ def add(ranges: DataFrame, more: DataFrame, step: int | None = None) -> DataFram
     return merge(ranges.select(*SERIES, "start", "end").unionByName(more.select(*SERIES, "start", "end")), step)
 
 
-def missing(held: DataFrame, requests: DataFrame) -> DataFrame:
-    """Parts of requests (series keys, request_start, request_end) that no held range covers; edges one millisecond off."""
+#: Milliseconds of the bins in which starts of gaps meet requests.
+BIN = 86_400_000
+_MIN, _MAX = -(1 << 62), 1 << 62
+
+
+def gaps_between(held: DataFrame) -> DataFrame:
+    """All that no held range covers, for each series that has one: ``_g0`` to ``_g1``, the first and last without an end."""
     pieces = merge(held, 1)
+    after = F.lead("start").over(Window.partitionBy(*SERIES).orderBy("start"))
+    gaps = pieces.select(*SERIES, (F.col("end") + 1).alias("_g0"), F.coalesce(after - 1, F.lit(_MAX)).alias("_g1"))
+    return gaps.unionByName(pieces.groupBy(*SERIES).agg(F.lit(_MIN).alias("_g0"), (F.min("start") - 1).alias("_g1")))
+
+
+def missing(held: DataFrame, requests: DataFrame, bin_ms: int = BIN) -> DataFrame:
+    """Parts of requests (series keys, request_start, request_end) that no held range covers; edges one millisecond off.
+
+    A missing part begins either where the request does, or with a gap that
+    begins inside it. The first kind is one sweep over starts of gaps and
+    requests; for the second, starts of gaps meet the time bins of requests. So
+    no request is compared with gaps far from it.
+    """
     r = requests.select(*SERIES, "request_start", "request_end").distinct()
-    near = r.join(pieces, SERIES, "left")
-    inside = (F.col("end") >= F.col("request_start")) & (F.col("start") <= F.col("request_end"))
-    near = near.withColumn("start", F.when(inside, F.col("start"))).withColumn("end", F.when(inside, F.col("end")))
-    w = Window.partitionBy(*SERIES, "request_start", "request_end").orderBy(F.col("start").asc_nulls_last())
-    last = F.lag("end").over(w)
-    open_ = near.withColumn("_before", F.coalesce(last + 1, F.col("request_start")))
-    gaps = open_.where("start is not null").select(*SERIES, "request_start", "request_end", F.col("_before").alias("missing_start"), (F.col("start") - 1).alias("missing_end"))
-    tail = near.groupBy(*SERIES, "request_start", "request_end").agg(F.max("end").alias("_e"))
-    tail = tail.select(*SERIES, "request_start", "request_end", F.coalesce(F.col("_e") + 1, F.col("request_start")).alias("missing_start"), F.col("request_end").alias("missing_end"))
-    return gaps.unionByName(tail).where("missing_start <= missing_end")
+    gaps = gaps_between(held)
+    starts = gaps.select(*SERIES, F.col("_g0").alias("_t"), "_g1", F.lit(None).cast("long").alias("request_start"), F.lit(None).cast("long").alias("request_end"))
+    asks = r.select(*SERIES, F.col("request_start").alias("_t"), F.lit(None).cast("long").alias("_g1"), F.col("request_start").cast("long"), F.col("request_end").cast("long"))
+    sweep = Window.partitionBy(*SERIES).orderBy("_t", F.col("_g1").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # A series without any range is one gap.
+    swept = starts.unionByName(asks).withColumn("_end", F.coalesce(F.last("_g1", ignorenulls=True).over(sweep), F.lit(_MAX)))
+    swept = swept.where(F.col("request_start").isNotNull() & (F.col("_end") >= F.col("request_start")))
+    head = swept.select(*SERIES, "request_start", "request_end", F.col("request_start").alias("missing_start"), F.least("_end", "request_end").alias("missing_end"))
+
+    bins = F.sequence(F.floor(F.col("request_start") / bin_ms), F.floor(F.col("request_end") / bin_ms))
+    asked = r.where("request_start <= request_end").withColumn("_bin", F.explode(bins))
+    opened = gaps.where(F.col("_g0") > _MIN).withColumn("_bin", F.floor(F.col("_g0") / bin_ms))
+    inner = asked.join(opened, [*SERIES, "_bin"]).where("_g0 > request_start AND _g0 <= request_end")
+    inner = inner.select(*SERIES, "request_start", "request_end", F.col("_g0").alias("missing_start"), F.least("_g1", "request_end").alias("missing_end"))
+    return head.unionByName(inner).where("missing_start <= missing_end")
 
 
 def cut(ranges: DataFrame, start: int, end: int) -> DataFrame:

@@ -8,6 +8,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import prev
 from ..functions import registry as R
 from ..operators import indicators as I
 from .tables import OVER, add, hourly, layers, on_bars, rows, sdiv, sema, semadj, sewm, shown, shown_sql, slag, sroll, swma, H
@@ -223,7 +224,7 @@ on_bars("p4_pipeline", lambda b: R.Indicators().pipeline([("sma", {"period": 7})
 def _custom(b: DataFrame) -> DataFrame:
     r = R.Indicators()
     r.register("spread", lambda df: df.withColumn("spread", F.col("high") - F.col("low")))
-    r.register_pandas("climb", lambda p: p.assign(climb=p["close"].diff()), "climb double")
+    r.register("climb", lambda df: df.withColumn("climb", F.col("close") - prev("close")))
     return r.calculate(r.calculate(b, "spread"), "climb")
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import SERIES, bars_from_ticks, div, epoch_ms, from_ms, prev, roll, scratch_path
+from ..operators import client
 from ..operators import indicators as I
 from ..operators import quality as C
 from ..operators import queries as Q
 from ..operators import ranges as R
-from ..sources import ingest, storage
+from ..sources import catalog, ingest, storage
 from ..streaming import bars as stream
 from .indicator_queries import D1, MACD, RSI, ATR
 from .tables import D, H, OVER, add, daily, hourly, layers, on_bars, rows, sdiv, sema, shown, shown_sql, slag, sroll
@@ -75,11 +76,15 @@ add("s7_available_dates", lambda s, sf: storage.months_held(daily(s, sf)).select
 
 def _legacy(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "legacy")
-    hourly(spark, sf).where("symbol = 'view'").drop(*SERIES).repartition(4, "timestamp").write.parquet(f"{root}/events/view/1h/2024/01")
+    b = storage.with_months(hourly(spark, sf))
+    # A folder for each series and month, as the old layout has them; few series, so few writes.
+    for r in b.select(*SERIES, "year", "month").distinct().collect():
+        part = b.where((F.col("symbol") == r.symbol) & (F.col("year") == r.year) & (F.col("month") == r.month))
+        part.drop(*SERIES, "year", "month").repartition(2, "timestamp").write.parquet(f"{root}/{r.exchange}/{r.symbol}/{r.interval}/{r.year}/{r.month:02d}")
     return shown(storage.read_legacy(spark, root), OHLCV, ("exchange", "symbol", "interval", "timestamp"))
 
 
-add("s8_legacy_layout", _legacy, H + f" SELECT {shown_sql(OHLCV, ('exchange', 'symbol', 'interval', 'timestamp'))} FROM b WHERE symbol = 'view'")
+add("s8_legacy_layout", _legacy, H + f" SELECT {shown_sql(OHLCV, ('exchange', 'symbol', 'interval', 'timestamp'))} FROM b")
 add("s9_write", lambda s, sf: shown(storage.read_bars(s, stored(s, sf)), OHLCV), D + f" SELECT {shown_sql(OHLCV)} FROM b")
 add("s10_write_partitioned", lambda s, sf: storage.partition_records(storage.read_bars(s, stored(s, sf)).drop("year", "month")).select("symbol", "year", "month", "records", "start_time", "end_time"), D + " SELECT symbol, year(timestamp)::INT AS year, month(timestamp)::INT AS month, count(*) AS records, min(timestamp) AS start_time, max(timestamp) AS end_time FROM b GROUP BY ALL")
 
@@ -170,10 +175,7 @@ simple("q6_builder", _built, ", x AS (SELECT *, high - low AS span, row_number()
 
 def _get_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of series that are held completely enough; others would be fetched."""
-    b = hourly(spark, sf)
-    ask = b.select(*SERIES).distinct().withColumns({"request_start": _ms("2024-01-02 00:00:00"), "request_end": _ms("2024-01-08 00:00:00")})
-    local = R.decide_source(R.covered(b), ask, least=0.5).where("source = 'local'").select(*SERIES)
-    return shown(Q.in_range(b, "2024-01-02 00:00:00", "2024-01-08 00:00:00").join(local, SERIES, "left_semi"), OHLCV)
+    return shown(client.get(hourly(spark, sf), "2024-01-02 00:00:00", "2024-01-08 00:00:00", interval="hourly", least=0.5), OHLCV)
 
 
 def _ms(t: str):
@@ -198,8 +200,8 @@ def _cut_sql(steps: list[dict[str, str]], cols: str) -> str:
     return H + AFTER_CUT + text.replace("FROM b", "FROM k").format(shown_sql(cols))
 
 
-add("q10_client_range", lambda s, sf: shown(I.rsi(I.sma(Q.newest(hourly(s, sf), 60), 20)), "sma_20 rsi_14"), _cut_sql([*RSI, {"sma_20": sroll("avg", "close", 20)}], "sma_20 rsi_14"))
-add("q11_client_latest", lambda s, sf: shown(I.macd(I.bollinger(Q.newest(hourly(s, sf), 60))), "macd macd_signal boll_middle"), _cut_sql([*MACD, {"boll_middle": sroll("avg", "close", 20)}], "macd macd_signal boll_middle"))
+add("q10_client_range", lambda s, sf: shown(client.latest(hourly(s, sf), 60, interval="60m", indicators=["SMA_20", "RSI_14"]).withColumnsRenamed({"SMA_20": "sma_20", "RSI_14": "rsi_14"}), "sma_20 rsi_14"), _cut_sql([*RSI, {"sma_20": sroll("avg", "close", 20)}], "sma_20 rsi_14"))
+add("q11_client_latest", lambda s, sf: shown(client.latest(hourly(s, sf), 60, exchange="events", indicators=["BOLL_20", "MACD"]), "macd macd_signal boll_middle"), _cut_sql([*MACD, {"boll_middle": sroll("avg", "close", 20)}], "macd macd_signal boll_middle"))
 simple("q12_records", lambda b: Q.records(b, 25), ", x AS (SELECT * REPLACE (strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp), row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rn FROM b) SELECT {cols} FROM x WHERE rn <= 25", OHLCV)
 
 
@@ -378,14 +380,13 @@ RK = ["symbol", "start", "end"]
 
 
 def _ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """One range for each user and event type and day, as if loaded in pieces."""
+    """One range for each user, event type and hour, as if loaded in pieces."""
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ms", epoch_ms("ts"))
-    g = e.groupBy("event_type", F.col("user_id") % 20, F.to_date("ts")).agg(F.min("ms").alias("start"), F.max("ms").alias("end"))
-    return g.select(F.lit("events").alias("exchange"), F.col("event_type").alias("symbol"), F.lit("1m").alias("interval"), "start", "end").where("end - start < 7200000")
+    g = e.groupBy("event_type", "user_id", F.date_trunc("hour", "ts")).agg(F.min("ms").alias("start"), F.max("ms").alias("end"))
+    return g.select(F.lit("events").alias("exchange"), F.col("event_type").alias("symbol"), F.lit("1m").alias("interval"), "start", "end")
 
 
-RANGES = """WITH p AS (SELECT event_type AS symbol, min(epoch_us(ts) // 1000) AS start, max(epoch_us(ts) // 1000) AS "end" FROM events GROUP BY event_type, user_id % 20, ts::DATE),
-r AS (SELECT * FROM p WHERE "end" - start < 7200000)"""
+RANGES = """WITH r AS (SELECT event_type AS symbol, min(epoch_us(ts) // 1000) AS start, max(epoch_us(ts) // 1000) AS "end" FROM events GROUP BY event_type, user_id, date_trunc('hour', ts))"""
 
 
 def merged_sql(step: int, source: str = "r", name: str = "mg") -> str:
@@ -452,17 +453,21 @@ add("r9_explain", lambda s, sf: _decided(s, sf).select("symbol", "request_start"
 
 
 def _catalog_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Partition records as nested JSON and back; records without an interval count as 1s."""
-    p = storage.partition_records(daily(spark, sf)).select("exchange", "symbol", F.when(F.col("month") != 1, F.col("interval")).alias("interval"), "year", "month", "records")
+    """The catalog written, one symbol deleted, the months of another replaced, and read; records without an interval count as 1s."""
+    p = storage.partition_records(daily(spark, sf)).withColumn("interval", F.when(F.col("month") != 1, F.col("interval")))
     path = scratch_path(spark, "catalog")
-    doc = p.groupBy("exchange", "symbol").agg(F.collect_list(F.struct("interval", "year", "month", "records")).alias("partitions"))
-    doc.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    back = spark.read.text(path).select(F.from_json("value", "exchange string, symbol string, partitions array<struct<interval:string,year:int,month:int,records:long>>").alias("d"))
-    rows_ = back.select("d.symbol", F.explode("d.partitions").alias("p")).select("symbol", F.coalesce("p.interval", F.lit("1s")).alias("interval"), "p.year", "p.month", "p.records")
-    return rows_.groupBy("symbol", "interval").agg(F.count(F.lit(1)).alias("n"), F.sum("records").alias("records"))
+    catalog.write(p, path)
+    catalog.delete(spark, path, "orders", "2-HIGH")
+    catalog.upsert(spark, path, catalog.read(spark, path, symbol="3-MEDIUM", interval="1d").withColumn("records", F.col("records") + 1))
+    return catalog.listing(spark, path).drop("exchange")
 
 
-add("r10_catalog", _catalog_trip, D + ", p AS (SELECT symbol, CASE WHEN month(timestamp) = 1 THEN '1s' ELSE '1d' END AS interval, year(timestamp) AS y, month(timestamp) AS m, count(*) AS k FROM b GROUP BY ALL) SELECT symbol, interval, count(*) AS n, sum(k)::BIGINT AS records FROM p GROUP BY ALL")
+add(
+    "r10_catalog",
+    _catalog_trip,
+    D + """, p AS (SELECT symbol, CASE WHEN month(timestamp) = 1 THEN '1s' ELSE '1d' END AS interval, year(timestamp) AS y, month(timestamp) AS m, count(*) AS k, min(timestamp) AS a, max(timestamp) AS z FROM b WHERE symbol <> '2-HIGH' GROUP BY ALL)
+SELECT symbol, interval, count(*) AS months, sum(k + CASE WHEN symbol = '3-MEDIUM' AND interval = '1d' THEN 1 ELSE 0 END)::BIGINT AS records, min(a) AS start_time, max(z) AS end_time FROM p GROUP BY ALL""",
+)
 add("r11_metadata", lambda s, sf: R.nested(R.merge(_ranges(s, sf))).select("exchange", "symbol", F.size(F.col("intervals")["1m"]).cast("long").alias("n_ranges"), F.element_at(F.col("intervals")["1m"], 1)["start"].alias("first_start")), RANGES + merged_sql(60000) + " SELECT 'events' AS exchange, symbol, count(*) AS n_ranges, min(start) AS first_start FROM mg GROUP BY symbol")
 
 # ----------------------------------------------------------------- ingest
@@ -515,13 +520,7 @@ RN = f", x AS (SELECT *, row_number() {OVER} AS rn FROM b)"
 simple("f1_chunks", lambda b: Q.chunks(b, 50), RN + ", y AS (SELECT *, ((rn - 1) // 50)::BIGINT AS chunk_id FROM x) SELECT {cols} FROM y", "close !chunk_id")
 
 
-def _iterated(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows in the order in which a feed delivers them, partition by partition."""
-    ordered = hourly(spark, sf).repartitionByRange(*SERIES, "timestamp").sortWithinPartitions(*SERIES, "timestamp")
-    return ordered.select("symbol", "timestamp", (F.spark_partition_id() >= 0).alias("delivered"))
-
-
-add("f2_iterate", _iterated, H + " SELECT symbol, timestamp, true AS delivered FROM b")
+add("f2_iterate", lambda s, sf: Q.delivered(hourly(s, sf)).select("symbol", "timestamp", "position"), H + " SELECT symbol, timestamp, row_number() OVER (ORDER BY symbol, timestamp) - 1 AS position FROM b")
 simple("f3_to_dataframe", lambda b: Q.oldest(b, 100), RN + " SELECT {cols} FROM x WHERE rn <= 100", OHLCV)
 add("f4_feed_stats", lambda s, sf: Q.chunk_statistics(hourly(s, sf), 50).drop("exchange", "interval"), H + " SELECT symbol, ceil(count(*) / 50)::BIGINT AS n_chunks, count(*) AS n_rows FROM b GROUP BY symbol")
 simple(
@@ -541,10 +540,11 @@ def _ticks(spark: SparkSession, sf: str) -> DataFrame:
 def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     root, work = scratch_path(spark, "bars"), scratch_path(spark, "work")
     stream.ingest_stream(_ticks(spark, sf), root, f"{work}/rows", f"{work}/checkpoint")
-    return shown(storage.read_bars(spark, root), "close")
+    return shown(storage.read_bars(spark, root), OHLCV)
 
 
-add("f6_stream_ingest", _stream_ingest, "SELECT event_type AS symbol, ts AS timestamp, round(value, 6) + 0.0 AS close FROM events")
+SECOND_BARS = H.replace("date_trunc('hour', ts)", "date_trunc('second', ts)").replace("'1h'", "'1s'")
+add("f6_stream_ingest", _stream_ingest, SECOND_BARS + f" SELECT {shown_sql(OHLCV)} FROM b WHERE timestamp + INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)")
 
 
 def _stream_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -563,6 +563,16 @@ def _stream_ema(spark: SparkSession, sf: str) -> DataFrame:
 
 add("f8_stream_ema", _stream_ema, f"WITH b AS (SELECT event_type AS symbol, ts AS timestamp, value FROM events) SELECT symbol, timestamp, round({sema('value', 12)}, 6) + 0.0 AS ema FROM b")
 
+
+
+def _stream_rsi(spark: SparkSession, sf: str) -> DataFrame:
+    work = scratch_path(spark, "work")
+    out = stream.run_to_files(stream.rsi_stream(_ticks(spark, sf), 14), f"{work}/rsi", f"{work}/checkpoint")
+    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("timestamp"), (F.round("rsi", 6) + 0.0).alias("rsi_14"))
+
+
+add("f8_stream_rsi", _stream_rsi, layers(*RSI, base="WITH b AS (SELECT event_type AS symbol, ts AS timestamp, value AS close FROM events)").format(shown_sql("rsi_14")))
+
 # ---------------------------------------------------------------- recipes
 
 
@@ -642,4 +652,18 @@ def _events(b: DataFrame) -> DataFrame:
 
 
 on_bars("x8_cross_events", _events, [{"a": sroll("avg", "close", 10), "z": sroll("avg", "close", 20)}, {"o": "coalesce(a > z, false)", "u": "coalesce(a < z, false)"}, {"action": f"CASE WHEN o AND NOT coalesce({slag('o')}, false) THEN 'BUY' WHEN u AND NOT coalesce({slag('u')}, false) THEN 'SELL' END"}], "!action close", tail="WHERE action IS NOT NULL")
-add("x9_dataset_checks", lambda s, sf: C.dataset_checks(_twice(hourly(s, sf))).drop("exchange", "interval"), H + " SELECT DISTINCT symbol, true AS not_null, true AS positive_volume, true AS valid_ohlc, false AS chronological FROM b")
+
+
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly bars with a fault of another kind in each symbol but one, where its bars allow it."""
+    b, at = hourly(spark, sf), F.hour("timestamp") == 3
+    for symbol, name, value in (("click", "close", F.lit(None)), ("error", "volume", -F.col("volume")), ("signup", "high", F.col("low") - 1)):
+        b = b.withColumn(name, F.when(at & (F.col("symbol") == symbol), value).otherwise(F.col(name)))
+    return b.unionByName(b.where(at & (F.col("symbol") == "purchase")))
+
+
+FAULTY = """, f AS (SELECT symbol, timestamp, open, CASE WHEN symbol = 'signup' AND hour(timestamp) = 3 THEN low - 1 ELSE high END AS high, low, CASE WHEN symbol = 'click' AND hour(timestamp) = 3 THEN NULL ELSE close END AS close, CASE WHEN symbol = 'error' AND hour(timestamp) = 3 THEN -volume ELSE volume END AS volume FROM b),
+u AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE symbol = 'purchase' AND hour(timestamp) = 3)
+SELECT symbol, bool_and(open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL) AS not_null, bool_and(coalesce(volume >= 0, false)) AS positive_volume,
+  bool_and(coalesce(high >= low AND high >= open AND high >= close AND low <= open AND low <= close, false) AND coalesce(volume, 0) >= 0) AS valid_ohlc, count(*) = count(DISTINCT timestamp) AS chronological FROM u GROUP BY symbol"""
+add("x9_dataset_checks", lambda s, sf: C.dataset_checks(_checked(s, sf)).drop("exchange", "interval"), H + FAULTY)

@@ -26,12 +26,13 @@ def load(spark: SparkSession, raw_bars: DataFrame, root: str, scratch: str) -> D
     return storage.upsert(spark, root, quality.clean(raw_bars).drop("ingest_seq"), scratch)
 
 
-def only_missing(bars: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Bars inside missing ranges (series keys, missing_start, missing_end); the ranges are few, bars are not."""
-    g = gaps.select(*[F.col(k).alias(f"_{k}") for k in SERIES], "missing_start", "missing_end")
+def only_missing(bars: DataFrame, gaps: DataFrame, bin_ms: int = ranges.BIN) -> DataFrame:
+    """Bars inside missing ranges (series keys, missing_start, missing_end). Ranges are merged and cut at time bins, where bars meet those of their own bin only."""
+    g = ranges.merge(gaps.select(*SERIES, F.col("missing_start").alias("start"), F.col("missing_end").alias("end")), 1)
+    g = g.select(*[F.col(k).alias(f"_{k}") for k in SERIES], "start", "end").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bin_ms), F.floor(F.col("end") / bin_ms))))
     ms = epoch_ms("timestamp")
     on = [F.col(k) == F.col(f"_{k}") for k in SERIES]
-    return bars.join(g, [*on, ms >= F.col("missing_start"), ms <= F.col("missing_end")], "left_semi")
+    return bars.join(g, [*on, F.floor(ms / bin_ms) == F.col("_b"), ms >= F.col("start"), ms <= F.col("end")], "left_semi")
 
 
 def reload(spark: SparkSession, raw_bars: DataFrame, root: str, start: str, end: str, scratch: str) -> DataFrame:

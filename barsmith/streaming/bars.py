@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,18 @@ from ..core import SECONDS, SERIES
 from ..sources import storage
 
 
-def tick_stream(spark: SparkSession, path: str, symbol: str, price: str, time: str = "ts", exchange: str = "local") -> DataFrame:
-    """Ticks (exchange, symbol, ts, price) of Parquet files, as they come. Times become zoned in UTC, as watermarks need it."""
+def tick_stream(spark: SparkSession, path: str, symbol: str, price: str, time: str = "ts", exchange: str = "local", files: int | None = None) -> DataFrame:
+    """Ticks (exchange, symbol, ts, price) of Parquet files, as they come, at most ``files`` in one micro-batch. Times become zoned in UTC, as watermarks need it."""
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    raw = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
     return raw.select(F.lit(exchange).alias("exchange"), F.col(symbol).alias("symbol"), F.to_utc_timestamp(F.col(time).cast("timestamp"), F.current_timezone()).alias("ts"), F.col(price).cast("double").alias("price"))
 
 
-def bar_stream(ticks: DataFrame, step: str, delay: str = "10 minutes") -> DataFrame:
-    """Bars of closed steps in append mode; ticks later than ``delay`` are dropped."""
+def bar_stream(ticks: DataFrame, step: str, delay: str | None = "10 minutes") -> DataFrame:
+    """Bars of closed steps in append mode; ticks later than ``delay`` are dropped. None: the ticks have a watermark."""
     at = F.window("ts", f"{SECONDS[step]} seconds")
-    g = ticks.withWatermark("ts", delay).groupBy("exchange", "symbol", at.alias("_w"))
+    g = (ticks if delay is None else ticks.withWatermark("ts", delay)).groupBy("exchange", "symbol", at.alias("_w"))
     bars = g.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("price").alias("volume"))
     return bars.select("exchange", "symbol", F.lit(step).alias("interval"), F.col("_w.start").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", "volume")
 
@@ -36,13 +38,11 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def ingest_stream(ticks: DataFrame, root: str, scratch: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    """Single prices as bars of 1s: duplicates within the watermark go, each micro-batch is merged into the months it touches.
+    """Ticks as bars of 1s: duplicates within the watermark go, a second is written when it is closed, each micro-batch into the months it touches.
 
     A batch that is run again writes the same rows, so restarts do no harm.
     """
-    unique = ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["exchange", "symbol", "ts"])
-    price = F.col("price")
-    bars = unique.select("exchange", "symbol", F.lit("1s").alias("interval"), F.col("ts").cast("timestamp_ntz").alias("timestamp"), *[price.alias(c) for c in ("open", "high", "low", "close", "volume")])
+    bars = bar_stream(ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["exchange", "symbol", "ts"]), "1s", None)
 
     def merge(batch: DataFrame, number: int) -> None:
         storage.upsert(batch.sparkSession, root, batch, f"{scratch}/{number}")
@@ -50,21 +50,48 @@ def ingest_stream(ticks: DataFrame, root: str, scratch: str, checkpoint: str, de
     bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _means(x: np.ndarray, before: float | None, alpha: float) -> np.ndarray:
+    """Exponential means of values that go on from the mean ``before``."""
+    held = x if before is None else np.concatenate(([before], x))
+    return pd.Series(held).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(held) - len(x) :]
+
+
+def _stateful(ticks: DataFrame, step: Callable[[np.ndarray, tuple | None], tuple[np.ndarray, tuple]], name: str, state: str) -> DataFrame:
+    """One value for each tick in time order of its symbol, from the prices of a micro-batch and what the last one left."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        out, left = step(rows["price"].to_numpy(dtype=float), held.get if held.exists else None)
+        held.update(left)
+        yield pd.DataFrame({"exchange": key[0], "symbol": key[1], "ts": rows["ts"].to_numpy(), "price": rows["price"].to_numpy(), name: out})
+
+    return ticks.groupBy("exchange", "symbol").applyInPandasWithState(run, f"exchange string, symbol string, ts timestamp, price double, {name} double", state, "append", GroupStateTimeout.NoTimeout)
+
+
 def ema_stream(ticks: DataFrame, span: int) -> DataFrame:
     """Running exponential mean of the price of each symbol; the state is the last value."""
     alpha = 2.0 / (span + 1.0)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        y = state.get[0] if state.exists else None
-        out = []
-        for x in rows["price"]:
-            y = float(x) if y is None else (1 - alpha) * y + alpha * float(x)
-            out.append(y)
-        state.update((y,))
-        yield pd.DataFrame({"exchange": key[0], "symbol": key[1], "ts": rows["ts"].to_numpy(), "price": rows["price"].to_numpy(), "ema": out})
-
-    return ticks.groupBy("exchange", "symbol").applyInPandasWithState(step, "exchange string, symbol string, ts timestamp, price double, ema double", "y double", "append", GroupStateTimeout.NoTimeout)
+    def step(x: np.ndarray, held: tuple | None) -> tuple[np.ndarray, tuple]:
+        y = _means(x, held and held[0], alpha)
+        return y, (float(y[-1]),)
+
+    return _stateful(ticks, step, "ema", "y double")
+
+
+def rsi_stream(ticks: DataFrame, period: int = 14) -> DataFrame:
+    """Running relative strength (span weights) of each symbol; the state is the last price and both means."""
+    alpha = 2.0 / (period + 1.0)
+
+    def step(x: np.ndarray, held: tuple | None) -> tuple[np.ndarray, tuple]:
+        moves = np.diff(x, prepend=x[0] if held is None else held[0])
+        gain = _means(np.maximum(moves, 0.0), held and held[1], alpha)
+        loss = _means(np.maximum(-moves, 0.0), held and held[2], alpha)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where((loss == 0) & (gain > 0), 100.0, 100.0 - 100.0 / (1.0 + gain / loss))
+        return np.where(np.isnan(out), None, out), (float(x[-1]), float(gain[-1]), float(loss[-1]))
+
+    return _stateful(ticks, step, "rsi", "price double, gain double, loss double")
 
 
 def newest_bars(df: DataFrame, since: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from barsmith import core
+from barsmith.operators import client
 from barsmith.operators import quality as C
+from barsmith.operators import queries as Q
 from barsmith.operators import ranges as R
-from barsmith.sources import ingest, storage
+from barsmith.sources import catalog, ingest, storage
 
 KEYS = "exchange string, symbol string, interval string"
 DAY = dt.datetime(2024, 3, 1)
@@ -47,6 +50,66 @@ def test_range_algebra(spark):
     assert decided == {"A": ("local", "covered"), "B": ("fetch", "no_data")}
 
 
+def test_missing_parts_against_a_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    held = [(a, a + rng.randint(0, 400)) for a in rng.sample(range(5000), 25)]
+    asks = [(a, a + rng.randint(-1, 2500)) for a in rng.sample(range(-200, 5600), 20)]
+    covered = {t for a, b in held for t in range(a, b + 1)}
+    want = []
+    for a, b in asks:
+        part = None
+        for t in range(a, b + 1):
+            if t not in covered:
+                part = [a, b, t, t] if part is None else [*part[:3], t]
+            if part and (t in covered or t == b):
+                want.append(tuple(part))
+                part = None
+    ask = spark.createDataFrame([("x", "A", "1m", a, b) for a, b in asks], f"{KEYS}, request_start long, request_end long")
+    for size in (100, R.BIN):
+        got = [(r.request_start, r.request_end, r.missing_start, r.missing_end) for r in R.missing(ranges(spark, held), ask, size).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_bars_of_missing_parts(spark):
+    b = month(spark, rows=20)
+    at = lambda d: int((DAY + dt.timedelta(days=d) - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    gaps = spark.createDataFrame([("x", "A", "1d", at(2), at(6)), ("x", "A", "1d", at(5), at(9) - 1), ("x", "B", "1d", at(0), at(20))], f"{KEYS}, missing_start long, missing_end long")
+    assert sorted(r.volume for r in ingest.only_missing(b, gaps).collect()) == [2, 3, 4, 5, 6, 7, 8]
+
+
+def test_client_and_feed(spark):
+    b = month(spark).unionByName(month(spark, "B/C", rows=3))
+    got = client.get(b, "2024-03-02 00:00:00", "2024-03-20 00:00:00", interval="daily", indicators=["SMA_2"], limit=4).collect()
+    assert {r.symbol for r in got} == {"A"} and len(got) == 4 and all(r.SMA_2 == 5.0 for r in got)
+    assert {(r.symbol, r.source) for r in client.sources(b, "2024-03-02 00:00:00", "2024-03-20 00:00:00").collect()} == {("A", "local"), ("B/C", "fetch")}
+    assert client.latest(b, 2, symbol="A").count() == 2 and client.before(b, "2024-03-04 00:00:00", 2, indicators=["SMA_2"]).columns[-1] == "SMA_2"
+    for bad in (lambda: client.latest(b, interval="7x"), lambda: client.latest(b, symbol="/C")):
+        with pytest.raises(ValueError):
+            bad()
+    parts = list(Q.iterate(b, 10))
+    assert [len(p) for p in parts] == [10, 10, 10, 10, 3] and [r["volume"] for r in Q.iterate_rows(b, 7)] == [*map(float, range(40)), 0.0, 1.0, 2.0]
+    assert [r.position for r in Q.delivered(b.repartition(5)).orderBy("symbol", "timestamp").collect()] == list(range(43))
+
+
+def test_catalog(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    catalog.write(storage.partition_records(month(spark).unionByName(month(spark, "B/C"))), path)
+    catalog.upsert(spark, path, catalog.read(spark, path, symbol="A").where("month = 4").withColumn("records", F.lit(1).cast("long")))
+    assert sorted((r.symbol, r.months, r.records) for r in catalog.listing(spark, path).collect()) == [("A", 2, 32), ("B/C", 2, 40)]
+    catalog.delete(spark, path, "x", "A", "1h")
+    catalog.delete(spark, path, "x", "B/C")
+    assert [(r.symbol, r.months) for r in catalog.listing(spark, path).collect()] == [("A", 2)]
+
+
+def test_outliers_in_one_scan_a_step(spark):
+    df = month(spark).withColumn("close", F.when(F.col("volume") == 7, 99.0).otherwise(F.col("volume")))
+    kept = C.remove_outliers(df, columns=("close", "volume"))
+    assert kept.count() == 39 and kept.where("volume = 7").count() == 0 and C.remove_outliers(df, accuracy=1000).count() == 39
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Scan") <= 3
+
+
 def month(spark, symbol="A", rows=40, close=5.0):
     data = [("x", symbol, "1d", DAY + dt.timedelta(days=i), close, close, close, close, float(i)) for i in range(rows)]
     return spark.createDataFrame(data, core.BAR_SCHEMA)
