@@ -240,7 +240,11 @@ def fit(texts: list[str], languages: list[str], rounds: int = 20, rate: float =
     first[0] = True
     seen_w, seen_t, seen_s = np.full_like(model.weights, 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
     for _ in range(rounds):
-        gap, pairs, starts = gradients(model.emissions(list(index))[word], gold, first, model.trans, model.start)
+        scores = np.zeros((len(index), k))
+        for at, cols in features:
+            for i in range(cols.shape[1]):
+                scores[at] += model.weights[cols[:, i]]
+        gap, pairs, starts = gradients(scores[word], gold, first, model.trans, model.start)
         by_word = np.column_stack([np.bincount(word, gap[:, c], minlength=len(index)) for c in range(k)]) / len(word)
         grad = decay * model.weights / len(word) * 100
         for at, cols in features:

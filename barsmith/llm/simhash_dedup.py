@@ -243,10 +243,18 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Keep one document of each component of texts whose five-word shingles are alike to 0.8 or more: that with the smallest id (one row of it, if rows repeat).
 
-    Rows with a null id can't be named as copies; one stays for each distinct text.
+    Rows with a null id can't be named as copies; one stays for each distinct
+    text. Texts without words are one component. An empty table stays empty.
+    Very long texts are compared whole. All columns stay as they are. Which
+    ids and texts stand in several rows that would stay is found over narrow
+    rows, and only such rows are shuffled to keep one of each.
     """
     keep, tag = fresh(docs, "_keep", "_tag")
-    ids = alike_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
-    kept = docs.join(ids, docs[id_col].eqNullSafe(F.col(keep)), "left_semi")
+    ids = alike_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+    ids = materialize(ids.groupBy(F.col(id_col).alias(keep)).agg(F.count(F.lit(1)).alias("_n")), "kept")
+    once = ids.where(F.col("_n") == 1).select(keep)
+    more = ids.where(F.col("_n") > 1).select(keep)
+    single = docs.join(once, docs[id_col].eqNullSafe(F.col(keep)), "left_semi")
+    several = docs.join(more, docs[id_col].eqNullSafe(F.col(keep)), "left_semi")
     name = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return kept.withColumn(tag, name).dropDuplicates([tag]).drop(tag)
+    return single.unionByName(several.withColumn(tag, name).dropDuplicates([tag]).drop(tag))
