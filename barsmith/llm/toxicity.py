@@ -1,17 +1,20 @@
 """Toxicity by a string-kernel support vector machine with Nyström landmarks.
 
-The kernel is the gap-weighted subsequence kernel of order three over single
-words with boundary marks: every ordered triple of characters counts by
-``DECAY`` to the power of the stretch it spans, so insults with gaps or inserted
-characters stay close to the plain ones. Landmarks are words of the training
-sentences; the machine is linear in the Nyström features, trained on the words
-that tell in sentences of labelled documents (the most toxic word of a toxic
-sentence, all of a clean one). Since the landmarks are fixed, the trained
-function of a word is one weighted sum over its own triples divided by its
-norm, which is exact and costs one table lookup for each triple.
+The kernel is the gap-weighted subsequence kernel of order three over the words
+of sentences, with boundary marks: every ordered triple of letters counts by
+``DECAY`` to the power of the stretch it spans. Letters that are inserted, and
+marks or spaces between letters, only make stretches longer: a mark takes a
+place but is no symbol of a triple. So "idxiot", "i.d.i.o.t" and "i d i o t"
+stay close to the plain word by the kernel alone. Landmarks are words of the
+training sentences; the machine is linear in the Nyström features, trained on
+the words that tell in sentences of labelled documents (the most toxic word of
+a toxic sentence, all of a clean one). Since the landmarks are fixed, the
+trained function of a word is one weighted sum over its own triples divided by
+its norm, which is exact and costs one table lookup for each triple.
 
 A document's score is a calibrated logistic function of its most toxic word and
-of how many of its words are on the toxic side.
+of how many of its words are on the toxic side; the calibration is fitted on
+documents that the machine which scored them has not seen.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ MAX_TOXIC, MAX_CLEAN = 1000, 2000
 LANDMARKS = 96
 #: Decision values past which words of a text are counted.
 MARGINS = (0.0, 0.4, 0.75)
+#: Single letters in a row stand as one word.
 _SPACED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
-_JUNK = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -45,35 +48,40 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def tokens(text: str) -> set[str]:
-    """Words of a text: lower case, without marks inside or around them; single letters in a row also make up one word."""
+    """Words of a text in lower case, as they are written; single letters in a row are also one word, spaces included."""
     lower = text.lower()
     found = set(lower.split())
     if _SPACED.search(lower):
-        for m in _SPACED.finditer(lower):
-            word = _JUNK.sub("", m[0])
-            # The first letter may be a word of its own ("a", "y").
-            found.update((word, word[1:]))
+        found.update(m[0] for m in _SPACED.finditer(lower))
     return found
 
 
-def bare(word: str) -> str:
-    return word if word.isalnum() else _JUNK.sub("", word)
+def trim(word: str) -> str:
+    """A word without the marks around it; those inside stay."""
+    if word.isalnum():
+        return word
+    low, high = 0, len(word)
+    while low < high and not word[low].isalnum():
+        low += 1
+    while high > low and not word[high - 1].isalnum():
+        high -= 1
+    return word[low:high]
 
 
 def pieces(word: str) -> list[str]:
-    """A word as it is, or for long ones overlapping stretches that cover it."""
+    """A word as it is, or for long ones the different overlapping stretches that cover it."""
     if len(word) <= LONGEST:
         return [word]
     step = LONGEST // 2
-    return [word[i : i + LONGEST] for i in range(0, len(word) - step, step)]
+    return list(dict.fromkeys(word[i : i + LONGEST] for i in range(0, len(word) - step, step)))
 
 
-# Symbols: 1 and 2 are the boundaries, 3 to 28 a to z, 29 a digit, 30 to 62 the rest of Latin-1 in lower case, 63 to 70 all others.
+# Symbols: 1 and 2 are the boundaries, 3 to 28 a to z, 29 a digit, 30 to 62 the rest of Latin-1 in lower case, 63 to 70 all other letters; 0 is a gap.
 SYMBOLS = 71
 
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words as rows of symbols, padded with 0, and their lengths; the boundaries are included."""
+    """Words as rows of symbols, with 0 for marks and spaces and after the end, and their lengths; the boundaries are included."""
     size = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
     code = np.frombuffer("".join([f"\x01{w}\x02" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     symbol = np.where(code <= 2, code, 63 + code % 8)
@@ -81,6 +89,8 @@ def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = (code >= low) & (code <= high)
         symbol[inside] = base + code[inside] - low
     symbol[(code >= 0x30) & (code <= 0x39)] = 29
+    different, which = np.unique(code, return_inverse=True)
+    symbol[np.array([c > 2 and not chr(c).isalnum() for c in different.tolist()], dtype=bool)[which]] = 0
     rows = np.zeros((len(words), int(size.max()) if len(words) else 0), dtype=np.int64)
     at = np.repeat(np.arange(len(words)), size)
     rows[at, np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)] = symbol
@@ -119,7 +129,7 @@ def feature_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Explicit features of encoded words: word, triple and weight of every subsequence."""
     who, what, weight = [], [], []
     for i, j, k, w in _triples(rows.shape[1]):
-        full = np.flatnonzero(rows[:, k] > 0)
+        full = np.flatnonzero((rows[:, i] > 0) & (rows[:, j] > 0) & (rows[:, k] > 0))
         who.append(full)
         what.append((rows[full, i] * SYMBOLS + rows[full, j]) * SYMBOLS + rows[full, k])
         weight.append(np.full(len(full), w))
@@ -155,9 +165,10 @@ class Model:
     bias: float
     calibration: np.ndarray  # intercept, most toxic word, logs of counts of words past each margin
     steps: tuple[np.ndarray, np.ndarray] | None = None  # rising map from that sum to a probability
+    landmarks: tuple[list[str], np.ndarray] | None = None  # landmarks and their weights, from which the table was made
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Decision values of bare words; empty words are as clean as can be."""
+        """Decision values of trimmed words; empty words are as clean as can be."""
         out = np.full(len(words), -1.0)
         parts = [(i, p) for i, w in enumerate(words) for p in pieces(w) if w]
         if not parts:
@@ -233,28 +244,20 @@ def pool(f: np.ndarray) -> tuple[float, list[int]]:
     return (float(f.max()), [int((f > m).sum()) for m in MARGINS]) if len(f) else (-1.0, [0] * len(MARGINS))
 
 
-def _pooled(model: Model, bags: list[np.ndarray], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f = model.word_scores(vocabulary)
-    pooled = [pool(f[b]) for b in bags]
-    return f, np.array([t for t, _ in pooled]), np.array([c for _, c in pooled], dtype=float)
+def _sentences(texts: list[str]) -> tuple[list[list[np.ndarray]], list[str]]:
+    """Sentences of each text as sorted numbers of their words, and the words."""
+    index: dict[str, int] = {}
+    found = [[np.array(sorted({index.setdefault(w, len(index)) for w in sorted({trim(w) for w in tokens(s)} - {""})}), dtype=np.int32) for s in _SENTENCE.split(t)] for t in texts]
+    return [[s for s in doc if len(s)] for doc in found], list(index)
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int = LANDMARKS) -> Model:
-    """Train on whole texts with 0/1 labels: their sentences are bags of words with the label of the text.
+def _bags(sentences: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.unique(np.concatenate(doc)) if doc else np.empty(0, np.int32) for doc in sentences]
 
-    With one class only the model gives that class's share to every text.
-    """
-    y = np.asarray(labels) == 1
-    share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
-    flat = Model(np.zeros(SYMBOLS**3), -1.0, np.array([np.log(share / (1 - share)), 0.0, *[0.0] * len(MARGINS)]))
-    if not y.any() or y.all():
-        return flat
-    index: dict[str, int] = {}
-    # Sentences as arrays of word numbers, by text.
-    sentences = [[np.array(sorted(index.setdefault(w, len(index)) for w in sorted({bare(w) for w in tokens(s)} - {""})), dtype=np.int32) for s in _SENTENCE.split(t)] for t in texts]
-    sentences = [[s for s in doc if len(s)] for doc in sentences]
-    bags = [np.unique(np.concatenate(doc)) if doc else np.empty(0, np.int32) for doc in sentences]
-    vocabulary = list(index)
+
+def _machine(sentences: list[list[np.ndarray]], vocabulary: list[str], y: np.ndarray, flat: Model, rounds: int, landmarks: int) -> tuple[Model, np.ndarray]:
+    """Train on sentences with the labels of their texts; also the decision values of the whole vocabulary."""
+    bags = _bags(sentences)
     n1, n0 = int(y.sum()), int((~y).sum())
 
     def shares(side: np.ndarray, n: int) -> np.ndarray:
@@ -285,7 +288,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int =
                 # Sentences of a toxic document that don't tell are left out.
                 for i in best[:1] + [i for i in best[1:4] if f[i] > (0 if turn else 0.2)]:
                     positive[i] += 1
-        m_rows, _ = encode([vocabulary[i][:LONGEST] for i in marks])
+        m_rows, _ = encode([vocabulary[i] for i in marks])
         who, what, weight = feature_rows(m_rows)
         # Only triples of landmarks have weights.
         triples, column = np.unique(what, return_inverse=True)
@@ -293,31 +296,70 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int =
         place[triples] = np.arange(len(triples))
         m_dense = np.zeros((len(marks), len(triples)))
         np.add.at(m_dense, (who, column), weight)
-        m_dense /= np.sqrt((m_dense**2).sum(axis=1, keepdims=True))
+        m_dense /= np.maximum(np.sqrt((m_dense**2).sum(axis=1, keepdims=True)), 1e-12)
         gram = m_dense @ m_dense.T
         values, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(marks)))
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        picked = list(positive) + [i for i, c in negative.items() if c and i not in positive]
-        rows, _ = encode([vocabulary[i][:LONGEST] for i in picked])
+        # Words enter by the same pieces by which they are scored: the most toxic one of a witness, all of any other.
+        told = list(positive)
+        rows_of = [max(parts, key=lambda p, g=dict(zip(parts, model.word_scores(parts), strict=True)): g[p]) if len(parts := pieces(vocabulary[i])) > 1 else parts[0] for i in told]
+        owner, other = told.copy(), [i for i, c in negative.items() if c]
+        target = [1.0] * len(told)
+        for i in other:
+            for part in pieces(vocabulary[i]):
+                rows_of.append(part)
+                owner.append(i)
+                target.append(-1.0)
+        texts = sorted(set(rows_of))
+        at = {t: n for n, t in enumerate(texts)}
+        rows, _ = encode(texts)
         who, what, weight = feature_rows(rows)
         on = place[what] >= 0
         who, column, weight = who[on], place[what[on]], weight[on]
-        k = np.column_stack([np.bincount(who, weight * m_dense[c][column], minlength=len(picked)) for c in range(len(marks))])
-        x = (k / norms(rows)[:, None]) @ root
-        target = np.array([1.0] * len(positive) + [-1.0] * (len(picked) - len(positive)))
-        counts = np.array([min(positive[i], 20) if i in positive else min(negative[i], 20) for i in picked], dtype=float)
-        # A word that is a witness of toxic texts and also stands in clean ones counts for both.
-        both = [n for n, i in enumerate(picked) if i in positive and negative.get(i)]
-        x = np.vstack([x, x[both]])
-        target = np.concatenate([target, -np.ones(len(both))])
-        counts = np.concatenate([counts, [float(min(negative[picked[n]], 20)) for n in both]])
+        k = np.column_stack([np.bincount(who, weight * m_dense[c][column], minlength=len(texts)) for c in range(len(marks))])
+        x = ((k / norms(rows)[:, None]) @ root)[[at[t] for t in rows_of]]
+        side = np.array(target)
+        counts = np.array([min(positive[i] if t > 0 else negative[i], 20) for i, t in zip(owner, target, strict=True)], dtype=float)
         for sign in (1.0, -1.0):
-            counts[target == sign] *= len(target) / (2 * counts[target == sign].sum())
-        w, bias = _svm(x, target, counts / len(target) * 200)
+            counts[side == sign] *= len(side) / (2 * counts[side == sign].sum())
+        w, bias = _svm(x, side, counts / len(side) * 200)
         table = np.zeros(SYMBOLS**3)
         table[triples] = (root @ w) @ m_dense
-        model = Model(table, bias, flat.calibration)
-        f, top, count = _pooled(model, bags, vocabulary)
+        model = Model(table, bias, flat.calibration, landmarks=([vocabulary[i] for i in marks], root @ w))
+        f = model.word_scores(vocabulary)
+    return model, f
+
+
+def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int = LANDMARKS) -> Model:
+    """Train on whole texts with 0/1 labels: their sentences are bags of words with the label of the text.
+
+    The calibration is fitted on scores that two machines, each trained on one
+    half of the texts, give to the other half. With one class only the model
+    gives that class's share to every text.
+    """
+    y = np.asarray(labels) == 1
+    share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
+    flat = Model(np.zeros(SYMBOLS**3), -1.0, np.array([np.log(share / (1 - share)), 0.0, *[0.0] * len(MARGINS)]))
+    if not y.any() or y.all():
+        return flat
+    sentences, vocabulary = _sentences(texts)
+    if not vocabulary:
+        return flat
+    bags = _bags(sentences)
+    half = np.zeros(len(y), dtype=bool)
+    for side in (y, ~y):
+        half[np.flatnonzero(side)[::2]] = True
+    top, count = np.full(len(y), -1.0), np.zeros((len(y), len(MARGINS)))
+    model, f = _machine(sentences, vocabulary, y, flat, rounds, landmarks)
+    for part in (half, ~half):
+        seen = [sentences[i] for i in np.flatnonzero(part)]
+        if len({bool(v) for v in y[part]}) == 2 and any(seen):
+            # Its first two turns find nearly the same words.
+            _, g = _machine(seen, vocabulary, y[part], flat, min(rounds, 2), landmarks)
+        else:
+            g = f
+        for i in np.flatnonzero(~part):
+            top[i], count[i] = pool(g[bags[i]])
     model.calibration = _logistic(np.column_stack([top, np.log1p(count)]), y.astype(float))
     model.steps = _rising(np.clip(model.evidence(top, count), -30, 30), y.astype(float))
     return model
@@ -363,15 +405,15 @@ class Scorer:
         if len(cache) > REMEMBER:
             cache.clear()
         new = list(set().union(*sets) - cache.keys())
-        cache.update(zip(new, self.model.word_scores([bare(w) for w in new]).tolist(), strict=True))
+        cache.update(zip(new, self.model.word_scores([trim(w) for w in new]).tolist(), strict=True))
         top, count = np.full(len(sets), -1.0), np.zeros((len(sets), len(MARGINS)))
         for i, s in enumerate(sets):
             if s:
                 f = [cache[w] for w in s]
                 top[i] = max(f)
                 if top[i] > MARGINS[0]:
-                    # Words that differ only in marks count once.
-                    told = {bare(w): x for w, x in zip(s, f, strict=True) if x > MARGINS[0]}
+                    # Words that differ only in the marks around them count once.
+                    told = {trim(w): x for w, x in zip(s, f, strict=True) if x > MARGINS[0]}
                     count[i] = pool(np.array(list(told.values())))[1]
         return self.model.probability(top, count), top
 

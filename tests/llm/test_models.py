@@ -20,11 +20,11 @@ def subsequence_kernel(a, b):
     """Sum over pairs of equal ordered triples, by definition."""
     from itertools import combinations
 
-    return sum(T.DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1) for i in combinations(range(len(a)), 3) for j in combinations(range(len(b)), 3) if all(a[x] == b[y] for x, y in zip(i, j, strict=True)))
+    return sum(T.DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1) for i in combinations(range(len(a)), 3) for j in combinations(range(len(b)), 3) if all(a[x] == b[y] > 0 for x, y in zip(i, j, strict=True)))
 
 
 def test_kernel_against_definition():
-    words = ["abcabc", "idiot", "idxiot", "zzzz", "a", "été9"]
+    words = ["abcabc", "idiot", "idxiot", "zzzz", "a", "été9", "i.d-i o_t"]
     rows, size = T.encode(words)
     for i in range(len(words)):
         for j in range(len(words)):
@@ -51,8 +51,15 @@ def test_toxicity_tolerates_gaps_and_inserted_characters(spark, tables):
     docs, labels = tables
     sample = T.training_sample(docs, labels, train_part=T.train_rows)
     model = T.fit(*sample)
-    best = lambda t: float(model.word_scores([T.bare(w) for w in T.tokens(t)]).max())
+    best = lambda t: float(model.word_scores([T.trim(w) for w in T.tokens(t)]).max())
     assert best("what an i.d.i.o.t he is") > 0.7 and best("you i d i o t there") > 0.7 and best("such an idxiot") > 0 > best("the house is green")
+    # The table against the kernel with every landmark, by the recursion.
+    marks, weights = model.landmarks
+    m_rows, _ = T.encode(marks)
+    for word in ["idiot", "i.d.i.o.t", "green", "the-house", "ab", "s t u p i d"]:
+        rows, _ = T.encode([word])
+        near = T.kernel(np.repeat(rows, len(marks), axis=0), m_rows) / (T.norms(rows)[0] * T.norms(m_rows))
+        assert model.word_scores([word])[0] == pytest.approx(max(-1.0, float(near @ weights) + model.bias), abs=1e-9)
     again = T.fit(*sample)
     assert (model.table == again.table).all()
 
