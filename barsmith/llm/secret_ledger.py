@@ -82,9 +82,12 @@ class SecretLedger:
     def scan(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """Findings of every row: id, blob and ``spans`` (empty array if none), one row per input row.
 
-        Null texts count as empty. Texts are scanned whole. Rows may repeat ids
-        or texts; a blob is read from the row with the smallest id that has it.
-        A retried append may repeat a pair; readers take one.
+        Null texts count as empty; an empty table gives no rows. Texts of any
+        length are scanned whole. Rows may repeat ids or texts and give their
+        findings each; a blob is read from the row with the smallest id that has
+        it. Spans that start together stand in the order of their kinds. Ids
+        keep their type, and columns beside id and text are not read, whatever
+        their names. A retried append may repeat a pair; readers take one.
         """
         version = F.lit(rule_version())
         text = F.coalesce(F.col(text_col), F.lit(""))

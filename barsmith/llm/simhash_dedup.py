@@ -228,7 +228,9 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     Texts without words have fingerprint 0 and link like any other. A null id
     never is a component's name unless all ids of the component are null. An
-    empty table gives an empty result. Groups of equal fingerprints are single
+    empty table gives an empty result. Repeated rows give the same row each, and
+    columns beside id and text are not read, whatever their names. Shingles of
+    texts of any length are counted whole. Groups of equal fingerprints are single
     nodes, so a group of copies of any size adds one node and no pairs.
     """
     prints = materialize(fingerprints(docs, text_col, id_col, width), "fp")

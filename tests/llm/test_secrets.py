@@ -70,3 +70,14 @@ def test_digest_columns(spark):
         found = base(t)
         assert rows[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
         assert (rows[d].n_assign, rows[d].n_access, rows[d].n_hex) == tuple(sum(k == kind for k, _, _ in found) for kind in L.BASE)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = "word " * 200_000 + "password = hunter2hunter2 " + "x" * 1_000_000
+    rows = [((1 << 53) + 1, long, "a", "b", "c", "d"), (None, long, "a", "b", "c", "d"), (7, None, "a", "b", "c", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _text string, blob string, spans string")
+    got = {r.doc_id: [(s["kind"], s["start"], s["stop"]) for s in r.spans] for r in L.SecretLedger(spark).scan(df).collect()}
+    at = long.index("password")
+    assert got == {(1 << 53) + 1: [("assign", at, at + 24)], None: [("assign", at, at + 24)], 7: []}
+    clean = {r.doc_id: r for r in L.redact(df).collect()}
+    assert clean[7].text is None and "hunter2" not in clean[None].text and clean[None].spans == "d"
