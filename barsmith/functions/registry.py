@@ -9,11 +9,12 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..core import SERIES
+from ..core import SERIES, emas, true_range
 from ..operators import indicators as I
 
 Indicator = Callable[..., DataFrame]
 
+# The names under which indicators are known.
 BUILT_IN: dict[str, Indicator] = {
     "sma": I.sma, "ema": I.ema_ma, "wma": I.wma, "dema": I.dema, "tema": I.tema, "vwma": I.vwma, "hma": I.hma, "boll": I.bollinger, "kc": I.keltner, "dc": I.donchian,
     "macd": I.macd, "ppo": I.ppo, "apo": I.apo, "rsi": I.rsi, "stoch": I.stochastic, "cci": I.cci, "williams_r": I.williams_r, "roc": I.roc, "momentum": I.mom,
@@ -87,15 +88,18 @@ def from_specs(df: DataFrame, specs: list[str]) -> DataFrame:
 
 
 def add_common(df: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50), volume: bool = True) -> DataFrame:
+    """Plain and exponential averages, MACD, RSI, Bollinger bands, ATR, volume average and OBV; all means of bars run in the same steps."""
     for p in periods:
         df = I.sma(df, p)
-    df = I.ema_mas(df, periods)
-    df = I.atr(I.bollinger(I.rsi(I.macd(df), 14), 20), 14)
+    df = I.moves(df, "close").withColumn("tr", true_range())
+    close = {f"ema_{p}": p for p in periods} | {"_fast": 12, "_slow": 26}
+    df = emas(df, {k: ("close", p) for k, p in close.items()} | {"_ag": ("_gain", 14), "_al": ("_loss", 14), "atr_14": ("tr", 14)})
+    df = I.bollinger(I.macd_of(I.rsi_of(df, "rsi_14")), 20)
     return I.volume_ma(I.obv(df), 20) if volume else df
 
 
 def add_trend(df: DataFrame) -> DataFrame:
-    return I.macd(I.ema_mas(df, (20, 50, 200)))
+    return I.macd_of(emas(df, {f"ema_{p}": ("close", p) for p in (20, 50, 200)} | {"_fast": ("close", 12), "_slow": ("close", 26)}))
 
 
 def add_momentum(df: DataFrame) -> DataFrame:

@@ -154,7 +154,11 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column:
     check(df, column)
     if fast >= slow:
         raise ValueError("the fast period must be shorter than the slow one")
-    df = emas(df, {"_fast": (column, fast), "_slow": (column, slow)}, adjust)
+    return macd_of(emas(df, {"_fast": (column, fast), "_slow": (column, slow)}, adjust), signal, adjust)
+
+
+def macd_of(df: DataFrame, signal: int = 9, adjust: bool = False) -> DataFrame:
+    """MACD from its two means ``_fast`` and ``_slow``."""
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     df = ema(df, "macd", signal, "macd_signal", adjust)
     return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
@@ -203,7 +207,8 @@ def adx(df: DataFrame, period: int = 14) -> DataFrame:
 # ------------------------------------------------------------ momentum
 
 
-def _moves(df: DataFrame, column: str) -> DataFrame:
+def moves(df: DataFrame, column: str) -> DataFrame:
+    """``_gain`` and ``_loss`` against the row before."""
     d = F.col(column) - prev(column)
     return df.withColumn("_gain", F.when(d > 0, d).otherwise(0.0)).withColumn("_loss", F.when(d < 0, -d).otherwise(0.0))
 
@@ -217,8 +222,12 @@ def _strength(gain: str, loss: str) -> Column:
 def rsi(df: DataFrame, period: int = 14, column: str = "close", name: str | None = None) -> DataFrame:
     """Relative strength with span weights, the registered form."""
     check(df, column)
-    df = emas(_moves(df, column), {"_ag": ("_gain", period), "_al": ("_loss", period)}, together=True)
-    return df.withColumn(name or f"rsi_{period}", _strength("_ag", "_al")).drop("_gain", "_loss", "_ag", "_al")
+    return rsi_of(emas(moves(df, column), {"_ag": ("_gain", period), "_al": ("_loss", period)}, together=True), name or f"rsi_{period}")
+
+
+def rsi_of(df: DataFrame, name: str) -> DataFrame:
+    """Relative strength from the means of gains and losses, ``_ag`` and ``_al``."""
+    return df.withColumn(name, _strength("_ag", "_al")).drop("_gain", "_loss", "_ag", "_al")
 
 
 def rsi_signals(df: DataFrame, period: int = 14, oversold: float = 30, overbought: float = 70, column: str = "close") -> DataFrame:
@@ -236,7 +245,7 @@ def rsi_wilder(df: DataFrame, period: int = 14, column: str = "close", strict: b
     check(df, column)
     if strict:
         check_period(df, period, True)
-    df = ewms(_moves(df, column), {"_ag": ("_gain", 1.0 / period), "_al": ("_loss", 1.0 / period)}, together=True)
+    df = ewms(moves(df, column), {"_ag": ("_gain", 1.0 / period), "_al": ("_loss", 1.0 / period)}, together=True)
     return df.withColumn(f"RSI_{period}", _strength("_ag", "_al")).drop("_gain", "_loss", "_ag", "_al")
 
 
@@ -252,7 +261,7 @@ def rsi_divergence(df: DataFrame) -> DataFrame:
 def rsi_cutler(df: DataFrame, period: int = 14, column: str = "close") -> DataFrame:
     """Relative strength with plain rolling means; a window without losses gives 0, as its ratio counts as none. Named ``rsi_cutler_n``."""
     check(df, column)
-    df = _moves(df, column)
+    df = moves(df, column)
     g, l = roll(F.avg, "_gain", period), roll(F.avg, "_loss", period)
     ratio = F.when(l == 0, F.lit(0.0)).otherwise(div(g, l))
     return df.withColumn(f"rsi_cutler_{period}", 100.0 - 100.0 / (1.0 + ratio)).drop("_gain", "_loss")

@@ -163,3 +163,13 @@ def test_quality_measures(spark):
     assert C.price_violations(df.withColumn("high", F.lit(1.0))).first().violations == ["high_below_low", "high_below_open_close"]
     good, bad = C.split_valid(df.withColumn("high", F.when(F.col("volume") > 5, 1.0).otherwise(F.col("high"))))
     assert (good.count(), bad.count()) == (4, 4)
+
+
+def test_running_means_go_on_from_their_state():
+    import numpy as np
+
+    from barsmith.streaming.bars import _means
+
+    x = np.random.default_rng(2).normal(size=50)
+    whole, first = _means(x, None, 0.2), _means(x[:20], None, 0.2)
+    assert np.allclose(np.concatenate((first, _means(x[20:], float(first[-1]), 0.2))), whole)
