@@ -78,6 +78,7 @@ def test_clashing_columns_and_very_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _text string, blob string, spans string")
     got = {r.doc_id: [(s["kind"], s["start"], s["stop"]) for s in r.spans] for r in L.SecretLedger(spark).scan(df).collect()}
     at = long.index("password")
-    assert got == {(1 << 53) + 1: [("assign", at, at + 24)], None: [("assign", at, at + 24)], 7: []}
+    end = at + len("password = hunter2hunter2")
+    assert got == {(1 << 53) + 1: [("assign", at, end)], None: [("assign", at, end)], 7: []}
     clean = {r.doc_id: r for r in L.redact(df).collect()}
     assert clean[7].text is None and "hunter2" not in clean[None].text and clean[None].spans == "d"
