@@ -304,3 +304,25 @@ def group_bounds(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         change[1:] |= c[1:] != c[:-1]
     start = np.flatnonzero(change)
     return start, np.append(start[1:], len(change))
+
+
+# ----------------------------------------------------------------- vectors
+
+
+def whole_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """``id`` and ``x``: floor(256 * component) as whole numbers, for vectors without null, infinite or undefined components.
+
+    Components beyond 64 bits count as the nearest whole number of 64 bits.
+    """
+    v = F.col(f"`{vector}`")
+    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf")))
+    rows = df.where(v.isNotNull()).where(F.coalesce(finite, F.lit(False)))
+    return rows.select(F.col(f"`{id_column}`").alias("id"), F.transform(v, lambda c: F.floor(c.cast("double") * 256).cast("long")).alias("x"))
+
+
+def whole_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix of int64."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(n, -1) if n else np.empty((0, 0), dtype=np.int64)

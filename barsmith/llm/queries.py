@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_crf, mixing, multiset_fingerprint, page_diff, quality_qda, secret_ledger, substring_dedup, toxicity
+from . import decontaminate, language_crf, mixing, multiset_fingerprint, page_diff, quality_qda, ranked_search, secret_ledger, substring_dedup, threshold_search, toxicity, whitening
 from .common import read_table
 from .simhash_dedup import near_components
 
@@ -68,6 +68,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.top_inner_products(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -80,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_secret_scan": op9_secret_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_top_k_search": op11_top_k_search,
+        "op12_whitening": op12_whitening,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -87,4 +102,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.oracle("documents"),
         "op4_substring_dedup": substring_dedup.ORACLE,
+        "op11_top_k_search": threshold_search.oracle(),
+        "op13_lexical_search": ranked_search.oracle(),
     }
