@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..core import SERIES, emas, true_range
+from ..core import SERIES, emas, spread, true_range
 from ..operators import indicators as I
 
 Indicator = Callable[..., DataFrame]
@@ -88,27 +88,35 @@ def from_specs(df: DataFrame, specs: list[str]) -> DataFrame:
 
 
 def add_common(df: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50), volume: bool = True) -> DataFrame:
-    """Plain and exponential averages, MACD, RSI, Bollinger bands, ATR, volume average and OBV; all means of bars run in the same steps."""
-    for p in periods:
-        df = I.sma(df, p)
-    df = I.moves(df, "close").withColumn("tr", true_range())
-    close = {f"ema_{p}": p for p in periods} | {"_fast": 12, "_slow": 26}
-    df = emas(df, {k: ("close", p) for k, p in close.items()} | {"_ag": ("_gain", 14), "_al": ("_loss", 14), "atr_14": ("tr", 14)})
-    df = I.bollinger(I.macd_of(I.rsi_of(df, "rsi_14")), 20)
-    return I.volume_ma(I.obv(df), 20) if volume else df
+    """Plain and exponential averages, MACD, RSI, Bollinger bands, ATR, volume average and OBV; all exponential means run in one scan.
+
+    Presets work in blocks where a series is longer than ``core.LONG``.
+    """
+
+    def common(df: DataFrame) -> DataFrame:
+        for p in periods:
+            df = I.sma(df, p)
+        df = I.moves(I.bollinger(df, 20), "close").withColumn("tr", true_range())
+        df = I.volume_ma(I.obv(df), 20) if volume else df
+        close = {f"ema_{p}": p for p in periods} | {"_fast": 12, "_slow": 26}
+        df = emas(df, {k: ("close", p) for k, p in close.items()} | {"_ag": ("_gain", 14), "_al": ("_loss", 14), "atr_14": ("tr", 14)}, then=I.macd_signal())
+        return I.macd_of(I.rsi_of(df, "rsi_14"))
+
+    return spread(df, common, max(*periods, 20))
 
 
 def add_trend(df: DataFrame) -> DataFrame:
-    return I.macd_of(emas(df, {f"ema_{p}": ("close", p) for p in (20, 50, 200)} | {"_fast": ("close", 12), "_slow": ("close", 26)}))
+    return spread(df, lambda b: I.macd_of(emas(b, {f"ema_{p}": ("close", p) for p in (20, 50, 200)} | {"_fast": ("close", 12), "_slow": ("close", 26)}, then=I.macd_signal())), 0)
 
 
 def add_momentum(df: DataFrame) -> DataFrame:
-    return I.roc(I.cci(I.stochastic(I.rsi(df)), 20), 12)
+    """Stochastic, CCI, rate of change and relative strength."""
+    return spread(df, lambda b: I.rsi(I.roc(I.cci(I.stochastic(b), 20), 12)), 40)
 
 
 def add_volatility(df: DataFrame) -> DataFrame:
-    return I.standard_deviation(I.bollinger(I.atr(df)))
+    return spread(df, lambda b: I.atr(I.standard_deviation(I.bollinger(b))), 20)
 
 
 def add_volume(df: DataFrame) -> DataFrame:
-    return I.mfi(I.vwap(I.obv(df), 20))
+    return spread(df, lambda b: I.mfi(I.vwap(I.obv(b), 20)), 20)

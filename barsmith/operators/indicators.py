@@ -8,12 +8,14 @@ otherwise.
 from __future__ import annotations
 
 import math
+import operator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import SERIES, check, check_period, cum, div, ema, emas, ewms, flag, num, prev, roll, rows, series, true_range, typical
+from ..core import SERIES, check, check_period, div, ema, emas, ewms, flag, framed, num, prev, roll, rows, running, series, true_range, typical
 
 # ------------------------------------------------------- moving averages
 
@@ -30,35 +32,45 @@ def ema_ma(df: DataFrame, period: int = 20, column: str = "close", name: str | N
     return ema(df, column, period, name or f"ema_{period}")
 
 
-def weighted(x: str | Column, n: int) -> Column:
-    """Linear weights, the newest value weighs ``n``."""
-    x = num(x)
-    total = F.aggregate(
-        F.collect_list(x).over(rows(n)),
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("i")),
-        lambda a, v: F.struct((a["s"] + v * (a["i"] + 1)).alias("s"), (a["i"] + 1).alias("i")),
-        lambda a: a["s"],
-    )
-    return F.when(F.count(x).over(rows(n)) == n, total / (n * (n + 1) / 2.0))
+def weighted(df: DataFrame, wanted: dict[str, tuple[str | Column, int]]) -> DataFrame:
+    """Means with linear weights by name: (values, n), the newest of the last n values weighs n.
+
+    Three sums of the frame, none of them growing with the series: of the
+    values, of the values by their place modulo P, and of those in the upper
+    half of the places, which lie a turn back where a frame wraps around.
+    """
+    turn = 1 << (2 * max(n for _, n in wanted.values())).bit_length()
+    df = df.withColumns({f"_v_{name}": num(x).cast("double") for name, (x, _) in wanted.items()}).withColumn("_turn", (F.row_number().over(series()) % turn).cast("double"))
+    out = {}
+    for name, (_, n) in wanted.items():
+        x, place = F.col(f"_v_{name}"), F.col("_turn")
+        total, moment, upper = (F.sum(v).over(rows(n)) for v in (x, place * x, F.when(place >= turn // 2, x).otherwise(0.0)))
+        wrapped = F.when(place < n - 1, upper * float(turn)).otherwise(0.0)
+        out[name] = F.when(F.count(x).over(rows(n)) == n, (moment + (n - place) * total - wrapped) / (n * (n + 1) / 2.0))
+    return df.withColumns(out).drop("_turn", *[f"_v_{name}" for name in wanted])
 
 
 def wma(df: DataFrame, period: int = 20, column: str = "close", name: str | None = None, strict: bool = False) -> DataFrame:
     check(df, column)
     check_period(df, period, strict)
-    return df.withColumn(name or f"wma_{period}", weighted(column, period))
+    return weighted(df, {name or f"wma_{period}": (column, period)})
+
+
+def same(x):
+    return x
 
 
 def dema(df: DataFrame, period: int = 20, column: str = "close", name: str | None = None, strict: bool = False) -> DataFrame:
     check(df, column)
     check_period(df, period, strict)
-    df = ema(ema(df, column, period, "_e1"), "_e1", period, "_e2")
+    df = emas(df, {"_e1": (column, period)}, then={"_e2": (("_e1",), same, period)})
     return df.withColumn(name or f"dema_{period}", 2 * F.col("_e1") - F.col("_e2")).drop("_e1", "_e2")
 
 
 def tema(df: DataFrame, period: int = 20, column: str = "close", name: str | None = None, strict: bool = False) -> DataFrame:
     check(df, column)
     check_period(df, period, strict)
-    df = ema(ema(ema(df, column, period, "_e1"), "_e1", period, "_e2"), "_e2", period, "_e3")
+    df = emas(df, {"_e1": (column, period)}, then={"_e2": (("_e1",), same, period), "_e3": (("_e2",), same, period)})
     return df.withColumn(name or f"tema_{period}", 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")).drop("_e1", "_e2", "_e3")
 
 
@@ -71,8 +83,8 @@ def vwma(df: DataFrame, period: int = 20, column: str = "close", name: str | Non
 def hma(df: DataFrame, period: int = 20, column: str = "close", name: str | None = None, strict: bool = False) -> DataFrame:
     check(df, column)
     check_period(df, period, strict)
-    df = df.withColumn("_raw", 2 * weighted(column, max(1, period // 2)) - weighted(column, period))
-    return df.withColumn(name or f"hma_{period}", weighted("_raw", max(1, int(math.sqrt(period))))).drop("_raw")
+    df = weighted(df, {"_half": (column, max(1, period // 2)), "_whole": (column, period)})
+    return weighted(df, {name or f"hma_{period}": (2 * F.col("_half") - F.col("_whole"), max(1, int(math.sqrt(period))))}).drop("_half", "_whole")
 
 
 def ema_mas(df: DataFrame, periods: tuple[int, ...], column: str = "close") -> DataFrame:
@@ -154,13 +166,17 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column:
     check(df, column)
     if fast >= slow:
         raise ValueError("the fast period must be shorter than the slow one")
-    return macd_of(emas(df, {"_fast": (column, fast), "_slow": (column, slow)}, adjust), signal, adjust)
+    return macd_of(emas(df, {"_fast": (column, fast), "_slow": (column, slow)}, adjust, macd_signal(signal)))
+
+
+def macd_signal(signal: int = 9) -> dict:
+    """The mean of MACD, as a mean that ``emas`` derives from ``_fast`` and ``_slow``."""
+    return {"macd_signal": (("_fast", "_slow"), operator.sub, signal)}
 
 
-def macd_of(df: DataFrame, signal: int = 9, adjust: bool = False) -> DataFrame:
-    """MACD from its two means ``_fast`` and ``_slow``."""
+def macd_of(df: DataFrame) -> DataFrame:
+    """MACD from its means ``_fast``, ``_slow`` and ``macd_signal``."""
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = ema(df, "macd", signal, "macd_signal", adjust)
     return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
@@ -222,7 +238,7 @@ def _strength(gain: str, loss: str) -> Column:
 def rsi(df: DataFrame, period: int = 14, column: str = "close", name: str | None = None) -> DataFrame:
     """Relative strength with span weights, the registered form."""
     check(df, column)
-    return rsi_of(emas(moves(df, column), {"_ag": ("_gain", period), "_al": ("_loss", period)}, together=True), name or f"rsi_{period}")
+    return rsi_of(emas(moves(df, column), {"_ag": ("_gain", period), "_al": ("_loss", period)}), name or f"rsi_{period}")
 
 
 def rsi_of(df: DataFrame, name: str) -> DataFrame:
@@ -245,7 +261,7 @@ def rsi_wilder(df: DataFrame, period: int = 14, column: str = "close", strict: b
     check(df, column)
     if strict:
         check_period(df, period, True)
-    df = ewms(moves(df, column), {"_ag": ("_gain", 1.0 / period), "_al": ("_loss", 1.0 / period)}, together=True)
+    df = ewms(moves(df, column), {"_ag": ("_gain", 1.0 / period), "_al": ("_loss", 1.0 / period)})
     return df.withColumn(f"RSI_{period}", _strength("_ag", "_al")).drop("_gain", "_loss", "_ag", "_al")
 
 
@@ -283,13 +299,15 @@ def stochastic_signals(df: DataFrame, oversold: float = 20, overbought: float =
     return df.withColumns({"stoch_golden_cross": golden, "stoch_death_cross": death, "stoch_oversold_cross": golden & flag(k < oversold), "stoch_overbought_cross": death & flag(k > overbought)}).drop("_pk", "_pd")
 
 
+def _mean_deviation(frames: np.ndarray) -> np.ndarray:
+    return np.abs(frames - frames.mean(axis=1)[:, None]).mean(axis=1)
+
+
 def cci(df: DataFrame, period: int = 20, constant: float = 0.015) -> DataFrame:
     check(df, "high", "low", "close")
     df = df.withColumn("_tp", typical()).withColumn("_ma", roll(F.avg, "_tp", period))
-    held = F.collect_list("_tp").over(rows(period))
-    df = df.withColumn("_held", held)
-    dev = F.aggregate("_held", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("_ma"))) / period
-    return df.withColumn(f"cci_{period}", div(F.col("_tp") - F.col("_ma"), constant * dev)).drop("_tp", "_ma", "_held")
+    df = framed(df, {"_dev": ("_tp", period, _mean_deviation)})
+    return df.withColumn(f"cci_{period}", div(F.col("_tp") - F.col("_ma"), constant * F.col("_dev"))).drop("_tp", "_ma", "_dev")
 
 
 def williams_r(df: DataFrame, period: int = 14) -> DataFrame:
@@ -354,7 +372,7 @@ def ulcer_index(df: DataFrame, period: int = 14, column: str = "close") -> DataF
 
 def mass_index(df: DataFrame, fast: int = 9, slow: int = 25) -> DataFrame:
     check(df, "high", "low")
-    df = ema(ema(df, F.col("high") - F.col("low"), fast, "_e1"), "_e1", fast, "_e2")
+    df = emas(df, {"_e1": (F.col("high") - F.col("low"), fast)}, then={"_e2": (("_e1",), same, fast)})
     df = df.withColumn("_ratio", div("_e1", "_e2"))
     return df.withColumn("mass_index", roll(F.sum, "_ratio", slow)).drop("_e1", "_e2", "_ratio")
 
@@ -379,14 +397,15 @@ def atr_simple(df: DataFrame, period: int = 14) -> DataFrame:
 def obv(df: DataFrame, column: str = "close") -> DataFrame:
     check(df, column, "volume")
     df = df.withColumn("_s", F.coalesce(F.signum(F.col(column) - prev(column)), F.lit(0.0)) * F.col("volume"))
-    return df.withColumn("obv", cum("_s")).drop("_s")
+    return running(df, {"obv": "_s"}).drop("_s")
 
 
 def vwap(df: DataFrame, period: int | None = None) -> DataFrame:
     check(df, "high", "low", "close", "volume")
     money = typical() * F.col("volume")
-    total = div(roll(F.sum, money, period), roll(F.sum, "volume", period)) if period else div(cum(money), cum("volume"))
-    return df.withColumn("vwap", total)
+    if period:
+        return df.withColumn("vwap", div(roll(F.sum, money, period), roll(F.sum, "volume", period)))
+    return running(df, {"_money": money, "_traded": "volume"}).withColumn("vwap", div("_money", "_traded")).drop("_money", "_traded")
 
 
 def mfi(df: DataFrame, period: int = 14) -> DataFrame:
@@ -406,7 +425,7 @@ def close_location() -> Column:
 
 def ad(df: DataFrame) -> DataFrame:
     check(df, "high", "low", "close", "volume")
-    return df.withColumn("ad", cum(close_location() * F.col("volume")))
+    return running(df, {"ad": close_location() * F.col("volume")})
 
 
 def cmf(df: DataFrame, period: int = 20) -> DataFrame:
@@ -448,12 +467,20 @@ def returns(df: DataFrame, column: str = "close", periods: int = 1, method: str
     return df.withColumn(name or f"{column}_return_{periods}", out).drop("_held")
 
 
-ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "median": lambda x: F.percentile(x, 0.5)}
+def _median(frames: np.ndarray) -> np.ndarray:
+    return np.median(frames, axis=1)
+
+
+ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum}
 
 
 def rolling_stats(df: DataFrame, column: str = "close", window: int = 20, stats: tuple[str, ...] = ("mean", "std", "min", "max", "median", "sum")) -> DataFrame:
     """Unknown statistics are left out."""
-    return df.withColumns({f"{column}_rolling_{s}_{window}": roll(ROLLING[s], column, window) for s in stats if s in ROLLING})
+    names = {s: f"{column}_rolling_{s}_{window}" for s in stats}
+    out = df.withColumns({names[s]: roll(ROLLING[s], column, window) for s in stats if s in ROLLING})
+    if "median" in stats:
+        out = framed(out, {names["median"]: (column, window, _median)})
+    return out.select(*df.columns, *[names[s] for s in stats if s in ROLLING or s == "median"])
 
 
 def _over(a: str, b: str, up: bool) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import OHLCV, SECONDS, SERIES, bucket, div, epoch_ms, prev, scratch_path, series
+from ..core import BLOCK, OHLCV, SECONDS, SERIES, bucket, div, epoch_ms, from_ms, positions, prev, scratch_path
 
 # ------------------------------------------------------------- selection
 
@@ -158,12 +158,41 @@ class BarQuery:
 # ----------------------------------------------------------- aggregation
 
 
-def densify(df: DataFrame, step: str, label: str = "timestamp") -> DataFrame:
-    """All steps from the first to the last of each series; rows that are new have nulls."""
-    unit = {"1M": "INTERVAL 1 MONTH", "1w": "INTERVAL 7 DAYS"}.get(step, f"INTERVAL {SECONDS[step]} SECONDS")
-    span = df.groupBy(*SERIES).agg(F.min(label).alias("_a"), F.max(label).alias("_b"))
-    grid = span.select(*SERIES, F.explode(F.sequence(F.col("_a"), F.col("_b"), F.expr(unit))).alias(label))
-    return grid.join(df, [*SERIES, label], "left")
+#: Missing steps that one row of the first level of a gap stands for.
+CHUNK = 1 << 12
+
+
+def densify(df: DataFrame, step: str, label: str = "timestamp", size: int = BLOCK) -> DataFrame:
+    """All steps from the first to the last of each series; rows that are new have nulls, rows between two steps go.
+
+    Only the gaps are filled in. Steps are numbered from the first row of a
+    series and dealt to blocks of ``size`` steps; each row learns the next one
+    inside its block, and a table of one row for each block knows the next block
+    that has rows. A gap becomes a row for each CHUNK of its missing steps,
+    these are dealt evenly, and only then become steps. So neither a row nor a
+    task holds a series, and only rows that are missing are made.
+    """
+    if step == "1M":  # months have no fixed length, and are few
+        span = df.groupBy(*SERIES).agg(F.min(label).alias("_a"), F.max(label).alias("_b"))
+        grid = span.select(*SERIES, F.explode(F.sequence(F.col("_a"), F.col("_b"), F.expr("INTERVAL 1 MONTH"))).alias(label))
+        return grid.join(df, [*SERIES, label], "left")
+    ms = SECONDS[step] * 1000
+    own = F.struct(*SERIES)
+    held = df.withColumn("_series", own)
+    first = held.groupBy("_series").agg(F.min(epoch_ms(label)).alias("_first"))
+    held = held.join(first, "_series").withColumn("_k", epoch_ms(label) - F.col("_first")).where(F.col("_k") % ms == 0)
+    held = held.withColumn("_k", F.expr(f"_k div {ms}")).withColumn("_key", F.struct("_series", F.expr(f"_k div {size}").alias("_b")))
+    ends = held.groupBy("_key").agg(F.min("_k").alias("_low"))
+    after = F.lead("_low").over(Window.partitionBy("_key._series").orderBy("_key._b"))
+    known = held.select("_key", "_k", "_first").join(ends.select("_key", after.alias("_after")), "_key")
+    following = F.coalesce(F.lead("_k").over(Window.partitionBy("_key").orderBy("_k")), F.col("_after"))
+    gaps = known.select("_key", "_first", "_k", following.alias("_next")).where(F.col("_next") - F.col("_k") > 1)
+    parts = gaps.withColumn("_c", F.explode(F.sequence(F.lit(0), F.expr(f"(_next - _k - 2) div {CHUNK}"))))
+    parts = parts.repartition("_key", "_k", "_c")
+    steps = F.sequence(F.col("_k") + 1 + F.col("_c") * CHUNK, F.least(F.col("_next") - 1, F.col("_k") + (F.col("_c") + 1) * CHUNK))
+    new = parts.select(F.col("_key._series").alias("_series"), "_first", F.explode(steps).alias("_k"))
+    new = new.select(*[F.col(f"_series.{c}").alias(c) for c in SERIES], from_ms(F.col("_first") + F.col("_k") * ms).alias(label))
+    return held.select(*df.columns).unionByName(new, allowMissingColumns=True).select(*SERIES, label, *[c for c in df.columns if c not in (*SERIES, label)])
 
 
 def resample(df: DataFrame, step: str, dense: bool = True) -> DataFrame:
@@ -229,8 +258,8 @@ def series_listing(df: DataFrame, exchange: str | None = None) -> DataFrame:
 
 def trend_strength(df: DataFrame, column: str = "close") -> DataFrame:
     """Absolute correlation of a column with its row number; 0 below 10 rows, below 5 values, or if undefined."""
-    df = df.withColumn("_i", F.row_number().over(series()).cast("double"))
-    g = df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), F.count(column).alias("_k"), F.corr("_i", column).alias("_c"))
+    df = positions(df, "_i")
+    g = df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), F.count(column).alias("_k"), F.corr(F.col("_i").cast("double"), column).alias("_c"))
     value = F.when((F.col("_n") >= 10) & (F.col("_k") >= 5), F.abs(F.col("_c")))
     return g.select(*SERIES, F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0)).alias("trend_strength"))
 
@@ -240,7 +269,7 @@ def trend_strength(df: DataFrame, column: str = "close") -> DataFrame:
 
 def chunks(df: DataFrame, size: int) -> DataFrame:
     """``chunk_id`` of consecutive chunks of exactly ``size`` rows of each series, the last one shorter."""
-    return df.withColumn("chunk_id", F.floor((F.row_number().over(series()) - 1) / size))
+    return positions(df).withColumn("chunk_id", F.floor(F.col("_at") / size)).drop("_at")
 
 
 def delivered(df: DataFrame) -> DataFrame:
@@ -287,7 +316,9 @@ def iterate_rows(df: DataFrame, size: int = 1000) -> Iterator[dict]:
 
 
 def chunk_statistics(df: DataFrame, size: int) -> DataFrame:
-    return chunks(df, size).groupBy(*SERIES).agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count(F.lit(1)).alias("n_rows"))
+    """Chunks and rows of each series; the number of chunks follows from the rows, so no row is numbered."""
+    g = df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n_rows"))
+    return g.select(*SERIES, F.ceil(F.col("n_rows") / size).cast("long").alias("n_chunks"), "n_rows")
 
 
 def chunk_totals(df: DataFrame, size: int) -> DataFrame:

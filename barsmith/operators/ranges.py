@@ -5,25 +5,55 @@ Range tables have the series keys and ``start`` and ``end`` (both included).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import SECONDS, SERIES, epoch_ms, prev, series
+from ..core import SERIES, epoch_ms, prev, series, step_seconds, written
 
 
-def step_ms(column: str = "interval"):
-    return F.element_at(F.create_map(*[F.lit(x) for kv in SECONDS.items() for x in kv]), F.col(column)) * 1000
+def step_ms(column: str = "interval") -> Column:
+    return step_seconds(column) * 1000
 
 
-def merge(ranges: DataFrame, step: int | None = None) -> DataFrame:
-    """Ranges that touch or overlap, or lie at most a step apart, become one."""
+#: Milliseconds of the bins into which starts of ranges are dealt.
+BIN = 86_400_000
+
+
+def _key(start: str, bin_ms: int) -> Column:
+    """Series and time bin, by which rows are dealt, so that a long series is spread over many tasks."""
+    return F.struct(*SERIES, F.expr(f"`{start}` div {bin_ms}").alias("_bin"))
+
+
+#: Series of a key.
+_OF = [f"_key.{c}" for c in SERIES]
+
+
+def merge(ranges: DataFrame, step: int | None = None, bin_ms: int = BIN) -> DataFrame:
+    """Ranges that touch or overlap, or lie at most a step apart, become one.
+
+    Ranges are merged inside the bins in which they start; a table of one row
+    for each bin tells the furthest end of all bins before, and which range of an
+    earlier bin the first ones of a bin go on with.
+    """
     reach = F.lit(step) if step is not None else step_ms()
-    w = Window.partitionBy(*SERIES).orderBy("start", "end")
-    held = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = ranges.withColumn("_new", F.when(held.isNull() | (F.col("start") > held + reach), 1).otherwise(0))
-    df = df.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(*SERIES, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    held = ranges.select(_key("start", bin_ms).alias("_key"), "start", "end", reach.alias("_reach"))
+    bins = Window.partitionBy(*_OF).orderBy("_key._bin")
+    earlier = bins.rowsBetween(Window.unboundedPreceding, -1)
+    far = held.groupBy("_key").agg(F.max("end").alias("_far"))
+    held = held.join(far.select("_key", F.max("_far").over(earlier).alias("_far")), "_key")
+    w = Window.partitionBy("_key").orderBy("start", "end")
+    top = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    held = held.withColumn("_new", F.coalesce(F.col("start") > top + F.col("_reach"), F.lit(True)).cast("int"))
+    held = held.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Island 0 of a bin goes on from the last island that began in an earlier bin.
+    local = held.groupBy("_key", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    tails = local.groupBy("_key").agg(F.max(F.when(F.col("_island") == 0, F.col("end"))).alias("_tail"), F.max(F.when(F.col("_island") > 0, F.col("start"))).alias("_last"))
+    tails = tails.withColumn("_root", F.last("_last", ignorenulls=True).over(earlier)).where(F.col("_tail").isNotNull())
+    tails = tails.select(*[F.col(c).alias(c.split(".")[1]) for c in _OF], "_root", "_tail").groupBy(*SERIES, "_root").agg(F.max("_tail").alias("_tail"))
+    tails = tails.select(_key("_root", bin_ms).alias("_key"), F.col("_root").alias("start"), "_tail")
+    out = local.where("_island > 0").join(tails, ["_key", "start"], "left")
+    return out.select(*_OF, "start", F.greatest("end", "_tail").alias("end"))
 
 
 def completeness(ranges: DataFrame, step: int | None = None) -> DataFrame:
@@ -36,43 +66,45 @@ def add(ranges: DataFrame, more: DataFrame, step: int | None = None) -> DataFram
     return merge(ranges.select(*SERIES, "start", "end").unionByName(more.select(*SERIES, "start", "end")), step)
 
 
-#: Milliseconds of the bins in which starts of gaps meet requests.
-BIN = 86_400_000
-_MIN, _MAX = -(1 << 62), 1 << 62
-
-
-def gaps_between(held: DataFrame) -> DataFrame:
-    """All that no held range covers, for each series that has one: ``_g0`` to ``_g1``, the first and last without an end."""
-    pieces = merge(held, 1)
-    after = F.lead("start").over(Window.partitionBy(*SERIES).orderBy("start"))
-    gaps = pieces.select(*SERIES, (F.col("end") + 1).alias("_g0"), F.coalesce(after - 1, F.lit(_MAX)).alias("_g1"))
-    return gaps.unionByName(pieces.groupBy(*SERIES).agg(F.lit(_MIN).alias("_g0"), (F.min("start") - 1).alias("_g1")))
+#: Ranges of a series that meet requests as one chunk.
+CHUNK = 1 << 10
+_MAX = (1 << 63) - 1
 
 
 def missing(held: DataFrame, requests: DataFrame, bin_ms: int = BIN) -> DataFrame:
     """Parts of requests (series keys, request_start, request_end) that no held range covers; edges one millisecond off.
 
-    A missing part begins either where the request does, or with a gap that
-    begins inside it. The first kind is one sweep over starts of gaps and
-    requests; for the second, starts of gaps meet the time bins of requests. So
-    no request is compared with gaps far from it.
+    Merged ranges are numbered by start, and both ends of a request learn how
+    many ranges start up to them, all in time bins with a table of one row for
+    each bin. So a request knows the numbers of the ranges after which it may
+    miss something, and meets chunks of just these: the work grows with what is
+    found, not with the length of a request, and no task sees a series.
     """
-    r = requests.select(*SERIES, "request_start", "request_end").distinct()
-    gaps = gaps_between(held)
-    starts = gaps.select(*SERIES, F.col("_g0").alias("_t"), "_g1", F.lit(None).cast("long").alias("request_start"), F.lit(None).cast("long").alias("request_end"))
-    asks = r.select(*SERIES, F.col("request_start").alias("_t"), F.lit(None).cast("long").alias("_g1"), F.col("request_start").cast("long"), F.col("request_end").cast("long"))
-    sweep = Window.partitionBy(*SERIES).orderBy("_t", F.col("_g1").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    # A series without any range is one gap.
-    swept = starts.unionByName(asks).withColumn("_end", F.coalesce(F.last("_g1", ignorenulls=True).over(sweep), F.lit(_MAX)))
-    swept = swept.where(F.col("request_start").isNotNull() & (F.col("_end") >= F.col("request_start")))
-    head = swept.select(*SERIES, "request_start", "request_end", F.col("request_start").alias("missing_start"), F.least("_end", "request_end").alias("missing_end"))
-
-    bins = F.sequence(F.floor(F.col("request_start") / bin_ms), F.floor(F.col("request_end") / bin_ms))
-    asked = r.where("request_start <= request_end").withColumn("_bin", F.explode(bins))
-    opened = gaps.where(F.col("_g0") > _MIN).withColumn("_bin", F.floor(F.col("_g0") / bin_ms))
-    inner = asked.join(opened, [*SERIES, "_bin"]).where("_g0 > request_start AND _g0 <= request_end")
-    inner = inner.select(*SERIES, "request_start", "request_end", F.col("_g0").alias("missing_start"), F.least("_g1", "request_end").alias("missing_end"))
-    return head.unionByName(inner).where("missing_start <= missing_end")
+    pieces = written(merge(held, 1, bin_ms), "ranges")
+    asked = requests.select(*SERIES, F.col("request_start").cast("long").alias("_a"), F.col("request_end").cast("long").alias("_z")).where("_a <= _z").distinct()
+    none = F.lit(None).cast("long")
+    ends = asked.select("*", F.explode(F.array("_a", "_z")).alias("_t"))
+    rows = pieces.select(_key("start", bin_ms).alias("_key"), F.col("start").alias("_t"), F.lit(1).alias("_one"), F.col("end").alias("_end"), none.alias("_a"), none.alias("_z"))
+    rows = rows.unionByName(ends.select(_key("_t", bin_ms).alias("_key"), "_t", F.lit(0).alias("_one"), none.alias("_end"), "_a", "_z"))
+    bins = rows.groupBy("_key").agg(F.sum("_one").alias("_n"), F.min(F.when(F.col("_one") == 1, F.col("_t"))).alias("_low"))
+    series_ = Window.partitionBy(*_OF)
+    before = F.sum("_n").over(series_.orderBy("_key._bin").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.min("_low").over(series_.orderBy(F.desc("_key._bin")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(bins.select("_key", F.coalesce(before, F.lit(0)).alias("_before"), later.alias("_later")), "_key")
+    # At equal times ranges come first, so that they count as started.
+    order = "OVER (PARTITION BY _key ORDER BY _t, _one DESC"
+    rows = rows.selectExpr("*", f"_before + sum(_one) {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _number", f"coalesce(lead(if(_one = 1, _t, NULL), 1) IGNORE NULLS {order}), _later) AS _next")
+    gaps = rows.where("_one = 1").select(*_OF, "_number", (F.col("_end") + 1).alias("_g0"), F.coalesce(F.col("_next") - 1, F.lit(_MAX)).alias("_g1")).where("_g0 <= _g1")
+    asks = rows.where("_one = 0").select(*_OF, "_a", "_z", "_t", "_number", "_next").groupBy(*SERIES, "_a", "_z").agg(
+        F.min("_number").alias("_lo"), F.max("_number").alias("_hi"), F.min_by("_next", "_t").alias("_first")
+    )
+    parts = [F.col("_a").alias("request_start"), F.col("_z").alias("request_end")]
+    head = asks.where("_lo = 0").select(*SERIES, *parts, F.col("_a").alias("missing_start"), F.least(F.col("_z"), F.coalesce(F.col("_first") - 1, F.col("_z"))).alias("missing_end"))
+    chunks = F.sequence(F.expr(f"greatest(_lo, 1) div {CHUNK}"), F.expr(f"_hi div {CHUNK}"))
+    asks = asks.where("_hi >= 1").withColumn("_chunk", F.explode(chunks))
+    found = asks.join(gaps.withColumn("_chunk", F.expr(f"_number div {CHUNK}")), [*SERIES, "_chunk"]).where("_number BETWEEN _lo AND _hi")
+    found = found.select(*SERIES, *parts, F.greatest("_a", "_g0").alias("missing_start"), F.least("_z", "_g1").alias("missing_end"))
+    return head.unionByName(found).where("missing_start <= missing_end")
 
 
 def cut(ranges: DataFrame, start: int, end: int) -> DataFrame:
