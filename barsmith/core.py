@@ -131,9 +131,11 @@ def ewms(df: DataFrame, means: dict[str, tuple[str | Column, float]], adjust: bo
         if not 0 < alpha <= 1:
             raise ValueError("alpha must be in (0, 1]")
     kept = [c for c in df.columns if c not in means and c not in then]
-    df = df.withColumns({f"_x_{n}": num(x).cast("double") for n, (x, _) in means.items()}).withColumn("_row", F.row_number().over(series()))
+    blocked = is_blocked(df)
+    values = {n: F.when(F.col("_full"), num(x)) if blocked else num(x) for n, (x, _) in means.items()}
+    df = df.withColumns({f"_x_{n}": x.cast("double") for n, x in values.items()}).withColumn("_row", F.row_number().over(series()))
     df = df.select(*[f"`{c}`" for c in kept], "_row", *[f"`_x_{n}`" for n in means])
-    if is_blocked(df):
+    if blocked:
         df = _carried(df, kept, {n: alpha for n, (_, alpha) in means.items()}, adjust)
         for name, (inputs, f, alpha) in then.items():
             df = ewms(df, {name: (f(*[F.col(i) for i in inputs]), alpha)}, adjust)
@@ -398,10 +400,9 @@ def running(df: DataFrame, sums: dict[str, str | Column]) -> DataFrame:
     Inside ``in_blocks`` they are sums of each block plus those of all blocks
     before, which a table of one row for each block adds up.
     """
-    local = df.withColumns({n: cum(x) for n, x in sums.items()})
     if not is_blocked(df):
-        return local
-    local = written(local, "sums")
+        return df.withColumns({n: cum(x) for n, x in sums.items()})
+    local = written(df.withColumns({n: cum(F.when(F.col("_full"), num(x))) for n, x in sums.items()}), "sums")
     own = ["_exchange", "symbol", "interval"]
     ends = local.where("_hand").groupBy(*own, "_block").agg(*[F.max_by(n, "_at").alias(f"_end_{n}") for n in sums])
     # What block b has summed where block b + 1 begins is carried into b + 1.
@@ -413,23 +414,25 @@ def running(df: DataFrame, sums: dict[str, str | Column]) -> DataFrame:
 
 
 def in_blocks(df: DataFrame, f: Callable[[DataFrame], DataFrame], history: int, size: int = BLOCK) -> DataFrame:
-    """``f(df)`` for series too long for one task: blocks of ``size`` rows, each with the ``history`` rows before it.
+    """``f(df)`` for series too long for one task: blocks of ``size`` rows, each with twice the ``history`` rows before it.
 
     ``f`` adds columns by windows that look back ``history`` rows at most and not
     ahead, by exponential means (``ewms``) and by sums from the start
     (``running``): both carry their values from block to block, so they need no
-    history of their own. Positions come from ``positions``, so no task sees a
+    history of their own. They begin ``history`` rows before the block, where
+    what they are taken from is known in full, so windows over them are right too. Positions come from ``positions``, so no task sees a
     whole series. Inside ``f`` a block is a series of its own.
     """
     if history < 0 or size < 1:
         raise ValueError("history must not be negative, and size must be positive")
     held = positions(df)
     home = F.floor(F.col("_at") / size)
-    held = held.withColumn("_block", F.explode(F.sequence(home, F.floor((F.col("_at") + history) / size))))
-    held = held.withColumn("_own", F.col("_block") == home).withColumn("_hand", F.col("_at") < (F.col("_block") + 1) * size - history)
+    held = held.withColumn("_block", F.explode(F.sequence(home, F.floor((F.col("_at") + 2 * history) / size))))
+    held = held.withColumn("_own", F.col("_block") == home).withColumn("_full", F.col("_at") >= F.col("_block") * size - history)
+    held = held.withColumn("_hand", F.col("_full") & (F.col("_at") < (F.col("_block") + 1) * size - history))
     held = held.withColumn("_exchange", F.col("exchange")).withColumn("exchange", F.concat_ws("\u0000", F.col("_block").cast("string"), "exchange"))
     out = f(held).where("_own").withColumn("exchange", F.col("_exchange"))
-    return out.drop("_own", "_exchange", "_at", "_block", "_hand")
+    return out.drop("_own", "_exchange", "_at", "_block", "_full", "_hand")
 
 
 def spread(df: DataFrame, f: Callable[[DataFrame], DataFrame], history: int, limit: int = LONG) -> DataFrame:

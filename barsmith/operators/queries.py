@@ -188,7 +188,8 @@ def densify(df: DataFrame, step: str, label: str = "timestamp", size: int = BLOC
     following = F.coalesce(F.lead("_k").over(Window.partitionBy("_key").orderBy("_k")), F.col("_after"))
     gaps = known.select("_key", "_first", "_k", following.alias("_next")).where(F.col("_next") - F.col("_k") > 1)
     parts = gaps.withColumn("_c", F.explode(F.sequence(F.lit(0), F.expr(f"(_next - _k - 2) div {CHUNK}"))))
-    parts = parts.repartition("_key", "_k", "_c")
+    # As many partitions as set: each short row becomes CHUNK rows, which adaptive merging of small partitions doesn't see.
+    parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "_k", "_c")
     steps = F.sequence(F.col("_k") + 1 + F.col("_c") * CHUNK, F.least(F.col("_next") - 1, F.col("_k") + (F.col("_c") + 1) * CHUNK))
     new = parts.select(F.col("_key._series").alias("_series"), "_first", F.explode(steps).alias("_k"))
     new = new.select(*[F.col(f"_series.{c}").alias(c) for c in SERIES], from_ms(F.col("_first") + F.col("_k") * ms).alias(label))
