@@ -534,7 +534,7 @@ simple(
 
 def _ticks(spark: SparkSession, sf: str) -> DataFrame:
     # A pattern, since a file stream over a plain path wants a folder.
-    return stream.tick_stream(spark, f"{sf}/events.parque[t]", "event_type", "value", exchange="events")
+    return stream.tick_stream(spark, f"{sf}/events.parque[t]", "event_type", "value", exchange="events", tie="event_id")
 
 
 def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -555,9 +555,13 @@ def _stream_bars(spark: SparkSession, sf: str) -> DataFrame:
 add("f7_stream_bars", _stream_bars, H + f" SELECT {shown_sql(OHLCV)} FROM b WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)")
 
 
+#: Seconds of events that wait together; they are sparse.
+STRETCH = 43_200
+
+
 def _stream_ema(spark: SparkSession, sf: str) -> DataFrame:
     work = scratch_path(spark, "work")
-    out = stream.run_to_files(stream.ema_stream(_ticks(spark, sf), 12), f"{work}/ema", f"{work}/checkpoint")
+    out = stream.run_to_files(stream.ema_stream(_ticks(spark, sf), 12, grain=STRETCH), f"{work}/ema", f"{work}/checkpoint")
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("timestamp"), (F.round("ema", 6) + 0.0).alias("ema"))
 
 
@@ -567,12 +571,45 @@ add("f8_stream_ema", _stream_ema, f"WITH b AS (SELECT event_type AS symbol, ts A
 
 def _stream_rsi(spark: SparkSession, sf: str) -> DataFrame:
     work = scratch_path(spark, "work")
-    out = stream.run_to_files(stream.rsi_stream(_ticks(spark, sf), 14), f"{work}/rsi", f"{work}/checkpoint")
+    out = stream.run_to_files(stream.rsi_stream(_ticks(spark, sf), 14, grain=STRETCH), f"{work}/rsi", f"{work}/checkpoint")
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("timestamp"), (F.round("rsi", 6) + 0.0).alias("rsi_14"))
 
 
 add("f8_stream_rsi", _stream_rsi, layers(*RSI, base="WITH b AS (SELECT event_type AS symbol, ts AS timestamp, value AS close FROM events)").format(shown_sql("rsi_14")))
 
+
+#: Files, one micro-batch each, in which ticks of the shuffled stream come, and how far behind the newest one a tick may be.
+SHUFFLED_FILES, SHUFFLED_LATE = 5, "3 hours"
+
+
+def _shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The ticks in files that overlap in time by up to two hours and are out of order inside."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("_at", epoch_ms("ts") + F.pmod(F.xxhash64("event_id"), F.lit(7_200_000)))
+    low, high = e.agg(F.min("_at"), F.max("_at")).first()
+    path = scratch_path(spark, "shuffled")
+    for k in range(SHUFFLED_FILES):  # in order of writing, which is the order in which the stream takes them
+        part = e.where(F.least(F.floor((F.col("_at") - low) * SHUFFLED_FILES / (high - low + 1)), F.lit(SHUFFLED_FILES - 1)) == k)
+        part.drop("_at").repartition(1, "event_id").sortWithinPartitions(F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(path)
+    return stream.tick_stream(spark, path, "event_type", "value", exchange="events", files=1, tie="event_id")
+
+
+def _shuffled_means(spark: SparkSession, sf: str) -> DataFrame:
+    work = scratch_path(spark, "work")
+    out = stream.run_to_files(stream.ema_stream(_shuffled(spark, sf), 12, SHUFFLED_LATE, STRETCH), f"{work}/ema", f"{work}/checkpoint")
+    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("timestamp"), (F.round("ema", 6) + 0.0).alias("ema"))
+
+
+def _shuffled_strength(spark: SparkSession, sf: str) -> DataFrame:
+    work = scratch_path(spark, "work")
+    out = stream.run_to_files(stream.rsi_stream(_shuffled(spark, sf), 14, SHUFFLED_LATE, STRETCH), f"{work}/rsi", f"{work}/checkpoint")
+    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("timestamp"), (F.round("rsi", 6) + 0.0).alias("rsi_14"))
+
+
+TICKS = "WITH b AS (SELECT event_type AS symbol, ts AS timestamp, value AS close FROM events)"
+CLOSED = " WHERE date_trunc('milliseconds', timestamp) <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 HOURS FROM events)"
+add("f8_stream_ema_shuffled", _shuffled_means, f"SELECT * FROM ({TICKS} SELECT symbol, timestamp, round({sema('close', 12)}, 6) + 0.0 AS ema FROM b)" + CLOSED)
+add("f8_stream_rsi_shuffled", _shuffled_strength, "SELECT * FROM (" + layers(*RSI, base=TICKS).format(shown_sql("rsi_14")) + ")" + CLOSED)
+
 # ---------------------------------------------------------------- recipes
 
 

@@ -1,48 +1,62 @@
-"""Structured Streaming over ticks and bars: ingest, bars from ticks, running averages."""
+"""Structured Streaming over ticks and bars: ingest, bars from ticks, running means in event-time order."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..core import SECONDS, SERIES
 from ..sources import storage
 
 
-def tick_stream(spark: SparkSession, path: str, symbol: str, price: str, time: str = "ts", exchange: str = "local", files: int | None = None) -> DataFrame:
-    """Ticks (exchange, symbol, ts, price) of Parquet files, as they come, at most ``files`` in one micro-batch. Times become zoned in UTC, as watermarks need it."""
+def tick_stream(spark: SparkSession, path: str, symbol: str, price: str, time: str = "ts", exchange: str = "local", files: int | None = None, tie: str | None = None) -> DataFrame:
+    """Ticks (exchange, symbol, ts, price, seq) of Parquet files, as they come, at most ``files`` in one micro-batch.
+
+    ``tie`` is a whole number that tells ticks of one time apart and orders them,
+    such as a trade's id; without it ``seq`` is 0. Times become zoned in UTC, as
+    watermarks need it.
+    """
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     raw = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
-    return raw.select(F.lit(exchange).alias("exchange"), F.col(symbol).alias("symbol"), F.to_utc_timestamp(F.col(time).cast("timestamp"), F.current_timezone()).alias("ts"), F.col(price).cast("double").alias("price"))
+    seq = F.lit(0) if tie is None else F.col(tie)
+    return raw.select(F.lit(exchange).alias("exchange"), F.col(symbol).alias("symbol"), F.to_utc_timestamp(F.col(time).cast("timestamp"), F.current_timezone()).alias("ts"), F.col(price).cast("double").alias("price"), seq.cast("long").alias("seq"))
 
 
 def bar_stream(ticks: DataFrame, step: str, delay: str | None = "10 minutes") -> DataFrame:
-    """Bars of closed steps in append mode; ticks later than ``delay`` are dropped. None: the ticks have a watermark."""
-    at = F.window("ts", f"{SECONDS[step]} seconds")
+    """Bars of closed steps in append mode; ticks later than ``delay`` are dropped. None: the ticks have a watermark.
+
+    Ticks of one time are ordered by ``seq``, then price.
+    """
+    at, order = F.window("ts", f"{SECONDS[step]} seconds"), F.struct("ts", "seq", "price")
     g = (ticks if delay is None else ticks.withWatermark("ts", delay)).groupBy("exchange", "symbol", at.alias("_w"))
-    bars = g.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("price").alias("volume"))
+    bars = g.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("price").alias("volume"))
     return bars.select("exchange", "symbol", F.lit(step).alias("interval"), F.col("_w.start").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", "volume")
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process all there is, exactly once, into Parquet files, and read them."""
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _rocksdb(stream.sparkSession):
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def ingest_stream(ticks: DataFrame, root: str, scratch: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    """Ticks as bars of 1s: duplicates within the watermark go, a second is written when it is closed, each micro-batch into the months it touches.
+    """Ticks as bars of 1s: repeated ticks within the watermark go, a second is written when it is closed, each micro-batch into the months it touches.
 
-    A batch that is run again writes the same rows, so restarts do no harm.
+    A tick is repeated if time, ``seq`` and price are the same, so trades of one
+    time at different prices all count, and those of one price do if ``seq``
+    tells them apart. A batch that is run again writes the same rows, so
+    restarts do no harm.
     """
-    bars = bar_stream(ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["exchange", "symbol", "ts"]), "1s", None)
+    bars = bar_stream(ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["exchange", "symbol", "ts", "seq", "price"]), "1s", None)
 
     def merge(batch: DataFrame, number: int) -> None:
         storage.upsert(batch.sparkSession, root, batch, f"{scratch}/{number}")
@@ -50,37 +64,120 @@ def ingest_stream(ticks: DataFrame, root: str, scratch: str, checkpoint: str, de
     bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which ordered state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+# ----------------------------------------------------------- ordered state
+
+#: Seconds of event time that are buffered, and later sorted, together. Shorter ones take less memory and more steps.
+GRAIN = 600
+
+#: Values of ticks in order, and what the ticks before have left: the new values, and what is left now.
+Step = Callable[[np.ndarray, tuple | None], tuple[np.ndarray, tuple]]
+
+
+class Ordered(StatefulProcessor):
+    """Puts the ticks of a symbol in event-time order and runs a step over them.
+
+    Ticks wait in a map from stretches of event time to their ticks, so that
+    neither the state nor a frame ever holds a symbol's whole stream. When the
+    watermark passes, a timer has all stretches up to it sorted (by time, then
+    ``seq``, then price) and stepped through one after another. Ticks at or before
+    the watermark of the micro-batch in which they come are late and dropped.
+    """
+
+    def __init__(self, step: Step, name: str, state: str, grain: int = GRAIN) -> None:
+        self.run, self.name, self.state, self.grain = step, name, state, grain * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "stretch long", "ts array<long>, seq array<long>, price array<double>")
+        self.left = handle.getValueState("left", self.state)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark, first = timerValues.getCurrentWatermarkInMs(), None
+        for frame in rows:
+            ts = frame["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            keep = ts // 1000 > mark
+            ts, seq, price = ts[keep], frame["seq"].to_numpy()[keep], frame["price"].to_numpy(dtype=float)[keep]
+            stretch = ts // self.grain
+            for s in np.unique(stretch):
+                own = stretch == s
+                held = self.waiting.getValue((int(s),)) or ([], [], [])
+                self.waiting.updateValue((int(s),), ([*held[0], *ts[own].tolist()], [*held[1], *seq[own].tolist()], [*held[2], *price[own].tolist()]))
+            if len(ts):
+                first = min(int(ts.min()) // 1000, first if first is not None else 1 << 62)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, later = timerValues.getCurrentWatermarkInMs(), None
+        for (s,) in sorted(tuple(k) for k in self.waiting.keys()):
+            if s * self.grain // 1000 > mark:
+                later = s * self.grain // 1000 if later is None else later
+                continue
+            ts, seq, price = (np.array(x) for x in self.waiting.getValue((s,)))
+            order = np.lexsort((price, seq, ts))
+            ts, seq, price = ts[order], seq[order], price[order]
+            due = int(np.searchsorted(ts // 1000, mark, side="right"))
+            if due == len(ts):
+                self.waiting.removeKey((s,))
+            else:
+                self.waiting.updateValue((s,), (ts[due:].tolist(), seq[due:].tolist(), price[due:].tolist()))
+                later = int(ts[due]) // 1000 if later is None else later
+            if due:
+                out, left = self.run(price[:due], tuple(self.left.get()) if self.left.exists() else None)
+                self.left.update(left)
+                yield pd.DataFrame({"exchange": key[0], "symbol": key[1], "ts": pd.to_datetime(ts[:due], unit="us"), "price": price[:due], "seq": seq[:due], self.name: out})
+        if later is not None:
+            self.handle.registerTimer(later)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(ticks: DataFrame, step: Step, name: str, state: str, delay: str, grain: int) -> DataFrame:
+    out = f"exchange string, symbol string, ts timestamp, price double, seq long, {name} double"
+    return ticks.withWatermark("ts", delay).groupBy("exchange", "symbol").transformWithStateInPandas(Ordered(step, name, state, grain), out, "Append", "EventTime")
+
+
 def _means(x: np.ndarray, before: float | None, alpha: float) -> np.ndarray:
     """Exponential means of values that go on from the mean ``before``."""
     held = x if before is None else np.concatenate(([before], x))
     return pd.Series(held).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(held) - len(x) :]
 
 
-def _stateful(ticks: DataFrame, step: Callable[[np.ndarray, tuple | None], tuple[np.ndarray, tuple]], name: str, state: str) -> DataFrame:
-    """One value for each tick in time order of its symbol, from the prices of a micro-batch and what the last one left."""
+def ema_stream(ticks: DataFrame, span: int, delay: str = "0 seconds", grain: int = GRAIN) -> DataFrame:
+    """Running exponential mean of the price of each symbol in event-time order; a tick comes out when the watermark has passed it.
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        out, left = step(rows["price"].to_numpy(dtype=float), held.get if held.exists else None)
-        held.update(left)
-        yield pd.DataFrame({"exchange": key[0], "symbol": key[1], "ts": rows["ts"].to_numpy(), "price": rows["price"].to_numpy(), name: out})
-
-    return ticks.groupBy("exchange", "symbol").applyInPandasWithState(run, f"exchange string, symbol string, ts timestamp, price double, {name} double", state, "append", GroupStateTimeout.NoTimeout)
-
-
-def ema_stream(ticks: DataFrame, span: int) -> DataFrame:
-    """Running exponential mean of the price of each symbol; the state is the last value."""
+    ``delay`` is how late a tick may come: with 0 seconds none may come later than
+    a tick of an earlier micro-batch. Other state than the last mean is the ticks
+    that wait.
+    """
     alpha = 2.0 / (span + 1.0)
 
     def step(x: np.ndarray, held: tuple | None) -> tuple[np.ndarray, tuple]:
         y = _means(x, held and held[0], alpha)
         return y, (float(y[-1]),)
 
-    return _stateful(ticks, step, "ema", "y double")
+    return _ordered(ticks, step, "ema", "y double", delay, grain)
 
 
-def rsi_stream(ticks: DataFrame, period: int = 14) -> DataFrame:
-    """Running relative strength (span weights) of each symbol; the state is the last price and both means."""
+def rsi_stream(ticks: DataFrame, period: int = 14, delay: str = "0 seconds", grain: int = GRAIN) -> DataFrame:
+    """Running relative strength (span weights) of each symbol in event-time order; the state is the last price and both means, and ticks that wait."""
     alpha = 2.0 / (period + 1.0)
 
     def step(x: np.ndarray, held: tuple | None) -> tuple[np.ndarray, tuple]:
@@ -91,7 +188,7 @@ def rsi_stream(ticks: DataFrame, period: int = 14) -> DataFrame:
             out = np.where((loss == 0) & (gain > 0), 100.0, 100.0 - 100.0 / (1.0 + gain / loss))
         return np.where(np.isnan(out), None, out), (float(x[-1]), float(gain[-1]), float(loss[-1]))
 
-    return _stateful(ticks, step, "rsi", "price double, gain double, loss double")
+    return _ordered(ticks, step, "rsi", "price double, gain double, loss double", delay, grain)
 
 
 def newest_bars(df: DataFrame, since: DataFrame) -> DataFrame:
