@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..core import SERIES, emas, spread, true_range
+from ..core import BLOCK, SERIES, emas, in_blocks, is_blocked, spread, true_range
 from ..operators import indicators as I
 
 Indicator = Callable[..., DataFrame]
@@ -35,15 +35,22 @@ class Indicators:
     def register(self, name: str, f: Indicator) -> None:
         self._known[name] = f
 
-    def register_pandas(self, name: str, f: Callable[[pd.DataFrame], pd.DataFrame], added: str) -> None:
-        """A function of one series as a pandas frame in time order; ``added`` is the DDL of the columns it adds.
+    def register_pandas(self, name: str, f: Callable[[pd.DataFrame], pd.DataFrame], added: str, history: int | None = None, size: int = BLOCK) -> None:
+        """A function of bars as a pandas frame in time order; ``added`` is the DDL of the columns it adds.
 
-        A whole series is one group of one task, so this suits many series of bounded length.
+        With ``history`` the function looks back so many rows at most and not
+        ahead; it then gets blocks of ``size`` rows with the rows before them,
+        so a series of any length takes bounded memory and many tasks. Without,
+        a whole series is one group of one task, which suits series of bounded
+        length.
         """
 
-        def apply(df: DataFrame) -> DataFrame:
+        def whole(df: DataFrame) -> DataFrame:
             schema = f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, {added}"
-            return df.groupBy(*SERIES).applyInPandas(lambda part: f(part.sort_values("timestamp")), schema)
+            return df.groupBy(*SERIES).applyInPandas(lambda part: f(part.sort_values("timestamp", kind="stable")), schema)
+
+        def apply(df: DataFrame) -> DataFrame:
+            return whole(df) if history is None or is_blocked(df) else in_blocks(df, whole, history, size)
 
         self._known[name] = apply
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..core import SERIES, check, check_period, div, ema, emas, ewms, flag, framed, num, prev, roll, rows, running, series, true_range, typical
+from .quality import quantiles
 
 # ------------------------------------------------------- moving averages
 
@@ -328,11 +329,12 @@ def mom(df: DataFrame, period: int = 10, column: str = "close") -> DataFrame:
 
 def oscillator_report(df: DataFrame, column: str) -> DataFrame:
     """For each series: values, nulls, extreme values (outside three quartile ranges), and whether all are null."""
-    q = df.groupBy(*SERIES).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q = q.select(*SERIES, F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3"))
+    q = quantiles(df, column).select("_series", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3"))
     x, span = F.col(column), F.col("_q3") - F.col("_q1")
     extreme = (x < F.col("_q1") - 3 * span) | (x > F.col("_q3") + 3 * span)
-    return df.join(q, SERIES).groupBy(*SERIES).agg(F.count(x).alias("n_values"), F.count_if(x.isNull()).alias("n_null"), F.count_if(extreme).alias("n_extreme"), (F.count(x) == 0).alias("all_null"))
+    g = df.withColumn("_series", F.struct(*SERIES)).join(q, "_series", "left").groupBy("_series")
+    g = g.agg(F.count(x).alias("n_values"), F.count_if(x.isNull()).alias("n_null"), F.count_if(extreme).alias("n_extreme"), (F.count(x) == 0).alias("all_null"))
+    return g.select("_series.*", "n_values", "n_null", "n_extreme", "all_null")
 
 
 # ---------------------------------------------------------- volatility

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import OHLCV, PRICES, SECONDS, SERIES, check, div, flag, from_ms, prev, scratch_path, series
+from ..core import OHLCV, PRICES, SECONDS, SERIES, check, div, flag, from_ms, prev, series, written
 
 COMPLETE, GOOD = 0.99, 0.95
 MAX_DUPLICATES = 0.01
@@ -104,29 +104,87 @@ def anomalies(df: DataFrame, threshold: float = 3.0) -> DataFrame:
     return df.drop(*[f"_{n}_{c}" for c in ("price_change", "volume") for n in "ms"])
 
 
+#: A sketch of bounded size brackets a quantile: ranks are off by at most one in so many rows.
+ACCURACY = 5000
+
+
+def quantiles(df: DataFrame, column: str, ends: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
+    """``_series`` (a struct of the series keys) and ``_q``: exact quantiles of a column, between ranks by proportion; series without values don't appear.
+
+    A selection in two scans, all series at once. A sketch gives for each
+    quantile two values between which it lies; then rows below them are only
+    counted, and only values between, counted by value, meet in a window. So no
+    task sees the values of a long series. Where a bracket turns out to miss its
+    rank (a sketch promises less after merging), those series are sorted.
+    """
+    out = written(_selected(df, column, ends), "quantiles")
+    missed = out.where("_q IS NULL").select("_series")
+    if missed.limit(1).count():
+        rows = df.where(F.col(column).isNotNull()).withColumn("_series", F.struct(*SERIES)).join(missed, "_series", "left_semi")
+        again = rows.groupBy("_series").agg(F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, ends))).alias("_q"))
+        out = out.where("_q IS NOT NULL").unionByName(again)
+    return out
+
+
+def _selected(df: DataFrame, column: str, ends: tuple[float, ...]) -> DataFrame:
+    """``quantiles``, null where a bracket missed."""
+    rows = df.where(F.col(column).isNotNull()).select(F.struct(*SERIES).alias("_series"), F.col(column).cast("double").alias("_v"))
+    marks = [min(max(e + d, 0.0), 1.0) for e in ends for d in (-2.0 / ACCURACY, 2.0 / ACCURACY)]
+    sketch = rows.groupBy("_series").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, marks)), ACCURACY).alias("_m"))
+    v, m = F.col("_v"), F.col("_m")
+    near = [F.when((v >= m[2 * i]) & (v <= m[2 * i + 1]), F.struct(F.lit(i).alias("i"), v.alias("v"))).when(v < m[2 * i], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v"))) for i in range(len(ends))]
+    seen = rows.join(sketch, "_series").select("_series", "_n", F.explode(F.filter(F.array(*near), lambda p: p.isNotNull())).alias("_p"))
+    counts = seen.groupBy("_series", F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy("_series", "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_c").over(upto))
+    place = F.element_at(F.array(*map(F.lit, ends)), F.col("_i") + 1) * (F.col("_n") - 1)
+    low, high = F.floor(place), F.ceil(place)
+    found = counts.groupBy("_series", "_i", "_n").agg(
+        F.min(F.when(F.col("_upto") > low, F.col("_v"))).alias("_low"), F.min(F.when(F.col("_upto") > high, F.col("_v"))).alias("_high"), (F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0)) <= F.min(low)).alias("_in")
+    )
+    between = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((high - place) * F.col("_low") + (place - low) * F.col("_high"))
+    found = found.withColumn("_q", F.when(F.col("_in"), between))
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"])
+    out = found.groupBy("_series").agg(sorted_.alias("_q"))
+    return out.withColumn("_q", F.when((F.size("_q") == len(ends)) & ~F.exists("_q", lambda x: x.isNull()), F.col("_q")))
+
+
 def remove_outliers(df: DataFrame, method: str = "iqr", factor: float = 1.5, columns: tuple[str, ...] = tuple(OHLCV), accuracy: int | None = None) -> DataFrame:
     """Drop outliers column after column; each column's limits come from the rows that the ones before have left.
 
-    The limits of each step, a short row for each series, are written to the
-    shared folder, so a step costs one scan. Quartiles are exact, which holds a
-    series' different values in one task; with ``accuracy`` they are estimated
-    by a sketch of bounded size.
+    The bars are written once, so a step reads only the series keys and the
+    columns that it and the steps before it check. Limits of all steps stand in
+    one table with a row for each series. Quartiles are exact (``quantiles``);
+    with ``accuracy`` they are estimated by a sketch.
     """
-    for c in columns:
-        if method == "iqr":
-            ends = F.array(F.lit(0.25), F.lit(0.75))
-            q = df.groupBy(*SERIES).agg((F.percentile(c, ends) if accuracy is None else F.percentile_approx(c, ends, accuracy)).alias("_q"))
+    if method not in ("iqr", "zscore"):
+        raise ValueError(f"unknown method: {method}")
+    bars, limits, keep = written(df, "bars"), None, F.lit(True)
+
+    def left() -> DataFrame:
+        rows = bars.withColumn("_series", F.struct(*SERIES))
+        return rows if limits is None else rows.join(limits, "_series").where(keep)
+
+    for i, c in enumerate(columns):
+        a, z = f"_a{i}", f"_z{i}"
+
+        def limited(q: DataFrame) -> DataFrame:
             span = F.col("_q")[1] - F.col("_q")[0]
-            keep = (F.col(c) >= F.col("_q")[0] - factor * span) & (F.col(c) <= F.col("_q")[1] + factor * span)
-        elif method == "zscore":
-            q = df.groupBy(*SERIES).agg(F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias("_q"))
-            keep = ~flag(F.col("_q.s") > 0) | (F.abs(F.col(c) - F.col("_q.m")) / F.col("_q.s") < factor)
+            q = q.select("_series", (F.col("_q")[0] - factor * span).alias(a), (F.col("_q")[1] + factor * span).alias(z))
+            return written(q if limits is None else limits.join(q, "_series"), "limits")
+
+        if method == "zscore":
+            q = left().groupBy("_series").agg(F.avg(c).alias(a), F.stddev_samp(c).alias(z))
+            limits, more = written(q if limits is None else limits.join(q, "_series"), "limits"), ~flag(F.col(z) > 0) | (F.abs(F.col(c) - F.col(a)) / F.col(z) < factor)
         else:
-            raise ValueError(f"unknown method: {method}")
-        path = scratch_path(df.sparkSession, "limits")
-        q.write.parquet(path)
-        df = df.join(df.sparkSession.read.schema(q.schema).parquet(path), SERIES).where(keep).drop("_q")
-    return df
+            ends, more = F.array(F.lit(0.25), F.lit(0.75)), (F.col(c) >= F.col(a)) & (F.col(c) <= F.col(z))
+            if accuracy is not None:
+                limits = limited(left().groupBy("_series").agg(F.percentile_approx(c, ends, accuracy).alias("_q")))
+            else:
+                found = limited(_selected(left(), c, (0.25, 0.75)))
+                limits = limited(quantiles(left(), c)) if found.where(F.col(a).isNull()).limit(1).count() else found
+        keep = keep & more
+    return left().select(*df.columns)
 
 
 def covers_range(df: DataFrame, start: str, end: str) -> DataFrame:

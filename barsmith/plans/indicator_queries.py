@@ -229,6 +229,16 @@ def _custom(b: DataFrame) -> DataFrame:
 
 
 on_bars("p5_custom", _custom, [{"spread": "high - low", "climb": D1}], "spread climb")
+
+
+def _custom_pandas(b: DataFrame) -> DataFrame:
+    """A user's rolling function in pandas, on blocks of 500 bars with the four before."""
+    r = R.Indicators()
+    r.register_pandas("swing", lambda part: part.assign(swing=part["high"].rolling(5).max() - part["low"].rolling(5).min()), "swing double", history=4, size=500)
+    return r.calculate(b, "swing")
+
+
+on_bars("p5_custom_pandas", _custom_pandas, [{"swing": f"{sroll('max', 'high', 5)} - {sroll('min', 'low', 5)}"}], "swing")
 on_bars("p6_common", lambda b: R.add_common(b), [*RSI, *BOLL, *MACD, *ATR, *OBV, {**{f"sma_{n}": sroll("avg", "close", n) for n in (5, 10, 20, 50)}, **{f"ema_{n}": sema("close", n) for n in (5, 10, 20, 50)}, "volume_ma_20": sroll("avg", "volume", 20)}], f"sma_5 sma_50 ema_5 ema_50 {MACD_COLS} rsi_14 {BOLL_COLS} atr_14 volume_ma_20 obv", digits=4)
 on_bars("p7_trend", lambda b: R.add_trend(b), [*MACD, {f"ema_{n}": sema("close", n) for n in (20, 50, 200)}], f"ema_20 ema_50 ema_200 {MACD_COLS}")
 on_bars("p8_momentum", lambda b: R.add_momentum(b), [*RSI, *STOCH, *CCI, {"roc_12": f"100 * {sdiv(f'close - {slag("close", 12)}', slag('close', 12))}"}], "rsi_14 stoch_k stoch_d cci_20 roc_12")

@@ -17,6 +17,8 @@ from ..operators.queries import in_range, newest
 
 KEYS = [*SERIES, "year", "month"]
 COMPRESSION = "snappy"
+#: Rows of a row group, bytes of a file that compaction aims at, and tasks that it writes with at most.
+ROW_GROUP, TARGET_BYTES, MOST_TASKS = 100_000, 128 << 20, 10_000
 
 
 def with_months(df: DataFrame) -> DataFrame:
@@ -76,7 +78,13 @@ def read_legacy(spark: SparkSession, root: str) -> DataFrame:
 def write_bars(df: DataFrame, root: str, compression: str = COMPRESSION, mode: str = "overwrite") -> None:
     """Bars of any series, one shuffle by series and month, sorted by time inside files; only months in ``df`` are replaced."""
     rows = with_months(df).select(*[c for c in df.columns if c not in ("year", "month")], "year", "month")
-    rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp").write.option("compression", compression).option("partitionOverwriteMode", "dynamic").mode(mode).partitionBy(*KEYS).parquet(root)
+    _write_months(rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp"), root, compression, mode)
+
+
+def _write_months(sorted_rows: DataFrame, root: str, compression: str = COMPRESSION, mode: str = "overwrite", rows: int = 0) -> None:
+    """Replace the months in ``sorted_rows``; row groups hold ROW_GROUP rows at most, files ``rows`` (0: any number)."""
+    writer = sorted_rows.write.option("compression", compression).option("parquet.block.row.count.limit", ROW_GROUP).option("maxRecordsPerFile", rows)
+    writer.option("partitionOverwriteMode", "dynamic").mode(mode).partitionBy(*KEYS).parquet(root)
 
 
 def partition_records(df: DataFrame) -> DataFrame:
@@ -144,10 +152,37 @@ def delete_range(spark: SparkSession, root: str, start: str, end: str, scratch:
     return counts
 
 
-def compact(spark: SparkSession, root: str, scratch: str, condition: str = "true") -> None:
-    """Rewrite the chosen months as one sorted file each."""
-    read_bars(spark, root).where(condition).write.mode("overwrite").parquet(scratch)
-    write_bars(spark.read.parquet(scratch).drop("year", "month"), root)
+def file_sizes(spark: SparkSession, root: str, condition: str = "true") -> DataFrame:
+    """Series, year, month, path, bytes and rows of each file of the chosen months."""
+    files = read_bars(spark, root).where(condition).select(*KEYS, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+    return files.groupBy(*KEYS, "path").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+
+
+def compact(spark: SparkSession, root: str, scratch: str, condition: str = "true", target: int = TARGET_BYTES) -> DataFrame:
+    """Merge small files of the chosen months into files of about ``target`` bytes; returns the months that were rewritten.
+
+    A month is rewritten only if its bytes fit into fewer files than it has and
+    at least two of them are below three quarters of the target; other months
+    aren't read. Its rows are dealt to as many stretches of time as files are
+    wanted, each sorted, one task a file. A month is replaced as a whole from a
+    snapshot, so a run that breaks off loses nothing.
+    """
+    files = file_sizes(spark, root, condition)
+    months = files.groupBy(*KEYS).agg(F.sum("bytes").alias("_bytes"), F.count(F.lit(1)).alias("files_before"), F.sum("rows").alias("rows_before"), F.count_if(F.col("bytes") < 0.75 * target).alias("_small"))
+    months = months.withColumn("files_after", F.ceil(F.col("_bytes") / target)).where("files_after < files_before AND _small >= 2")
+    months.select(*KEYS, "files_before", "rows_before", "files_after").write.mode("overwrite").parquet(f"{scratch}/months")
+    months = spark.read.parquet(f"{scratch}/months")
+    read_bars(spark, root).where(condition).join(months.select(*KEYS), KEYS, "left_semi").write.mode("overwrite").parquet(f"{scratch}/rows")
+    rows = spark.read.parquet(f"{scratch}/rows")
+    span = rows.groupBy(*KEYS).agg(F.min(F.unix_micros(F.col("timestamp").cast("timestamp"))).alias("_a"), F.max(F.unix_micros(F.col("timestamp").cast("timestamp"))).alias("_z"))
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    held = rows.join(months.select(*KEYS, "files_after"), KEYS).join(span, KEYS).withColumn("_part", F.floor((at - F.col("_a")) / (F.col("_z") - F.col("_a") + 1) * F.col("files_after")))
+    total, most = months.agg(F.coalesce(F.sum("files_after"), F.lit(0)), F.max(F.ceil(F.col("rows_before") / F.col("files_after")))).first()
+    if total:
+        # A task that happens to hold two stretches of a month begins a new file where one would be half as long again.
+        dealt = held.repartition(min(total, MOST_TASKS), *KEYS, "_part").sortWithinPartitions(*KEYS, "_part", "timestamp")
+        _write_months(dealt.select("timestamp", *OHLCV, *KEYS), root, rows=most + most // 2)
+    return months.drop("rows_before")
 
 
 def latest(df: DataFrame, now: str, limit: int = 1000) -> DataFrame:
