@@ -499,6 +499,12 @@ def crossunder(df: DataFrame, a: str, b: str, name: str = "crossunder") -> DataF
     return crossover(df, a, b, name, up=False)
 
 
+def with_means(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``_mean_c`` of each series, from an aggregate that is joined back, so that no task gathers a series."""
+    means = df.groupBy(F.struct(*SERIES).alias("_series")).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    return df.withColumn("_series", F.struct(*SERIES)).join(means, "_series").drop("_series")
+
+
 def peaks(df: DataFrame, column: str = "close", order: int = 3, threshold: float | None = None) -> DataFrame:
     """``is_peak`` and ``is_trough``: strictly beyond up to ``order`` neighbours on both sides; never the first or last row."""
     x = F.col(column)
@@ -507,8 +513,9 @@ def peaks(df: DataFrame, column: str = "close", order: int = 3, threshold: float
     lo = (x < F.min(column).over(before)) & (x < F.min(column).over(after))
     df = df.withColumn("is_peak", flag(hi)).withColumn("is_trough", flag(lo))
     if threshold is not None:
-        mean = F.avg(column).over(Window.partitionBy(*SERIES))
+        df, mean = with_means(df, [column]), F.col(f"_mean_{column}")
         df = df.withColumn("is_peak", F.col("is_peak") & (x > mean + threshold)).withColumn("is_trough", F.col("is_trough") & (x < mean - threshold))
+        df = df.drop(f"_mean_{column}")
     return df
 
 
@@ -539,18 +546,24 @@ def smooth(df: DataFrame, column: str = "close", method: str = "sma", window: in
     if method != "savgol" or window % 2 == 0 or window < 3:
         raise ValueError("method must be sma, ema or savgol (with an odd window of 3 or more)")
     half, w = window // 2, series()
-    df = df.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*SERIES)))
+    df = df.withColumn("_rn", F.row_number().over(w) - 1)
 
     def shifted(k: int) -> Column:
         return F.lag(column, -k).over(w) if k < 0 else F.lead(column, k).over(w) if k > 0 else F.col(column)
 
-    middle = sum((c * shifted(i - half) for i, c in enumerate(_savgol(window, half))), F.lit(0.0))
-    out = F.when((F.col("_rn") >= half) & (F.col("_rn") < F.col("_cnt") - half), middle)
+    def follow(k: int) -> Column:
+        """Whether k more rows follow; a series is never counted."""
+        return F.lead(F.lit(1), k).over(w).isNotNull() if k else F.lit(True)
+
+    def fitted(at: int) -> Column:
+        return sum((c * shifted(i - at) for i, c in enumerate(_savgol(window, at))), F.lit(0.0))
+
+    out = F.when((F.col("_rn") >= half) & follow(half), fitted(half))
     for at in range(half):
-        out = out.when(F.col("_rn") == at, sum((c * shifted(i - at) for i, c in enumerate(_savgol(window, at))), F.lit(0.0)))
+        out = out.when((F.col("_rn") == at) & follow(window - 1 - at), fitted(at))
         back = window - 1 - at
-        out = out.when(F.col("_rn") == F.col("_cnt") - 1 - at, sum((c * shifted(i - back) for i, c in enumerate(_savgol(window, back))), F.lit(0.0)))
-    return df.withColumn(name, F.when(F.col("_cnt") >= window, out)).drop("_rn", "_cnt")
+        out = out.when((F.col("_rn") >= back) & follow(at) & ~follow(at + 1), fitted(back))
+    return df.withColumn(name, out).drop("_rn")
 
 
 def fill(df: DataFrame, method: str = "ffill", columns: list[str] | None = None) -> DataFrame:
@@ -561,11 +574,12 @@ def fill(df: DataFrame, method: str = "ffill", columns: list[str] | None = None)
     rules = {
         "ffill": lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "bfill": lambda c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        "mean": lambda c: F.coalesce(F.col(c), F.avg(c).over(Window.partitionBy(*SERIES))),
+        "mean": lambda c: F.coalesce(F.col(c), F.col(f"_mean_{c}")),
     }
     if method not in rules:
         raise ValueError(f"unknown method: {method}")
-    return df.withColumns({c: rules[method](c) for c in columns})
+    held = with_means(df, columns) if method == "mean" else df
+    return held.withColumns({c: rules[method](c) for c in columns}).select(*df.columns)
 
 
 def drop_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
