@@ -12,9 +12,18 @@ a toxic sentence, all of a clean one). Since the landmarks are fixed, the
 trained function of a word is one weighted sum over its own triples divided by
 its norm, which is exact and costs one table lookup for each triple.
 
-A document's score is a calibrated logistic function of its most toxic word and
-of how many of its words are on the toxic side; the calibration is fitted on
-documents that the machine which scored them has not seen.
+A document's evidence are its words on the toxic side, each weighed by how much
+its nearest landmark tells in the training texts (log of the share of toxic texts
+with such words over that of clean ones). The score is a logistic function of the
+strongest word and of the sum, with weights that can't be negative, and a rising
+map to shares; so more evidence never lowers it. Both are fitted on documents
+that the machine which scored them has not seen.
+
+An insult may also be cut by spaces and marks into several words, or stand inside
+of a longer word. Landmarks that only toxic texts hold are therefore looked for
+in the letters of the whole text, with up to GAP marks or spaces between two of
+them; a stretch that is found so is scored by the kernel like a word, its marks
+and spaces left out.
 """
 
 from __future__ import annotations
@@ -37,8 +46,16 @@ LONGEST = 14
 #: Labelled rows that are read for the fit: at most so many of either class.
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
 LANDMARKS = 96
-#: Decision values past which words of a text are counted.
-MARGINS = (0.0, 0.4, 0.75)
+#: The most that a landmark weighs, and from where on it is looked for across words.
+MOST, CLEAR = 6.0, 4.5
+#: Marks and spaces between two letters of an insult.
+GAP = 3
+#: Landmarks of which KIN are alike by so much make no place for another one like them.
+ALIKE, KIN = 0.5, 6
+#: Decision values that are no evidence yet.
+FLOOR = 0.3
+#: Decision values from which a word tells how much its landmark is worth.
+SURE = 0.7
 #: Single letters in a row stand as one word.
 _SPACED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -159,13 +176,46 @@ def norms(rows: np.ndarray, chunk: int = 2048) -> np.ndarray:
     return out
 
 
+@dataclass
+class Landmarks:
+    """Words that the machine knows others by."""
+
+    words: list[str]
+    weights: np.ndarray
+    triples: np.ndarray  # all triples of landmarks, ascending
+    features: np.ndarray  # of each landmark, by triple, of length 1
+    reliance: np.ndarray  # how much each tells, from 0 to MOST
+
+    def __iter__(self) -> Iterator:
+        """Words and weights."""
+        return iter((self.words, self.weights))
+
+    def nearest(self, words: list[str]) -> np.ndarray:
+        """The most similar landmark of each word."""
+        out = np.zeros(len(words), dtype=np.int64)
+        for at in range(0, len(words), 2000):
+            rows, _ = encode(words[at : at + 2000])
+            who, what, weight = feature_rows(rows)
+            place = np.searchsorted(self.triples, what)
+            place[place == len(self.triples)] = 0
+            on = self.triples[place] == what
+            like = np.zeros((len(rows), len(self.triples)))
+            np.add.at(like, (who[on], place[on]), weight[on])
+            out[at : at + 2000] = np.argmax(like @ self.features.T, axis=1)
+        return out
+
+    def pattern(self) -> re.Pattern | None:
+        clear = [w for w, r in zip(self.words, self.reliance, strict=True) if r >= CLEAR and w.isalpha() and len(w) > 3]
+        return re.compile("|".join(rf"[\W_]{{0,{GAP}}}".join(w) for w in clear)) if clear else None
+
+
 @dataclass
 class Model:
     table: np.ndarray  # weight of each triple of symbols
     bias: float
-    calibration: np.ndarray  # intercept, most toxic word, logs of counts of words past each margin
+    calibration: np.ndarray  # intercept and weights of the features of ``pool``
     steps: tuple[np.ndarray, np.ndarray] | None = None  # rising map from that sum to a probability
-    landmarks: tuple[list[str], np.ndarray] | None = None  # landmarks and their weights, from which the table was made
+    landmarks: Landmarks | None = None  # from which the table was made
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Decision values of trimmed words; empty words are as clean as can be."""
@@ -186,11 +236,21 @@ class Model:
                 np.maximum.at(out, where[chunk], total / norms(rows) + self.bias)
         return out
 
-    def evidence(self, top: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.calibration[0] + np.column_stack([top, np.log1p(counts)]) @ self.calibration[1:]
+    def strengths(self, words: list[str], scores: np.ndarray) -> np.ndarray:
+        """Evidence of trimmed words: their decision values above FLOOR, times what their nearest landmark tells."""
+        out = np.maximum(scores - FLOOR, 0.0) / (1 - FLOOR)
+        told = np.flatnonzero(out > 0)
+        if len(told) and self.landmarks is not None:
+            # Of a long word the piece that scores highest counts.
+            parts = [max(parts, key=lambda p, g=dict(zip(parts, self.word_scores(parts), strict=True)): g[p]) if len(parts := pieces(words[i])) > 1 else parts[0] for i in told]
+            out[told] *= self.landmarks.reliance[self.landmarks.nearest(parts)]
+        return out
+
+    def evidence(self, features: np.ndarray) -> np.ndarray:
+        return self.calibration[0] + features @ self.calibration[1:]
 
-    def probability(self, top: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        z = np.clip(self.evidence(top, counts), -30, 30)
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        z = np.clip(self.evidence(features), -30, 30)
         plain = 1.0 / (1.0 + np.exp(-z))
         # A small share of the plain logistic keeps the order where the map is flat.
         return plain if self.steps is None else 0.98 * np.interp(z, *self.steps) + 0.02 * plain
@@ -226,6 +286,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def _rising_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of which none but the first is negative: features that would lower the score are left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = _logistic(x[:, used], y)
+        if not used or w[1:].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *[i + 1 for i in used]]] = w
+            return out
+        used.pop(int(np.argmin(w[1:])))
+
+
 def _rising(z: np.ndarray, y: np.ndarray, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression: middles of pools of at least ``least`` rows, and their shares of ones."""
     order = np.argsort(z, kind="stable")
@@ -236,12 +308,16 @@ def _rising(z: np.ndarray, y: np.ndarray, least: int = 12) -> tuple[np.ndarray,
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + 0.1) / (p[1] + 0.2) for p in pools])
+    # Shares are drawn in a little, which may not undo the order.
+    return np.array([p[2] / p[1] for p in pools]), np.maximum.accumulate([(p[0] + 0.1) / (p[1] + 0.2) for p in pools])
 
 
-def pool(f: np.ndarray) -> tuple[float, list[int]]:
-    """Most toxic word of a text, and how many words are past each margin."""
-    return (float(f.max()), [int((f > m).sum()) for m in MARGINS]) if len(f) else (-1.0, [0] * len(MARGINS))
+def pool(strengths: np.ndarray, words: int) -> tuple[float, float, float]:
+    """Features of a text: its strongest word, the log of the sum of all, and the log of that sum in a hundred different words."""
+    if not len(strengths):
+        return 0.0, 0.0, 0.0
+    total = float(strengths.sum())
+    return float(strengths.max()), float(np.log1p(total)), float(np.log1p(100 * total / max(words, 20)))
 
 
 def _sentences(texts: list[str]) -> tuple[list[list[np.ndarray]], list[str]]:
@@ -255,8 +331,30 @@ def _bags(sentences: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.unique(np.concatenate(doc)) if doc else np.empty(0, np.int32) for doc in sentences]
 
 
+def _normed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Triples of words, ascending, and features of length 1 of each word by triple."""
+    rows, _ = encode(words)
+    who, what, weight = feature_rows(rows)
+    triples, column = np.unique(what, return_inverse=True)
+    dense = np.zeros((len(words), len(triples)))
+    np.add.at(dense, (who, column), weight)
+    return triples, dense / np.maximum(np.sqrt((dense**2).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _spread(order: list[int], vocabulary: list[str], count: int) -> list[int]:
+    """The first of ``order`` of which no more than KIN before are much alike, so that one family of words doesn't fill the landmarks."""
+    if not order:
+        return []
+    _, dense = _normed([vocabulary[i] for i in order])
+    taken: list[int] = []
+    for at in range(len(order)):
+        if len(taken) < count and int((dense[taken] @ dense[at] > ALIKE).sum()) < KIN:
+            taken.append(at)
+    return [order[at] for at in taken]
+
+
 def _machine(sentences: list[list[np.ndarray]], vocabulary: list[str], y: np.ndarray, flat: Model, rounds: int, landmarks: int) -> tuple[Model, np.ndarray]:
-    """Train on sentences with the labels of their texts; also the decision values of the whole vocabulary."""
+    """Train on sentences with the labels of their texts; also the evidence of the whole vocabulary."""
     bags = _bags(sentences)
     n1, n0 = int(y.sum()), int((~y).sum())
 
@@ -267,7 +365,7 @@ def _machine(sentences: list[list[np.ndarray]], vocabulary: list[str], y: np.nda
     p1, p0 = shares(y, n1), shares(~y, n0)
     z = (p1 - p0) / np.sqrt((p1 + 1 / n1) / n1 + (p0 + 1 / n0) / n0)
     order = np.argsort(-z, kind="stable")
-    chosen = [int(i) for i in order if 3 <= len(vocabulary[i]) <= LONGEST][: landmarks * 2 // 3]
+    chosen = _spread([int(i) for i in order[: 20 * landmarks] if 3 <= len(vocabulary[i]) <= LONGEST and z[i] > 0], vocabulary, landmarks * 2 // 3)
     f = z / max(z.max(), 1e-9) - 0.5
     rng = np.random.default_rng(7)
     model = flat
@@ -288,15 +386,10 @@ def _machine(sentences: list[list[np.ndarray]], vocabulary: list[str], y: np.nda
                 # Sentences of a toxic document that don't tell are left out.
                 for i in best[:1] + [i for i in best[1:4] if f[i] > (0 if turn else 0.2)]:
                     positive[i] += 1
-        m_rows, _ = encode([vocabulary[i] for i in marks])
-        who, what, weight = feature_rows(m_rows)
         # Only triples of landmarks have weights.
-        triples, column = np.unique(what, return_inverse=True)
+        triples, m_dense = _normed([vocabulary[i] for i in marks])
         place = np.full(SYMBOLS**3, -1, dtype=np.int64)
         place[triples] = np.arange(len(triples))
-        m_dense = np.zeros((len(marks), len(triples)))
-        np.add.at(m_dense, (who, column), weight)
-        m_dense /= np.maximum(np.sqrt((m_dense**2).sum(axis=1, keepdims=True)), 1e-12)
         gram = m_dense @ m_dense.T
         values, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(marks)))
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
@@ -325,9 +418,22 @@ def _machine(sentences: list[list[np.ndarray]], vocabulary: list[str], y: np.nda
         w, bias = _svm(x, side, counts / len(side) * 200)
         table = np.zeros(SYMBOLS**3)
         table[triples] = (root @ w) @ m_dense
-        model = Model(table, bias, flat.calibration, landmarks=([vocabulary[i] for i in marks], root @ w))
+        model = Model(table, bias, flat.calibration, landmarks=Landmarks([vocabulary[i] for i in marks], root @ w, triples, m_dense, np.ones(len(marks))))
         f = model.word_scores(vocabulary)
-    return model, f
+    # What each landmark tells: in how many texts of either kind words near it, or near one much like it, stand.
+    kin = model.landmarks.features @ model.landmarks.features.T > ALIKE
+    told = np.flatnonzero(f > SURE)
+    near = np.full(len(vocabulary), -1)
+    if len(told):
+        near[told] = model.landmarks.nearest([pieces(vocabulary[i])[0] for i in told])
+    held = np.zeros((2, len(model.landmarks.words)))
+    for bag, toxic in zip(bags, y, strict=True):
+        own = np.unique(near[bag])
+        held[int(toxic)] += kin[own[own >= 0]].any(axis=0)
+    share1, share0 = held[1] / n1, held[0] / n0
+    base = 0.01 * held.sum(axis=0) / (n0 + n1) + 0.5 / (n0 + n1)
+    model.landmarks.reliance = np.clip(np.log(share1 + base) - np.log(share0 + base), 0.0, MOST)
+    return model, model.strengths(vocabulary, f)
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int = LANDMARKS) -> Model:
@@ -339,7 +445,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int =
     """
     y = np.asarray(labels) == 1
     share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
-    flat = Model(np.zeros(SYMBOLS**3), -1.0, np.array([np.log(share / (1 - share)), 0.0, *[0.0] * len(MARGINS)]))
+    flat = Model(np.zeros(SYMBOLS**3), -1.0, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
     if not y.any() or y.all():
         return flat
     sentences, vocabulary = _sentences(texts)
@@ -349,7 +455,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int =
     half = np.zeros(len(y), dtype=bool)
     for side in (y, ~y):
         half[np.flatnonzero(side)[::2]] = True
-    top, count = np.full(len(y), -1.0), np.zeros((len(y), len(MARGINS)))
+    features = np.zeros((len(y), 3))
     model, f = _machine(sentences, vocabulary, y, flat, rounds, landmarks)
     for part in (half, ~half):
         seen = [sentences[i] for i in np.flatnonzero(part)]
@@ -359,9 +465,9 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int =
         else:
             g = f
         for i in np.flatnonzero(~part):
-            top[i], count[i] = pool(g[bags[i]])
-    model.calibration = _logistic(np.column_stack([top, np.log1p(count)]), y.astype(float))
-    model.steps = _rising(np.clip(model.evidence(top, count), -30, 30), y.astype(float))
+            features[i] = pool(g[bags[i]], len(bags[i]))
+    model.calibration = _rising_logistic(features, y.astype(float))
+    model.steps = _rising(np.clip(model.evidence(features), -30, 30), y.astype(float))
     return model
 
 
@@ -393,29 +499,40 @@ SLICE, REMEMBER = 1000, 300_000
 
 
 class Scorer:
-    """Scores of many texts; remembers the decision values of words it has seen."""
+    """Scores of many texts; remembers the decision values and evidence of words it has seen."""
 
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
+        self.across = model.landmarks.pattern() if model.landmarks is not None else None
+
+    def _stretches(self, text: str) -> set[str]:
+        """Insults cut by marks and spaces or inside of a longer word, without the marks."""
+        if self.across is None:
+            return set()
+        found = set()
+        for m in self.across.finditer(text):
+            # Parts of several words must be whole words.
+            if m.group().isalnum() or not (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum()):
+                found.add("".join(c for c in m.group() if c.isalnum()))
+        return found
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Probability and most toxic word's decision value of each text."""
-        sets = [tokens(t or "") for t in texts]
+        # Words that differ only in the marks around them count once.
+        sets = [{trim(w) for w in tokens(t or "")} | self._stretches((t or "").lower()) for t in texts]
         cache = self.cache
         if len(cache) > REMEMBER:
             cache.clear()
         new = list(set().union(*sets) - cache.keys())
-        cache.update(zip(new, self.model.word_scores([trim(w) for w in new]).tolist(), strict=True))
-        top, count = np.full(len(sets), -1.0), np.zeros((len(sets), len(MARGINS)))
+        scores = self.model.word_scores(new)
+        cache.update(zip(new, zip(scores.tolist(), self.model.strengths(new, scores).tolist(), strict=True), strict=True))
+        top, features = np.full(len(sets), -1.0), np.zeros((len(sets), 3))
         for i, s in enumerate(sets):
             if s:
-                f = [cache[w] for w in s]
-                top[i] = max(f)
-                if top[i] > MARGINS[0]:
-                    # Words that differ only in the marks around them count once.
-                    told = {trim(w): x for w, x in zip(s, f, strict=True) if x > MARGINS[0]}
-                    count[i] = pool(np.array(list(told.values())))[1]
-        return self.model.probability(top, count), top
+                found = [cache[w] for w in s]
+                top[i] = max(f for f, _ in found)
+                features[i] = pool(np.array([e for _, e in found if e > 0]), len(s))
+        return self.model.probability(features), top
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,44 @@ def test_toxicity_tolerates_gaps_and_inserted_characters(spark, tables):
     assert (model.table == again.table).all()
 
 
+def _plain_score(model, text):
+    """The score by its definition: every word against every landmark by the recursion of the kernel."""
+    words = {T.trim(w) for w in T.tokens(text)}
+    marks = model.landmarks
+    m_rows, _ = T.encode(marks.words)
+    strengths = []
+    for word in words:
+        best = (-1.0, 0.0)
+        for part in T.pieces(word):
+            if part:
+                rows, _ = T.encode([part])
+                near = T.kernel(np.repeat(rows, len(marks.words), axis=0), m_rows) / (T.norms(rows)[0] * T.norms(m_rows))
+                best = max(best, (float(near @ marks.weights) + model.bias, float(marks.reliance[np.argmax(near)])))
+        strengths.append(max(best[0] - T.FLOOR, 0.0) / (1 - T.FLOOR) * best[1])
+    total = sum(strengths)
+    features = [max(strengths), np.log1p(total), np.log1p(100 * total / max(len(words), 20))] if any(strengths) else [0.0] * 3
+    z = float(np.clip(model.calibration[0] + np.dot(model.calibration[1:], features), -30, 30))
+    return 0.98 * float(np.interp(z, *model.steps)) + 0.02 / (1 + np.exp(-z))
+
+
+def test_toxicity_rises_and_sees_disguises(spark, tables):
+    docs, labels = tables
+    texts, y = T.training_sample(docs, labels, train_part=T.train_rows)
+    model = T.fit(texts, y)
+    assert (model.calibration[1:] >= 0).all() and (np.diff(model.steps[1]) >= 0).all() and (model.landmarks.reliance >= 0).all()
+    score = lambda t: T.Scorer(model)(t)[0]
+    clean = score(["the house is green", "", "a nice day in the park", "the id of a riot", *[t for t, v in zip(texts, y, strict=True) if not v][:150]])
+    hidden = ["you idiot there", "id iot", "i di ot", "i  d  i  o  t", "xxidiotxx", "ididiotot", "i.d.i.o.t", "such a **sc*um** he"]
+    assert score(hidden).min() > np.quantile(clean, 0.98) and score(hidden).min() > clean[:4].max()
+    more = score(["you idiot", "you idiot and loser", "you idiot and loser and scum"])
+    assert (np.diff(more) >= 0).all()
+    # Whole scores against their definition; texts with an insult across words are left out of it.
+    some = [t for t in texts if len(t) < 700][:25] + hidden[:1] + ["", "such an idxiot"]
+    plain = [t for t in some if not T.Scorer(model)._stretches(t.lower()) - {T.trim(w) for w in T.tokens(t)}]
+    assert len(plain) > 20
+    assert score(plain) == pytest.approx([_plain_score(model, t) for t in plain], abs=1e-6)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 3), (None, "", 4), (2, "x " * 5000, 5), (2, "y", 6), (3, "a" * 5000, 7)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
