@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, fresh, group_bounds, mix64, sliced
+from .common import batch_word_hashes, fresh, group_bounds, materialize, mix64, sliced
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -162,26 +162,54 @@ def _probe(shared):
     return run
 
 
-def _seed_hashes(width: int):
-    """Different seeds of texts (key columns, text): (h, key columns). Documents have those of all widths, items (one key) of their own."""
+#: Bits of the filter that keeps seeds of no item from being shuffled: 16 MB, whatever the size of the benchmark.
+FILTER_BITS, _PART_BITS = 1 << 27, 1 << 15
+
+
+def _seed_hashes(widths: list[int], width: int, bits=None):
+    """Different seeds of texts (key columns, text): (h, key columns).
+
+    Items (one key) have those of their own width. Documents have those of all
+    ``widths`` that items have, as far as the filter ``bits`` lets them pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.columns[:-1]
             h, begin = batch_word_hashes(batch.column(batch.num_columns - 1))
-            for w in range(1, width + 1):
+            for w in widths:
                 at, g = _runs(h, begin, w)
+                on = np.ones(len(at), dtype=bool)
+                if bits is not None:
+                    place = g & np.uint64(FILTER_BITS - 1)
+                    on = (bits.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 owner = np.searchsorted(begin, at, side="right") - 1
-                if len(keys) == 1:
-                    on = np.diff(begin)[owner] == w if w < width else np.ones(len(at), dtype=bool)
-                    owner, g = owner[on], g[on]
-                pairs = np.unique(np.column_stack([owner, g.view(np.int64)]), axis=0)
+                if len(keys) == 1 and w < width:
+                    on &= np.diff(begin)[owner] == w
+                pairs = np.unique(np.column_stack([owner[on], g[on].view(np.int64)]), axis=0)
                 who = pa.array(pairs[:, 0])
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), *[k.take(who) for k in keys]], names=["h", *batch.schema.names[:-1]])
 
     return run
 
 
+def _seed_filter(own: DataFrame) -> np.ndarray:
+    """A bit for the lowest bits of each seed of items, put together from parts of 4 KB, one task each."""
+    place = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = own.select(F.floor(place / _PART_BITS).cast("int").alias("part"), (place % _PART_BITS).cast("int").alias("at")).distinct()
+
+    def packed(table: pa.Table) -> pa.Table:
+        on = np.zeros(_PART_BITS, dtype=bool)
+        on[table["at"].to_numpy()] = True
+        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()])})
+
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for row in rows.groupBy("part").applyInArrow(packed, "part int, bits binary").toLocalIterator():
+        at = row["part"] * (_PART_BITS // 8)
+        out[at : at + _PART_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
 def _pairs(width: int):
     """Coverage of pairs (k1, k2, item, text, item's text)."""
 
@@ -214,8 +242,10 @@ def item_coverage(keyed: DataFrame, benchmark: DataFrame, text_col: str = "text"
         shared = spark.sparkContext.broadcast((names, Seeds(held.column("text").combine_chunks(), width)))
         found = texts.mapInArrow(_probe(shared), _FOUND)
     else:
-        own = items.select("item", "text").mapInArrow(_seed_hashes(width), "h long, item long")
-        met = texts.mapInArrow(_seed_hashes(width), "h long, k1 long, k2 long").join(own, "h").select("k1", "k2", "item").distinct()
+        widths = [r[0] for r in items.select(F.least(F.size(F.split("text", " ")), F.lit(width)).alias("w")).distinct().orderBy("w").collect()]
+        own = materialize(items.select("item", "text").mapInArrow(_seed_hashes(widths, width), "h long, item long"), "seeds")
+        bits = spark.sparkContext.broadcast(_seed_filter(own))
+        met = texts.mapInArrow(_seed_hashes(widths, width, bits), "h long, k1 long, k2 long").join(own, "h").select("k1", "k2", "item").distinct()
         met = met.join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).join(items.select("item", F.col("text").alias("item_text")), "item")
         found = met.select("k1", "k2", "item", "text", "item_text").mapInArrow(_pairs(width), _FOUND)
     return found.join(items.select("item", "item_id"), "item").select("k1", "k2", "item_id", "n_tiles", "coverage")
