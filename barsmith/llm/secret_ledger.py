@@ -132,7 +132,10 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ledg
     """The rows with every secret replaced by ``[SECRET]``; overlapping spans become one.
 
     All columns stay; ``n_chars``, if there is one, is set anew for rows that
-    change. Null texts stay null. Only blobs with findings are joined and rewritten.
+    change. Null texts stay null, and empty ones empty; an empty table gives an
+    empty one. Repeated rows and rows of equal text all stay and change alike, in
+    any order (there are no ties to break). Very long texts are scanned and
+    rewritten whole. Only blobs with findings are joined and rewritten.
     """
     ledger = ledger or SecretLedger(docs.sparkSession)
     ledger.scan(docs, text_col, id_col)

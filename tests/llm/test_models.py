@@ -250,3 +250,51 @@ def test_ids_keep_their_bits_beside_nulls_and_clashing_columns(spark):
     labels = none.withColumn("doc_id", F.col("doc_id").cast("string"))
     for found in (L.predict_language(named), Q.score_quality(named, labels), T.score_toxicity(named, labels)):
         assert {r.doc_id for r in found.collect()} == {str(big), None}
+
+
+def test_quality_query_against_its_definition(spark, tables):
+    """Every score of the whole table: shrunken Gaussians by inverse and determinant, without Cholesky factors."""
+    docs, labels = tables
+    model = Q.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in Q.score_quality(docs, labels).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        x = (np.clip(np.array(Q.statistics(text or "")), model.low, model.high) - model.center) / model.scale
+        logs = []
+        for side in model.classes:
+            cov = side.factor @ side.factor.T
+            sign, log_det = np.linalg.slogdet(cov)
+            assert sign == 1
+            logs.append(-0.5 * (x - side.mean) @ np.linalg.inv(cov) @ (x - side.mean) - 0.5 * log_det)
+        d = logs[1] - logs[0]
+        z = model.intercept + model.slope * np.sign(d) * np.log1p(abs(d))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
+def test_language_query_against_forward_and_backward_sums(spark, tables):
+    """Every prediction of texts of up to 80 words: posteriors by plain forward and backward sums, word after word."""
+    docs, _ = tables
+    model = L.train(docs)
+    short = docs.where("size(split(text, ' ')) <= 80")
+    got = {r.doc_id: r for r in L.predict_language(short, model=model).collect()}
+    assert len(got) > 20
+    for r in short.collect():
+        words = [w for w in map(L.bare, L.split_words(r.text or "")) if w]
+        if not words:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        e = np.exp(model.emissions(words) - model.emissions(words).max(axis=1, keepdims=True))
+        trans, begin = np.exp(model.trans), np.exp(model.start)
+        forward, backward = [begin * e[0]], [np.ones(len(begin))]
+        for row in e[1:]:
+            step = (forward[-1] @ trans) * row
+            forward.append(step / step.sum())
+        for row in e[:0:-1]:
+            step = trans @ (backward[-1] * row)
+            backward.append(step / step.sum())
+        post = np.array(forward) * np.array(backward[::-1])
+        share = (post / post.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert got[r.doc_id].score == pytest.approx(share.max(), abs=1e-4)
+        if np.sort(share)[-1] - np.sort(share)[-2] > 1e-3:
+            assert got[r.doc_id].lang_pred == model.languages[int(share.argmax())]
