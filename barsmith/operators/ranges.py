@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import SERIES, epoch_ms, prev, series, step_seconds, written
+from ..core import SERIES, epoch_ms, step_seconds, written
 
 
 def step_ms(column: str = "interval") -> Column:
@@ -36,6 +36,11 @@ def merge(ranges: DataFrame, step: int | None = None, bin_ms: int = BIN) -> Data
     for each bin tells the furthest end of all bins before, and which range of an
     earlier bin the first ones of a bin go on with.
     """
+    return _islands(ranges, step, bin_ms).drop("rows")
+
+
+def _islands(ranges: DataFrame, step: int | None, bin_ms: int) -> DataFrame:
+    """Merged ranges, and of how many rows each is made."""
     reach = F.lit(step) if step is not None else step_ms()
     held = ranges.select(_key("start", bin_ms).alias("_key"), "start", "end", reach.alias("_reach"))
     bins = Window.partitionBy(*_OF).orderBy("_key._bin")
@@ -47,13 +52,13 @@ def merge(ranges: DataFrame, step: int | None = None, bin_ms: int = BIN) -> Data
     held = held.withColumn("_new", F.coalesce(F.col("start") > top + F.col("_reach"), F.lit(True)).cast("int"))
     held = held.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # Island 0 of a bin goes on from the last island that began in an earlier bin.
-    local = held.groupBy("_key", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    tails = local.groupBy("_key").agg(F.max(F.when(F.col("_island") == 0, F.col("end"))).alias("_tail"), F.max(F.when(F.col("_island") > 0, F.col("start"))).alias("_last"))
+    local = held.groupBy("_key", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("rows"))
+    tails = local.groupBy("_key").agg(F.sum(F.when(F.col("_island") == 0, F.col("rows"))).alias("_more"), F.max(F.when(F.col("_island") == 0, F.col("end"))).alias("_tail"), F.max(F.when(F.col("_island") > 0, F.col("start"))).alias("_last"))
     tails = tails.withColumn("_root", F.last("_last", ignorenulls=True).over(earlier)).where(F.col("_tail").isNotNull())
-    tails = tails.select(*[F.col(c).alias(c.split(".")[1]) for c in _OF], "_root", "_tail").groupBy(*SERIES, "_root").agg(F.max("_tail").alias("_tail"))
-    tails = tails.select(_key("_root", bin_ms).alias("_key"), F.col("_root").alias("start"), "_tail")
+    tails = tails.select(*[F.col(c).alias(c.split(".")[1]) for c in _OF], "_root", "_tail", "_more").groupBy(*SERIES, "_root").agg(F.max("_tail").alias("_tail"), F.sum("_more").alias("_more"))
+    tails = tails.select(_key("_root", bin_ms).alias("_key"), F.col("_root").alias("start"), "_tail", "_more")
     out = local.where("_island > 0").join(tails, ["_key", "start"], "left")
-    return out.select(*_OF, "start", F.greatest("end", "_tail").alias("end"))
+    return out.select(*_OF, "start", F.greatest("end", "_tail").alias("end"), (F.col("rows") + F.coalesce("_more", F.lit(0))).alias("rows"))
 
 
 def completeness(ranges: DataFrame, step: int | None = None) -> DataFrame:
@@ -129,12 +134,10 @@ def upsert_partitions(catalog: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
-def covered(bars: DataFrame) -> DataFrame:
-    """True islands of the stored bars: runs of rows not further apart than a step."""
-    df = bars.select(*SERIES, epoch_ms("timestamp").alias("_ms"), "timestamp").withColumn("_last", prev("_ms"))
-    df = df.withColumn("_new", F.when(F.col("_last").isNull() | (F.col("_ms") - F.col("_last") > step_ms()), 1).otherwise(0))
-    df = df.withColumn("_island", F.sum("_new").over(series().rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(*SERIES, "_island").agg(F.min("_ms").alias("start"), F.max("_ms").alias("end"), F.count(F.lit(1)).alias("rows")).drop("_island")
+def covered(bars: DataFrame, bin_ms: int = BIN) -> DataFrame:
+    """True islands of the stored bars, with their rows: runs of rows not further apart than a step, found like ``merge``."""
+    at = epoch_ms("timestamp")
+    return _islands(bars.select(*SERIES, at.alias("start"), at.alias("end")), None, bin_ms)
 
 
 def decide_source(held: DataFrame, requests: DataFrame, least: float = 0.95, force: str | None = None) -> DataFrame:

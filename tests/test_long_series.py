@@ -169,6 +169,17 @@ def test_coverage_equals_brute_force(spark, bin_ms):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("bin_ms", [60_000, 1_000_000, R.BIN])
+def test_islands_of_bars(spark, two, bin_ms):
+    got = sorted((r.symbol, r.start, r.end, r.rows) for r in R.covered(two.unionByName(two.where("symbol = 'C'")), bin_ms).collect())
+    want = []
+    for symbol, part in two.toPandas().groupby("symbol"):
+        at = sorted(int(t.timestamp() * 1000) for t in part["timestamp"].dt.tz_localize("UTC"))
+        for a, z in brute_merge([(t, t) for t in at], 60_000):
+            want.append((symbol, a, z, sum(a <= t <= z for t in at) * (2 if symbol == "C" else 1)))
+    assert got == sorted(want)
+
+
 def test_coverage_of_nothing(spark):
     none = spans(spark, []).where("false")
     requests = spans(spark, [("A", 1, 5)]).withColumnsRenamed({"start": "request_start", "end": "request_end"})
