@@ -52,6 +52,8 @@ MOST, CLEAR = 6.0, 4.5
 GAP = 3
 #: Landmarks of which KIN are alike by so much make no place for another one like them.
 ALIKE, KIN = 0.5, 6
+#: Words whose features are in memory at once.
+NEAR = 128
 #: Decision values that are no evidence yet.
 FLOOR = 0.3
 #: Decision values from which a word tells how much its landmark is worth.
@@ -193,15 +195,15 @@ class Landmarks:
     def nearest(self, words: list[str]) -> np.ndarray:
         """The most similar landmark of each word."""
         out = np.zeros(len(words), dtype=np.int64)
-        for at in range(0, len(words), 2000):
-            rows, _ = encode(words[at : at + 2000])
+        for at in range(0, len(words), NEAR):
+            rows, _ = encode(words[at : at + NEAR])
             who, what, weight = feature_rows(rows)
             place = np.searchsorted(self.triples, what)
             place[place == len(self.triples)] = 0
             on = self.triples[place] == what
             like = np.zeros((len(rows), len(self.triples)))
             np.add.at(like, (who[on], place[on]), weight[on])
-            out[at : at + 2000] = np.argmax(like @ self.features.T, axis=1)
+            out[at : at + NEAR] = np.argmax(like @ self.features.T, axis=1)
         return out
 
     def pattern(self) -> re.Pattern | None:
@@ -345,10 +347,21 @@ def _spread(order: list[int], vocabulary: list[str], count: int) -> list[int]:
     """The first of ``order`` of which no more than KIN before are much alike, so that one family of words doesn't fill the landmarks."""
     if not order:
         return []
-    _, dense = _normed([vocabulary[i] for i in order])
-    taken: list[int] = []
+    rows, _ = encode([vocabulary[i] for i in order])
+    who, what, weight = feature_rows(rows)
+    triples, column = np.unique(what, return_inverse=True)
+    by_word = np.argsort(who, kind="stable")
+    ends = np.searchsorted(who[by_word], np.arange(len(order) + 1))
+    # Only words that are taken stand as whole rows.
+    dense, taken = np.zeros((min(count, len(order)), len(triples)), dtype=np.float32), []
     for at in range(len(order)):
-        if len(taken) < count and int((dense[taken] @ dense[at] > ALIKE).sum()) < KIN:
+        if len(taken) == len(dense):
+            break
+        own, row = by_word[ends[at] : ends[at + 1]], np.zeros(len(triples), dtype=np.float32)
+        np.add.at(row, column[own], weight[own].astype(np.float32))
+        row /= max(float(np.sqrt((row.astype(np.float64) ** 2).sum())), 1e-12)
+        if int((dense[: len(taken)] @ row > ALIKE).sum()) < KIN:
+            dense[len(taken)] = row
             taken.append(at)
     return [order[at] for at in taken]
 
