@@ -108,6 +108,10 @@ def anomalies(df: DataFrame, threshold: float = 3.0) -> DataFrame:
 ACCURACY = 5000
 
 
+#: Values of a series up to which one task may sort them.
+SHORT = 100_000
+
+
 def quantiles(df: DataFrame, column: str, ends: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
     """``_series`` (a struct of the series keys) and ``_q``: exact quantiles of a column, between ranks by proportion; series without values don't appear.
 
@@ -154,13 +158,16 @@ def remove_outliers(df: DataFrame, method: str = "iqr", factor: float = 1.5, col
 
     The bars are written once, so a step reads only the series keys and the
     columns that it and the steps before it check. Limits of all steps stand in
-    one table with a row for each series. Quartiles are exact (``quantiles``);
-    with ``accuracy`` they are estimated by a sketch.
+    one table with a row for each series. Quartiles are exact: sorted where no
+    series has more than SHORT rows, and by ``quantiles`` otherwise; with
+    ``accuracy`` they are estimated by a sketch.
     """
     if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown method: {method}")
     bars, limits, keep = written(df, "bars"), None, F.lit(True)
 
+    short = method == "iqr" and (bars.groupBy(*SERIES).count().agg(F.max("count")).first()[0] or 0) <= SHORT
+
     def left() -> DataFrame:
         rows = bars.withColumn("_series", F.struct(*SERIES))
         return rows if limits is None else rows.join(limits, "_series").where(keep)
@@ -180,6 +187,8 @@ def remove_outliers(df: DataFrame, method: str = "iqr", factor: float = 1.5, col
             ends, more = F.array(F.lit(0.25), F.lit(0.75)), (F.col(c) >= F.col(a)) & (F.col(c) <= F.col(z))
             if accuracy is not None:
                 limits = limited(left().groupBy("_series").agg(F.percentile_approx(c, ends, accuracy).alias("_q")))
+            elif short:
+                limits = limited(left().groupBy("_series").agg(F.percentile(c, ends).alias("_q")))
             else:
                 found = limited(_selected(left(), c, (0.25, 0.75)))
                 limits = limited(quantiles(left(), c)) if found.where(F.col(a).isNull()).limit(1).count() else found

@@ -55,6 +55,7 @@ def test_a_bracket_that_misses_is_made_good(spark, monkeypatch, many):
     real = C.F.percentile_approx
     monkeypatch.setattr(C.F, "percentile_approx", lambda x, ends, n: real(x, F.array(*[F.lit(0.99)] * 4), n))
     got = {r._series.symbol: r._q for r in C.quantiles(many, "close").collect()}
+    monkeypatch.setattr(C, "SHORT", 0)
     kept = C.remove_outliers(many.where("symbol = 'A'"), columns=("close",)).count()
     for k, v in VALUES.items():
         assert got[k] == pytest.approx(np.quantile(v, (0.25, 0.75)).tolist(), rel=1e-12, abs=1e-12)
@@ -62,8 +63,9 @@ def test_a_bracket_that_misses_is_made_good(spark, monkeypatch, many):
     assert kept == sum(a - 1.5 * (z - a) <= v <= z + 1.5 * (z - a) for v in VALUES["A"])
 
 
-@pytest.mark.parametrize("method, factor", [("iqr", 1.5), ("zscore", 1.2)])
-def test_outliers_column_after_column(spark, many, method, factor):
+@pytest.mark.parametrize("method, factor, short", [("iqr", 1.5, 0), ("iqr", 1.5, 100_000), ("zscore", 1.2, 0)])
+def test_outliers_column_after_column(spark, monkeypatch, many, method, factor, short):
+    monkeypatch.setattr(C, "SHORT", short)
     df = many.withColumn("volume", F.abs(F.hash("timestamp") % 100).cast("double"))
     got = C.remove_outliers(df, method, factor, ("close", "volume")).toPandas()
     want = []
