@@ -46,6 +46,38 @@ def test_top_k_of_huge_components_and_of_nothing(spark):
     assert threshold_search.top_inner_products(df.where("false"), F.col("id") >= 0).count() == 0
 
 
+def exact_top(rows, k, every):
+    """As ``brute_top``, with 64-bit scores; a list, as each vector of an id is a query."""
+    good = sorted({(i, tuple(math.floor(256 * float(np.float32(c))) for c in v)) for i, v in rows})
+    out = []
+    for q, a in good:
+        if q % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q)[:k]
+            out += [(q, r + 1, i, max(-(1 << 63), min(-s, (1 << 63) - 1))) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("strip", [1 << 15, 10])
+def test_top_k_beyond_64_bits_is_ranked_exactly(spark, strip):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(c) for c in rng.normal(0, 1, 3) * 10.0 ** rng.integers(-3, 36)]) for i in range(80)]
+    rows += [(100, [1.0, 1.0, 0.0]), (101, [1e30, -1e30, 0.5]), (102, [2e30, -1e30, 0.0]), (103, [1e30, 1e30, 0.0]), (104, [3e38, 3e38, 0.0]), (110, [1e20, 1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "s") for i, v in rows], VECTORS)
+    got = threshold_search.top_inner_products(df, F.col("id") % 2 == 0, k=5, strip=strip, block=7).collect()
+    assert sorted(tuple(r) for r in got) == exact_top(rows, 5, 2)
+
+
+@pytest.mark.parametrize("strip", [1 << 15, 10])
+def test_top_k_of_ids_with_several_vectors_is_whole(spark, strip):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(c) for c in rng.normal(0, 0.2, 4)]) for i in range(60)]
+    rows += [(10, [float(c) for c in 3 * np.array(rows[10][1]) + rng.normal(0, 0.01, 4)]) for _ in range(8)]  # they would take all places of id 10
+    rows += [(200 + i, rows[-1][1]) for i in range(9)] + [(7, rows[8][1])]
+    df = spark.createDataFrame([(i, v, 1, "s") for i, v in rows], VECTORS)
+    got = threshold_search.top_inner_products(df, F.col("id") % 5 == 0, k=5, strip=strip, block=7).collect()
+    assert sorted(tuple(r) for r in got) == exact_top(rows, 5, 5)
+
+
 def test_threshold_stops_before_the_end_of_the_lists():
     rng = np.random.default_rng(5)
     rows = np.floor(256 * rng.standard_t(2, (20_000, 4))).astype(np.int64)
