@@ -1,6 +1,9 @@
 """Near-duplicate texts by five-word shingles alike to 0.8 or more, exactly verified.
 
-Texts with the same set of shingles are one node. Candidates meet in buckets of
+Texts with the same set of shingles are one node. Each set has a SimHash
+fingerprint; fingerprints that the caller links (by Golay keys, see
+``simhash_dedup``) are a bucket of candidates. Sets may be alike to 0.8 and yet
+differ in a dozen bits, so candidates also meet in buckets of
 minimum hashes: ``BANDS`` bands of ``ROWS`` minima each, of which two sets alike
 to 0.8 share none with probability (1 - 0.8 ** 5) ** 32, 3 in a million, and less
 the more alike they are. Buckets with the same members are one. In a bucket,
@@ -11,7 +14,7 @@ task holds the sets of one bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +68,29 @@ def band_keys(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def majority(hashes: np.ndarray, slice_: int = 1 << 16) -> np.uint64:
+    """SimHash fingerprint: a bit is 1 if it is set in over half of the hashes."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), slice_):
+        part = np.ascontiguousarray(hashes[at : at + slice_], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Node of each text (a hash of its set of shingles) and its band keys."""
+    """Node of each text (a hash of its set of shingles), the set's fingerprint (null for none) and its band keys."""
     for batch in sliced(batches, 2):
         hashes, begin = shingles(batch.column(2))
         full = np.diff(begin) > 0
-        node = np.zeros(batch.num_rows, dtype=np.uint64)
+        node, fp = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
         for i in np.flatnonzero(full):
             own = np.unique(hashes[begin[i] : begin[i + 1]])
             node[i] = mix64(own + _ODD).sum(dtype=np.uint64) + np.uint64(len(own))
+            fp[i] = majority(own)
         keys = band_keys(hashes, begin[:-1][full])
         offsets = np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix64(node).view(np.int64)), lists], names=["_row", "_id", "_text", "t", "keys"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix64(node).view(np.int64)), pa.array(fp.view(np.int64), mask=~full), lists], names=["_row", "_id", "_text", "t", "fp", "keys"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +155,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges()
 
 
-def _links(prints: DataFrame, nodes: DataFrame, bands: tuple[int, int], joined: DataFrame | None) -> DataFrame:
-    """Verified edges of the buckets of some bands; buckets whose members ``joined`` has in one component are passed over."""
-    keys = prints.select("t", "keys").dropDuplicates(["t"]).select(F.posexplode("keys").alias("_band", "k"), "t").where(F.col("_band").between(*bands))
+def near_buckets(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Bucket key of each node by its fingerprint: one for all that reach each other over the links ``a``, ``b`` that ``near`` gives for fingerprints ``fp``."""
+    prints = nodes.where(F.col("fp").isNotNull()).select("t", "fp")
+    roots = materialize(connected_components(near(prints)), "near")
+    return prints.join(roots, prints.fp == roots.node, "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit(BANDS)).alias("k"), "t")
+
+
+def _links(prints: DataFrame, nodes: DataFrame, bands: tuple[int, int], joined: DataFrame | None, more: DataFrame | None = None) -> DataFrame:
+    """Verified edges of the buckets of some bands, and of those of ``more`` (k, t); buckets whose members ``joined`` has in one component are passed over."""
+    keys = prints.select("t", "keys").dropDuplicates(["t"]).select(F.posexplode("keys").alias("_band", "k"), "t").where(F.col("_band").between(*bands)).select("k", "t")
+    if more is not None:
+        keys = keys.unionByName(more)
     members = keys.repartition("k").sortWithinPartitions("k", "t").select("k", "t").mapInArrow(_shared, "b long, t long").distinct()
     if joined is None:
         members = members.withColumn("c", F.col("t"))
@@ -161,7 +183,7 @@ def _links(prints: DataFrame, nodes: DataFrame, bands: tuple[int, int], joined:
     return materialize(met.repartition("b").sortWithinPartitions("b", "t").mapInArrow(_verified, "a long, b long").distinct(), "links")
 
 
-def alike_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def alike_components(docs: DataFrame, near: Callable[[DataFrame], DataFrame], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: id and ``component_id``, the smallest id reachable over pairs alike to 0.8.
 
     Texts without words are one node. A null id never is a component's name
@@ -169,14 +191,15 @@ def alike_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     rows and texts with the same shingles are one node and give the same row
     each. Very long texts are compared whole. Other columns are not read.
 
-    The first bands join most of what belongs together; sets of shingles then
-    travel only for buckets of the other bands that hold more than one component.
+    ``near`` links fingerprints (see ``near_buckets``). Their buckets and the
+    first bands join most of what belongs together; sets of shingles then travel
+    only for buckets of the other bands that hold more than one component.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    prints = materialize(rows.mapInArrow(_prints, f"_row long, _id {id_type}, _text string, t long, keys array<long>"), "shingles")
-    nodes = prints.groupBy("t").agg(F.min("_id").alias("_low"), F.min("_row").alias("_row"))
-    first = _links(prints, nodes, (0, FIRST - 1), None)
+    prints = materialize(rows.mapInArrow(_prints, f"_row long, _id {id_type}, _text string, t long, fp long, keys array<long>"), "shingles")
+    nodes = prints.groupBy("t").agg(F.min("_id").alias("_low"), F.min("_row").alias("_row"), F.max("fp").alias("fp"))
+    first = _links(prints, nodes, (0, FIRST - 1), None, near_buckets(nodes, near))
     edges = first.unionByName(_links(prints, nodes, (FIRST, BANDS - 1), materialize(connected_components(first), "joined")))
     roots = materialize(connected_components(edges), "roots")
     named = nodes.join(roots, nodes.t == roots.node, "left").select("t", "_low", F.coalesce("root", "t").alias("_root"))

@@ -247,12 +247,15 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
 
     Rows with a null id can't be named as copies; one stays for each distinct
     text. Texts without words are one component. An empty table stays empty.
-    Very long texts are compared whole. All columns stay as they are. Which
+    Very long texts are compared whole. All columns stay as they are. Candidates
+    are texts whose fingerprints ``near_links`` joins over Golay keys, and, as
+    alike texts may differ in more than two bits, those that share a band of
+    minimum hashes; all are verified on their shingles. Which
     ids and texts stand in several rows that would stay is found over narrow
     rows, and only such rows are shuffled to keep one of each.
     """
     keep, tag = fresh(docs, "_keep", "_tag")
-    ids = alike_components(docs, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+    ids = alike_components(docs, near_links, text_col, id_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
     ids = materialize(ids.groupBy(F.col(id_col).alias(keep)).agg(F.count(F.lit(1)).alias("_n")), "kept")
     once = ids.where(F.col("_n") == 1).select(keep)
     more = ids.where(F.col("_n") > 1).select(keep)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from barsmith.llm import shingle_links as L
+from barsmith.llm import simhash_dedup
 from barsmith.llm.simhash_dedup import drop_near_duplicates
 
 
@@ -50,3 +51,27 @@ def test_forest_joins_what_all_pairs_join():
                 root = [root[j] if r == root[i] else r for r in root]
     edges = L.alike_forest(sets)
     assert len(edges) == len(sets) - len(set(root)) and all(root[a] == root[b] for a, b in edges)
+
+
+def test_fingerprints_linked_by_golay_keys_are_candidates(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        w = [f"w{rng.randrange(9000)}" for _ in range(900)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1] + ["edited"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    near_links = simhash_dedup.near_links
+    monkeypatch.setattr(simhash_dedup, "near_links", lambda prints: seen.append(near_links(prints)) or seen[-1])
+    assert {r.doc_id for r in drop_near_duplicates(df).collect()} == {2 * i for i in range(30)}
+    # Without any band the pairs within two bits are joined all the same.
+    prints = df.selectExpr("doc_id _row", "doc_id _id", "text _text").mapInArrow(L._prints, "_row long, _id long, _text string, t long, fp long, keys array<long>").cache()
+    nodes = prints.groupBy("t").agg({"_row": "min", "fp": "max"}).toDF("t", "_row", "fp")
+    row = {r.t: r for r in nodes.collect()}
+    by_id = {r._row: r for r in row.values()}
+    close = {i for i in range(30) if bin((by_id[2 * i].fp ^ by_id[2 * i + 1].fp) & (1 << 64) - 1).count("1") <= 2}
+    found = L._links(prints, nodes, (0, -1), None, L.near_buckets(nodes, near_links)).collect()
+    assert len(seen) == 1 and len(close) > 15
+    assert {frozenset((row[r.a]._row, row[r.b]._row)) for r in found} == {frozenset((2 * i, 2 * i + 1)) for i in close}
+    texts = np.array([3, 1 << 63 | 1, 1 << 63], dtype=np.uint64)
+    assert int(L.majority(texts, 2)) == (1 << 63 | 1)
