@@ -28,6 +28,7 @@ and spaces left out.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -484,8 +485,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, landmarks: int =
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_ones: int = MAX_TOXIC, max_zeros: int = MAX_CLEAN, train_part=None) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a bounded sample, the smallest by a hash of the id in each class; the same in every run.
+def sample_rows(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_ones: int = MAX_TOXIC, max_zeros: int = MAX_CLEAN, train_part=None) -> DataFrame:
+    """Ids as text, texts and labels of a bounded sample, the smallest by a hash of the id in each class; the same in every run.
 
     Null labels and ids are left out; of several labels of an id the largest
     holds, of several texts the smallest.
@@ -498,10 +499,32 @@ def training_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     picked = kept[0].unionByName(kept[1]).withColumnRenamed(id_col, "_pick")
     # Bounded by the two limits above.
     joined = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_pick"))
-    found = joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).orderBy(F.col("_id").cast("string")).select("_text", "_y").collect()
+    found = joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
+    return found.select(F.col("_id").cast("string").alias("_at"), "_text", F.col("_y").cast("long").alias("_y"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, *args, **kwargs) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of ``sample_rows``, by ascending id as text."""
+    found = sample_rows(docs, labels, *args, **kwargs).orderBy("_at").select("_text", "_y").collect()
     return [r["_text"] for r in found], np.array([r["_y"] for r in found], dtype=np.int64)
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(1).to_pylist()
+        labels += batch.column(2).to_pylist()
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(labels, dtype=np.int64)))], pa.binary())], names=["model"])
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """The model of the bounded sample, trained in a task, so that the driver gets the model alone (some MB)."""
+    rows = sample_rows(docs, labels, text_col, id_col, train_part=train_rows)
+    found = rows.repartition(1).sortWithinPartitions("_at").mapInArrow(_trained, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else fit([], np.empty(0, dtype=np.int64))
+
+
 def train_rows(id_col: F.Column) -> F.Column:
     """Rows that a model may learn from: crc32 of the id as text modulo 3 is not 1."""
     return ~held_out(id_col, 3, 1)
@@ -563,7 +586,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     language, source and id are no inputs of a score. Very long texts are read
     whole. Ids keep their type and bits; other columns are not read.
     """
-    model = model or fit(*training_sample(docs, labels, text_col, id_col, train_part=train_rows))
+    model = model or fit_on(docs, labels, text_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -583,7 +606,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_co
 
     Null and empty texts, repeated rows, empty tables and very long texts as in ``score_toxicity``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(*training_sample(docs, labels, text_col, id_col, train_part=train_rows)))
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit_on(docs, labels, text_col, id_col))
     text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -298,3 +298,17 @@ def test_language_query_against_forward_and_backward_sums(spark, tables):
         assert got[r.doc_id].score == pytest.approx(share.max(), abs=1e-4)
         if np.sort(share)[-1] - np.sort(share)[-2] > 1e-3:
             assert got[r.doc_id].lang_pred == model.languages[int(share.argmax())]
+
+
+def test_toxicity_is_trained_in_a_task_and_not_in_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    want = T.fit(*T.training_sample(docs, labels, train_part=T.train_rows))
+
+    def fail(texts, *_):
+        raise AssertionError(f"{len(texts)} texts in the driver")
+
+    monkeypatch.setattr(T, "fit", fail)
+    got = T.fit_on(docs, labels)
+    # Sums of several threads differ in the last bits.
+    assert np.allclose(got.table, want.table, atol=1e-6) and abs(got.bias - want.bias) < 1e-6 and got.landmarks.words == want.landmarks.words
+    assert T.drop_toxic(docs, labels).count() <= docs.count()
