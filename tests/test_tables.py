@@ -10,6 +10,8 @@ from barsmith.operators import client
 from barsmith.operators import quality as C
 from barsmith.operators import queries as Q
 from barsmith.operators import ranges as R
+from barsmith.plans import table_queries
+from barsmith.plans.tables import QUERIES
 from barsmith.sources import catalog, ingest, storage
 
 KEYS = "exchange string, symbol string, interval string"
@@ -173,3 +175,17 @@ def test_running_means_go_on_from_their_state():
     x = np.random.default_rng(2).normal(size=50)
     whole, first = _means(x, None, 0.2), _means(x[:20], None, 0.2)
     assert np.allclose(np.concatenate((first, _means(x[20:], float(first[-1]), 0.2))), whole)
+
+
+def test_only_the_changed_month_differs_when_sums_come_in_any_order(spark, monkeypatch):
+    import numpy as np
+
+    def shuffled(frames):
+        return (f.sample(frac=1, random_state=np.random.default_rng()) for f in frames)
+
+    def daily(spark, sf):
+        days = spark.range(6000).select(F.when(F.col("id") < 300, "1-URGENT").otherwise("2-HIGH").alias("symbol"), F.timestamp_add("MONTH", F.floor(F.col("id") / 300), F.lit("1997-05-05").cast("timestamp_ntz")).alias("ts"), F.rand(1).alias("price"), "id")
+        return core.bars_from_ticks(days.coalesce(1).mapInPandas(shuffled, days.schema), "symbol", "price", "1d", tie="id")
+
+    monkeypatch.setattr(table_queries, "daily", daily)
+    assert [tuple(r) for r in QUERIES["s14_fingerprint"](spark, "").collect()] == [("1-URGENT", 1997, 5)]
