@@ -2,8 +2,11 @@
 
 import datetime as dt
 import random
+import types
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +65,52 @@ def test_trades_of_one_time(spark):
     rows = [(1, 0, "A", 10.0), (2, 0, "A", 12.0), (3, 0, "A", 9.0), (3, 0, "A", 9.0), (4, 0, "A", 9.0)]
     assert bars("trade", rows) == [(10.0, 12.0, 9.0, 9.0, 40.0)]  # trade 3 came twice, trade 4 is another one
     assert bars(None, rows) == [(9.0, 12.0, 9.0, 12.0, 31.0)]  # without ids: by price
+
+
+class Held(dict):
+    """State of one key that counts its calls and the bytes of ticks that pass."""
+
+    def __init__(self):
+        self.reads = self.writes = self.passed = 0
+
+    def getValue(self, k):
+        self.reads, self.passed = self.reads + 1, self.passed + len(self[k][0])
+        return self[k]
+
+    def updateValue(self, k, v):
+        self.writes, self.passed = self.writes + 1, self.passed + len(v[0])
+        self[k] = v
+
+    removeKey, exists = dict.pop, dict.__len__
+
+    def get(self):
+        return self["value"]
+
+    def update(self, v):
+        self["value"] = v
+
+
+@pytest.mark.parametrize("stretches", [1, 500])
+def test_ticks_that_wait_are_read_once(monkeypatch, stretches):
+    monkeypatch.setattr(stream, "BUFFER", 4096)
+    n, rng = 20_000, np.random.default_rng(stretches)
+    ts, price = rng.integers(1_000_000, stretches * 600_000_000, n), rng.random(n)
+    come = pa.table({"exchange": ["x"] * n, "symbol": ["A"] * n, "ts": pa.array(ts, pa.timestamp("us", "UTC")), "price": price, "seq": np.arange(n)})
+    rows = pd.concat([b.to_pandas() for b in stream._packs(iter(come.to_batches(max_chunksize=128)))])
+    assert len(rows) == 4 * 32 + 29  # full rows of 128 ticks from each buffer, a last one of what is left
+    frames = (rows[i : i + 3] for i in range(0, len(rows), 3))  # 384 ticks each
+    states, timers = {k: Held() for k in ("waiting", "parts", "left")}, []
+    handle = types.SimpleNamespace(getMapState=lambda name, *_: states[name], getValueState=lambda name, _: states[name], registerTimer=timers.append)
+    ordered = stream.Ordered(lambda x, left: (x.cumsum() + (left[0] if left else 0.0), (float(x.sum() + (left[0] if left else 0.0)),)), "total", "y double")
+    ordered.init(handle)
+    at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    list(ordered.handleInputRows(("x", "A"), frames, at(0)))
+    waiting = states["waiting"]
+    assert timers == [ts.min() // 1000] and waiting.reads == 0 and waiting.writes <= 5 * stretches and waiting.passed == 24 * n
+    middle = int(np.sort(ts)[n // 2]) // 1000
+    got = [*ordered.handleExpiredTimer(("x", "A"), at(middle), None)]
+    assert timers[1:] == [ts[ts // 1000 > middle].min() // 1000]
+    got = pd.concat([*got, *ordered.handleExpiredTimer(("x", "A"), at(1 << 50), None)])
+    order = np.lexsort((np.arange(n), ts))
+    assert got["seq"].tolist() == order.tolist() and got["total"].tolist() == pytest.approx(price[order].cumsum().tolist())
+    assert not waiting and len(timers) == 2 and waiting.passed <= 24 * n * 3
