@@ -1,16 +1,19 @@
 """Streams that come out of order, in several micro-batches, against what the whole gives."""
 
 import datetime as dt
+import glob
 import random
 import types
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from barsmith import core
+from barsmith.plans import table_queries
 from barsmith.sources import storage
 from barsmith.streaming import bars as stream
 
@@ -114,3 +117,14 @@ def test_ticks_that_wait_are_read_once(monkeypatch, stretches):
     order = np.lexsort((np.arange(n), ts))
     assert got["seq"].tolist() == order.tolist() and got["total"].tolist() == pytest.approx(price[order].cumsum().tolist())
     assert not waiting and len(timers) == 2 and waiting.passed <= 24 * n * 3
+
+
+def test_several_tasks_can_read_a_shuffled_file(spark, monkeypatch):
+    monkeypatch.setattr(table_queries, "SHUFFLED_GROUP", 4096, raising=False)
+    path = core.scratch_path(spark, "shuffled")
+    monkeypatch.setattr(table_queries, "scratch_path", lambda *_: path)
+    table_queries._shuffled(spark, "/root/testdata/sf0.01")
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{path}/*.parquet")]
+    assert len(files) == table_queries.SHUFFLED_FILES and all(f.metadata.num_row_groups > 1 for f in files)
+    came = spark.read.parquet(path).select("event_id", "ts", "event_type", "value")
+    assert came.exceptAll(spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(*came.columns)).isEmpty() and came.count() == 10_000
